@@ -1 +1,570 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL with the result of each query, over the same tables.
+
+Every statement carries the views it needs as common table expressions.
+"""
+
+from verdictflow.schemas import FLAIR_SPELLINGS, OUTCOME_NAMES, REMARKS, WORDING
+
+RUN_DATE = "2024-03-01"
+SEED = 7
+
+
+def _text(value):
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _spellings(*codes):
+    return ", ".join(_text(s) for code in codes for s in FLAIR_SPELLINGS[code])
+
+
+def _outcome(flair):
+    cases = " ".join(
+        f"when upper({flair}) in ({_spellings(code)}) then {code}" for code in FLAIR_SPELLINGS
+    )
+    return f"cast(case {cases} end as double)"
+
+
+def _name(code):
+    cases = " ".join(f"when {code} = {value} then {_text(n)}" for value, n in OUTCOME_NAMES.items())
+    return f"case {cases} end"
+
+
+def _hash(value, digits):
+    return f"cast('0x' || substr(md5({value}), 1, {digits}) as bigint)"
+
+
+def _remark(verdict, key):
+    cases = []
+    for name, texts in REMARKS.items():
+        options = ", ".join(_text(t) for t in texts)
+        place = f"{_hash(f'{key} || {_text(f":{SEED}")}', 8)} % {len(texts)} + 1"
+        cases.append(f"when {verdict} = '{name}' then [{options}][{place}]")
+    return f"case {' '.join(cases)} end"
+
+
+_BLANK = r"[\s\x1c-\x1f\x{85}\p{Z}]+"
+
+
+def _strip(value):
+    return rf"regexp_replace({value}, '^{_BLANK}|{_BLANK}\z', '', 'g')"
+
+
+def _short(value):
+    text = _strip(value)
+    head = rf"regexp_replace(substr({text}, 1, 100), ' [^ ]*\z', '')"
+    return f"case when length({text}) <= 100 then {text} else {head} || '...' end"
+
+
+def _message_id(run_date):
+    return _hash(f"coalesce(title, '') || '|' || coalesce(url, '') || '|{run_date}'", 15)
+
+
+def _quoted():
+    short = _short("coalesce(title, '')")
+    return f"""'"' || ({short}) || '"'"""
+
+
+def _ruling():
+    return (
+        f"{_text(WORDING['heard'] + ' ')} || {_quoted()} || "
+        f"{_text('. ' + WORDING['rules'] + ' ')} || ({_name('pred')}) || '. ' || "
+        f"({_remark('lower(' + _name('pred') + ')', 'url')}) || '  ' || url"
+    )
+
+
+_GRADE = (
+    "case when outcome > 1 then 'mistrial' when pred = outcome then 'correct' else 'incorrect' end"
+)
+
+
+def _update():
+    before, after = WORDING["mistrial"].split("{}")
+    return (
+        f"{_text(WORDING['update'] + ' ')} || {_quoted()} || "
+        f"{_text('. ' + WORDING['ruled'] + ' ')} || ({_name('pred')}) || "
+        f"{_text('. ' + WORDING['crowd'] + ' ')} || ({_name('outcome')}) || '. ' || "
+        f"(case ({_GRADE}) when 'mistrial' then {_text(before)} || outcome_str || {_text(after)} "
+        f"when 'correct' then {_text(WORDING['correct'])} "
+        f"else {_text(WORDING['incorrect'])} end) || ' ' || "
+        f"({_remark('(' + _GRADE + ')', 'url')}) || "
+        f"{_text(' ' + WORDING['link'])} || cast(message_id as varchar)"
+    )
+
+
+_DECIDED = "link_flair_text is not null and link_flair_text <> ''"
+_TWO = f"upper(link_flair_text) in ({_spellings(1.0, 0.0)})"
+_POST_DATE = "date '1970-01-01' + cast(floor(created_utc / 86400) as int)"
+_COMBINED = "coalesce(title, '') || ' ' || coalesce(selftext, '')"
+_WORDS = r"list_filter(string_split_regex(lower(combined_text), '[^\p{L}]+'), lambda w: w <> '')"
+_ACCURATE = "coalesce(cast(pred = outcome as int), 0)"
+_RATES = """success / nullif(n, 0) as rate,
+       sqrt((success / nullif(n, 0)) * (1 - success / nullif(n, 0))) as sd_prop,
+       sqrt((success / nullif(n, 0)) * (1 - success / nullif(n, 0)) * n) as sd_n,
+       sqrt((success / nullif(n, 0)) * (1 - success / nullif(n, 0)) / nullif(n, 0)) as se"""
+_HISTORY = "date, outcome_type, success, n, rate, se, min_post_date, max_post_date"
+
+
+def _weights(source):
+    """Views with the weights trained on a view of (label, combined_text)."""
+    return {
+        "counts": f"""
+select cast({_hash('word', 4)} as int) as feature,
+       count(*) filter (where label = 1) as n_pos,
+       count(*) filter (where label = 0) as n_neg
+from (select label, unnest({_WORDS}) as word from {source}) group by 1""",
+        "weights": f"""
+select feature, n_pos, n_neg,
+       cast(round((ln((n_pos + 1) / (sum(n_pos) over () + 65536))
+                 - ln((n_neg + 1) / (sum(n_neg) over () + 65536))) * 1000000) as bigint)
+         as weight_micro,
+       cast(round((select ln((count(*) filter (where label = 1) + 1)
+                           / (count(*) filter (where label = 0) + 1)) from {source}) * 1000000)
+            as bigint) as bias_micro,
+       cast(round(ln((sum(n_neg) over () + 65536) / (sum(n_pos) over () + 65536)) * 1000000)
+            as bigint) as unseen_micro
+from counts""",
+        "model": "select max(bias_micro) as bias, max(unseen_micro) as unseen from weights",
+    }
+
+
+def _logits(source):
+    """SQL for (submission_id, logits) of a view of (submission_id, combined_text)."""
+    return f"""
+select p.submission_id, cast(any_value(m.bias) + coalesce(sum(t.micro), 0) as bigint) / 1000000.0::double
+         as logits
+from {source} p cross join model m
+left join (select submission_id, coalesce(weight_micro, m.unseen) as micro
+           from (select submission_id, cast({_hash('word', 4)} as int) as feature
+                 from (select submission_id, unnest({_WORDS}) as word from {source}))
+           cross join model m left join weights using (feature)) t
+  on t.submission_id = p.submission_id
+group by p.submission_id"""
+
+
+VIEWS = {
+    "posts": """
+select cast(d.doc_id as varchar) as submission_id,
+       split_part(d.text, chr(10), 1) as title,
+       substr(d.text, length(split_part(d.text, chr(10), 1)) + 2) as selftext,
+       case when l.doc_id is null then null
+            when d.doc_id % 23 = 0 then 'META'
+            when quality = 1 and toxic = 0
+                 then case when d.doc_id % 2 = 0 then 'Asshole' else 'Not the A-hole' end
+            when quality = 1 then 'Everyone Sucks'
+            when toxic = 0 then 'Not enough info'
+            else 'No A-holes here' end as link_flair_text,
+       cast(1704067200 + d.doc_id * 3600 as double) as created_utc,
+       'https://example.org/post/' || cast(d.doc_id as varchar) as url,
+       d.lang
+from documents d left join labels l on d.doc_id = l.doc_id""",
+    "scored": """
+select event_id as submission_id, cast(ts as date) as post_date,
+       value / 50 - 1 as logits,
+       case when value / 50 - 1 > 0.5 then 1 else 0 end as pred,
+       cast(case event_type when 'click' then 1 when 'view' then 0
+                            when 'purchase' then 2 when 'signup' then 3
+                            else case when user_id % 2 = 0 then 4 end end as double) as outcome
+from events""",
+    "graded": f"select *, {_ACCURATE} as accurate from scored",
+    "extremes": """
+select scored.* from scored, (
+  select quantile_cont(logits, 0.1) filter (where pred = 0) as t0,
+         quantile_cont(logits, 0.9) filter (where pred = 1) as t1 from scored) limits
+where logits < t0 or logits > t1""",
+    "decided": f"select *, {_POST_DATE} as post_date from posts where {_DECIDED}",
+    "training": f"""
+select submission_id, title, selftext, cast({_outcome('link_flair_text')} as int) as label,
+       {_COMBINED} as combined_text
+from posts where {_TWO}""",
+    "texts": f"select submission_id, {_COMBINED} as combined_text from posts",
+    **_weights("training"),
+    "logits": _logits("texts"),
+    "predictions": f"""
+select submission_id, title, {_POST_DATE} as post_date, url, date '{RUN_DATE}' as date_created,
+       logits, case when logits > 0.5 then 1 else 0 end as pred, link_flair_text, lang
+from posts join logits using (submission_id)""",
+    "pending": f"""
+select title, post_date, url, date_created, logits, pred, {_message_id(RUN_DATE)} as message_id
+from predictions where lang = 'en'""",
+    "lookup": f"""
+select title, link_flair_text as outcome_str, {_outcome('link_flair_text')} as outcome
+from (select title, link_flair_text, row_number() over (
+        partition by title order by created_utc desc, submission_id) as place from posts)
+where place = 1""",
+    "merged": "select p.*, outcome_str, outcome from pending p left join lookup l on p.title = l.title",
+    "split": """
+select *, case when place <= floor(hold / 2) then 'val' when place <= hold then 'test'
+               else 'train' end as split
+from (select *, row_number() over (partition by label order by md5(submission_id || ':42')) as place,
+             ceil(count(*) over (partition by label) * 0.132865::double) as hold
+      from training)""",
+    "days": f"""
+select post_date as date, outcome_type, cast(sum(case when member then accurate end) as bigint) as success,
+       count(*) filter (where member) as n
+from graded cross join (values ('Total'), ('YTA'), ('NTA')) types(outcome_type)
+cross join lateral (select outcome_type = 'Total' or (outcome_type = 'YTA' and outcome = 1)
+                        or (outcome_type = 'NTA' and outcome = 0) as member) flags
+group by 1, 2""",
+    "history": f"""
+select {_HISTORY} from (
+  select date, outcome_type, coalesce(success, 0) as success, n, {_RATES.replace('success', 'coalesce(success, 0)')},
+         date as min_post_date, date as max_post_date from days)""",
+}
+
+# Views trained on the train part only.
+_SPLIT_VIEWS = {
+    "train_part": "select label, combined_text from split where split = 'train'",
+    "held_out": "select submission_id, label, split, combined_text from split where split <> 'train'",
+    **_weights("train_part"),
+    "held_logits": _logits("held_out"),
+    "evaluated": """
+select submission_id, label, split, logits, case when logits > 0.5 then 1 else 0 end as pred
+from held_out join held_logits using (submission_id)""",
+}
+
+
+def _sql(final, *views, own=None):
+    """A statement with the named views in front, `own` ones first where names meet."""
+    chosen = {name: VIEWS[name] for name in views}
+    chosen.update(own or {})
+    head = ",\n".join(f"{name} as ({text})" for name, text in chosen.items())
+    return f"with {head}\n{final}" if head else final
+
+
+_MODEL = ("posts", "training", "counts", "weights", "model", "texts", "logits")
+_PENDING = (*_MODEL, "predictions", "pending")
+_MERGED = (*_PENDING, "lookup", "merged")
+_LOG_VIEW = "submission_id, title, link_flair_text as outcome_str, post_date"
+_RESOLVED = (
+    "title, post_date, url, date_created, logits, pred, message_id, outcome_str, outcome"
+)
+_WAITING = "title, post_date, url, date_created, logits, pred, message_id"
+_SPLIT = ("posts", "training", "split")
+
+
+def _summary(source, unsampled, date):
+    return f"""
+select date '{date}' as date, outcome_type, coalesce(success, 0) as success, n,
+       {_RATES.replace('success', 'coalesce(success, 0)')},
+       (select min(post_date) from {unsampled}) as min_post_date,
+       (select max(post_date) from {unsampled}) as max_post_date
+from (select outcome_type, cast(sum(case when member then accurate end) as bigint) as success,
+             count(*) filter (where member) as n
+      from {source} cross join (values ('Total'), ('YTA'), ('NTA')) types(outcome_type)
+      cross join lateral (select outcome_type = 'Total' or (outcome_type = 'YTA' and outcome = 1)
+                              or (outcome_type = 'NTA' and outcome = 0) as member) flags
+      group by 1)"""
+
+
+_PREDICT_VIEWS = {
+    "state": f"""
+select title, post_date, url, date '2024-02-28' as date_created, logits, pred,
+       {_message_id('2024-02-28')} as message_id from predictions where lang = 'en'""",
+    "fresh": """
+select * from predictions p where link_flair_text is null
+  and not exists (select 1 from state s where s.title is not distinct from p.title)""",
+    "chosen": f"""
+select fresh.* from fresh, (
+  select quantile_cont(logits, 0.1) filter (where pred = 0) as t0,
+         quantile_cont(logits, 0.9) filter (where pred = 1) as t1 from fresh) limits
+where logits < t0 or logits > t1
+order by md5(submission_id || ':{SEED}'), submission_id limit 2""",
+}
+
+_REPORT_VIEWS = {
+    "batch": f"""
+select submission_id, post_date, {_outcome('link_flair_text')} as outcome
+from decided where {_TWO}""",
+    "balanced": f"""
+select * from (select *, row_number() over (
+    partition by outcome order by md5(submission_id || ':{SEED}')) as place from batch)
+where place <= (select count(*) from batch where outcome = 1)""",
+    "report": f"""
+select submission_id, post_date, outcome, {_ACCURATE} as accurate
+from (select b.*, case when logits > 0.5 then 1 else 0 end as pred
+      from balanced b join logits using (submission_id))""",
+    "summary": _summary("report", "batch", RUN_DATE),
+    "updated": f"select {_HISTORY} from history union all select {_HISTORY} from summary",
+}
+
+
+ORACLES = {
+    "newest_posts": _sql(
+        "select submission_id, title, link_flair_text, created_utc, url from posts "
+        "order by created_utc desc, submission_id limit 500",
+        "posts",
+    ),
+    "training_posts": _sql(
+        "select submission_id, title, selftext, label from training", "posts", "training"
+    ),
+    "log_for_batch_dates": _sql(
+        f"select {_LOG_VIEW} from decided where post_date in (select {_POST_DATE} from ("
+        "select * from posts order by created_utc desc, submission_id limit 500) "
+        f"where {_DECIDED})",
+        "posts",
+        "decided",
+    ),
+    "log_last_n_days": _sql(
+        f"select {_LOG_VIEW} from decided "
+        "where post_date between date '2024-01-19' and date '2024-02-01'",
+        "posts",
+        "decided",
+    ),
+    "append_daily_log": _sql(f"select {_LOG_VIEW} from decided", "posts", "decided"),
+    "write_state": _sql("select * from pending where pred = 1", *_PENDING),
+    "archive_resolved": _sql(
+        f"select {_RESOLVED}, '2024-03-02-06-00' as run_ts from merged where outcome is not null",
+        *_MERGED,
+    ),
+    "undecided_posts": _sql(
+        "select submission_id, title, url from posts where link_flair_text is null", "posts"
+    ),
+    "decided_posts": _sql(
+        f"select submission_id, link_flair_text from posts where {_DECIDED}", "posts"
+    ),
+    "binary_verdict_posts": _sql(
+        f"select submission_id, link_flair_text from posts where {_TWO}", "posts"
+    ),
+    "length_filtered_posts": _sql(
+        "select submission_id, cast(length(selftext) as int) as n_chars from posts "
+        "where length(selftext) > 200 and length(selftext) < 6500",
+        "posts",
+    ),
+    "post_dates": _sql(f"select submission_id, {_POST_DATE} as post_date from posts", "posts"),
+    "combined_text": _sql("select * from texts", "posts", "texts"),
+    "coded_outcomes": _sql(
+        f"select submission_id, link_flair_text, {_outcome('link_flair_text')} as outcome from posts",
+        "posts",
+    ),
+    "binary_labels": _sql(
+        "select submission_id, case when link_flair_text = 'YTA' then 1 else 0 end as label, "
+        "case when link_flair_text = 'Asshole' then 1 else 0 end as long_name_label from posts",
+        "posts",
+    ),
+    "thresholded": _sql("select submission_id, logits, pred from scored", "scored"),
+    "truncated_titles": _sql(
+        f"select submission_id, {_short('title')} as short_title from posts", "posts"
+    ),
+    "accuracy_flags": _sql(
+        "select submission_id, pred, outcome, accurate from graded", "scored", "graded"
+    ),
+    "ruling_messages": _sql(
+        f"select submission_id, pred, {_message_id(RUN_DATE)} as message_id, {_ruling()} as message "
+        "from predictions where link_flair_text is null",
+        *_MODEL,
+        "predictions",
+    ),
+    "update_messages": _sql(
+        f"select message_id, {_GRADE} as grade, {_update()} as message from merged "
+        "where outcome is not null",
+        *_MERGED,
+    ),
+    "grade_counts": _sql(
+        f"select {_GRADE} as grade, count(*) as n from scored where outcome is not null group by 1",
+        "scored",
+    ),
+    "unseen_posts_by_title": _sql(
+        "select submission_id, title, url from posts p where link_flair_text is null "
+        "and not exists (select 1 from posts s where s.lang = 'en' "
+        "and s.title is not distinct from p.title)",
+        "posts",
+    ),
+    "new_posts_by_id": _sql(
+        "select submission_id, title, link_flair_text, post_date from decided "
+        "where submission_id not in (select submission_id from decided where lang = 'en')",
+        "posts",
+        "decided",
+    ),
+    "title_lookup": _sql(
+        "select title, outcome_str from lookup "
+        "where title in (select title from posts where lang = 'en')",
+        "posts",
+        "lookup",
+    ),
+    "resolve_predictions": _sql(f"select {_RESOLVED} from merged", *_MERGED),
+    "resolved_predictions": _sql(
+        f"select {_RESOLVED} from merged where outcome is not null", *_MERGED
+    ),
+    "still_unresolved": _sql(f"select {_WAITING} from merged where outcome is null", *_MERGED),
+    "verdict_counts": _sql(
+        f"select count(*) as n_scanned, "
+        f"count(*) filter (where upper(link_flair_text) in ({_spellings(1.0)})) as n_yta, "
+        f"count(*) filter (where upper(link_flair_text) in ({_spellings(0.0)})) as n_nta from posts",
+        "posts",
+    ),
+    "outcome_distribution": _sql(
+        "select outcome, n, cast(round(n * 100.0::double / sum(n) over (), 1) as varchar) || '%' as share "
+        "from (select outcome, count(*) as n from scored where outcome is not null group by 1)",
+        "scored",
+    ),
+    "post_date_range": _sql(
+        "select min(post_date) as min_post_date, max(post_date) as max_post_date from scored",
+        "scored",
+    ),
+    "confusion_matrix": _sql(
+        "select outcome, count(*) filter (where pred = 0) as predicted_0, "
+        "count(*) filter (where pred = 1) as predicted_1 from scored "
+        "where outcome is not null group by 1",
+        "scored",
+    ),
+    "binomial_stats": _sql(
+        f"select success, n, {_RATES} from (select cast(sum(accurate) as bigint) as success, "
+        "count(*) as n from graded)",
+        "scored",
+        "graded",
+    ),
+    "accuracy_summary": _sql(
+        f"select {_HISTORY} from summary",
+        "scored",
+        "graded",
+        own={
+            "two": "select * from graded where outcome in (0, 1)",
+            "summary": _summary("two", "graded", RUN_DATE),
+        },
+    ),
+    "confidence_thresholds": _sql(
+        "select quantile_cont(logits, 0.1) filter (where pred = 0) as t0, "
+        "quantile_cont(logits, 0.9) filter (where pred = 1) as t1 from scored",
+        "scored",
+    ),
+    "control_limits": _sql(
+        "select round(avg(rate), 10) as mean_rate, round(stddev_samp(rate), 10) as sd_rate, "
+        "round(avg(rate) + 3 * stddev_samp(rate), 10) as ucl, "
+        "round(avg(rate) - 3 * stddev_samp(rate), 10) as lcl "
+        "from history where outcome_type = 'Total'",
+        "scored",
+        "graded",
+        "days",
+        "history",
+    ),
+    "eval_accuracy": _sql(
+        "select split, count(*) as n, avg(cast(pred = label as int)) as accuracy "
+        "from evaluated group by 1",
+        *_SPLIT,
+        own=_SPLIT_VIEWS,
+    ),
+    "selective_accuracy": _sql(
+        f"select success, n, {_RATES} from (select cast(sum(accurate) as bigint) as success, "
+        "count(*) as n from two, (select quantile_cont(logits, 0.1) filter (where pred = 0) as t0, "
+        "quantile_cont(logits, 0.9) filter (where pred = 1) as t1 from two) limits "
+        "where logits < t0 or logits > t1)",
+        "scored",
+        "graded",
+        own={"two": "select * from graded where outcome in (0, 1)"},
+    ),
+    "token_length_stats": _sql(
+        f"select max(n) as max_tokens, min(n) as min_tokens "
+        f"from (select cast(len({_WORDS}) as int) as n from texts)",
+        "posts",
+        "texts",
+    ),
+    "split_sizes": _sql("select split, count(*) as n from split group by 1", *_SPLIT),
+    "confident_extremes": _sql("select * from extremes", "scored", "extremes"),
+    "ranked_extremes": _sql(
+        "select * from extremes order by logits, submission_id", "scored", "extremes"
+    ),
+    "sample_n": _sql(
+        f"select * from extremes order by md5(cast(submission_id as varchar) || ':{SEED}'), "
+        "submission_id limit 20",
+        "scored",
+        "extremes",
+    ),
+    "balanced_sample": _sql(
+        "select submission_id, post_date, logits, pred, outcome from (select *, row_number() over ("
+        f"partition by outcome order by md5(cast(submission_id as varchar) || ':{SEED}')) as place "
+        "from scored where outcome is not null) "
+        "where place <= (select count(*) from scored where outcome = 1)",
+        "scored",
+    ),
+    "stratified_split": _sql("select submission_id, label, split from split", *_SPLIT),
+    "stratified_subsample": _sql(
+        "select submission_id, label from (select *, row_number() over ("
+        "partition by label order by md5(submission_id || ':42')) as place, "
+        "count(*) over (partition by label) as total from training) "
+        "where place > ceil(total * 0.5)",
+        "posts",
+        "training",
+    ),
+    "union_distinct": _sql(
+        "select post_date, pred, outcome from scored union "
+        "select post_date, pred, outcome from scored where outcome is not null",
+        "scored",
+    ),
+    "union_all_log": _sql(
+        "select submission_id, link_flair_text, post_date from decided where lang = 'en' union all "
+        "select submission_id, link_flair_text, post_date from decided",
+        "posts",
+        "decided",
+    ),
+    "history_upsert": _sql(
+        f"select {_HISTORY} from history where date <> date '2024-01-15' "
+        f"union all select {_HISTORY} from summary",
+        "scored",
+        "graded",
+        "days",
+        "history",
+        own={"summary": _summary("graded", "graded", "2024-01-15")},
+    ),
+    "token_counts": _sql(
+        f"select submission_id, cast(len({_WORDS}) as int) as n_tokens, "
+        f"cast(least(len({_WORDS}), 4096) as int) as n_used from texts",
+        "posts",
+        "texts",
+    ),
+    "train_weights": _sql(
+        "select * from weights", "posts", "training", "counts", "weights"
+    ),
+    "score_posts": _sql("select * from logits", *_MODEL),
+    "score_with_udf": _sql("select * from logits", *_MODEL),
+    "stream_dedup_ingest": _sql(f"select {_LOG_VIEW} from decided", "posts", "decided"),
+    "stream_daily_accuracy": _sql(
+        "select * from history", "scored", "graded", "days", "history"
+    ),
+    "stream_resolve": _sql(
+        f"select {_RESOLVED} from merged where outcome is not null", *_MERGED
+    ),
+    "stream_score": _sql(
+        "select submission_id, logits, case when logits > 0.5 then 1 else 0 end as pred from logits",
+        *_MODEL,
+    ),
+    "predict_cycle": _sql(
+        f"select {_WAITING} from state union select title, post_date, url, date_created, logits, "
+        f"pred, {_message_id(RUN_DATE)} as message_id from chosen",
+        *_MODEL,
+        "predictions",
+        own=_PREDICT_VIEWS,
+    ),
+    "assess_cycle": _sql(
+        f"select {_RESOLVED}, {_GRADE} as grade, {_update()} as message from merged "
+        "where outcome is not null",
+        *_MERGED,
+    ),
+    "monitor_cycle": _sql(
+        f"select *, {_ACCURATE} as accurate from (select submission_id, title, selftext, "
+        f"link_flair_text as outcome_str, {_COMBINED} as combined_text, "
+        f"{_outcome('link_flair_text')} as outcome, logits, "
+        "case when logits > 0.5 then 1 else 0 end as pred, post_date "
+        "from decided join logits using (submission_id) "
+        "where submission_id not in (select submission_id from decided where lang = 'en'))",
+        *_MODEL,
+        "decided",
+    ),
+    "monitor_report": _sql(
+        f"select {_HISTORY}, round(mean, 10) as mean_rate, round(mean + 3 * sd, 10) as ucl, "
+        "round(mean - 3 * sd, 10) as lcl from updated, (select avg(rate) as mean, "
+        "stddev_samp(rate) as sd from updated where outcome_type = 'Total') limits",
+        *_MODEL,
+        "decided",
+        "scored",
+        "graded",
+        "days",
+        "history",
+        own=_REPORT_VIEWS,
+    ),
+    "train_eval": _sql(
+        'select split, label, count(*) as n, count(*) filter (where pred = label) as "right" '
+        "from evaluated group by 1, 2",
+        *_SPLIT,
+        own=_SPLIT_VIEWS,
+    ),
+}
