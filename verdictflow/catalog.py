@@ -55,9 +55,11 @@ def graded_scores(spark, d):
 
 
 def pending(spark, d):
+    """Predictions of an earlier run, as a table."""
     rows = predict.score_posts(english_posts(spark, d), weights(spark, d), RUN_DATE)
     sent = message_id(F.col("title"), F.col("url"), F.lit(RUN_DATE))
-    return rows.withColumn("message_id", sent).select(*PENDING.fieldNames())
+    state = rows.withColumn("message_id", sent).select(*PENDING.fieldNames())
+    return stage(state, "pending")
 
 
 def unscored_log(spark, posts):
@@ -478,8 +480,7 @@ def predict_cycle(spark, d):
 
 
 def assess_cycle(spark, d):
-    waiting = stage(pending(spark, d), "pending")
-    return assess.assess(waiting, feeds.posts(spark, d), SEED).resolved
+    return assess.assess(pending(spark, d), feeds.posts(spark, d), SEED).resolved
 
 
 def monitor_cycle(spark, d):

@@ -4,58 +4,70 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # A key is hot when it holds more than 1 / HOT_KEYS of the rows, so there are fewer
-# than HOT_KEYS of them, and its rows are spread over SALTS tasks.
+# than HOT_KEYS of them. A hot key is spread over tasks by its share of SPREAD pieces.
 HOT_KEYS = 1000
-SALTS = 64
+SPREAD = 4096
+SKETCH_GROUPS = 64
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """True when Spark's own size estimate lets it broadcast the frame."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return 0 <= int(str(size)) <= limit
 
 
 def hot_keys(df: DataFrame, key: str, min_rows=100_000) -> DataFrame:
-    """Keys that hold many of the rows: at most HOT_KEYS rows `hot`.
+    """Hashes of keys that hold many rows, with the number of pieces to spread each over.
 
-    A bounded sketch per task finds the candidates, so no row of the input is
-    shuffled. The sketch only chooses how a join is spread, never its result.
+    Sketches of bounded size per task, merged in two steps, find them without a
+    shuffle of rows. They only choose how a join is spread, never its result. There
+    are fewer than HOT_KEYS rows, and their `pieces` add up to at most SPREAD + HOT_KEYS.
     """
-    marked = df.select(F.coalesce(F.col(key), F.lit("")).alias("_key"))
-    top = marked.agg(
-        F.expr(f"approx_top_k(_key, {HOT_KEYS}, {HOT_KEYS * 10})").alias("top"),
-        F.count(F.lit(1)).alias("rows"),
-    )
-    return (
-        top.select("rows", F.explode("top").alias("entry"))
-        .filter(
-            (F.col("entry.count") >= min_rows)
-            & (F.col("entry.count") * HOT_KEYS > F.col("rows"))
+    tracked = HOT_KEYS * 10
+    group = F.spark_partition_id() % SKETCH_GROUPS
+    sketches = (
+        df.select(F.xxhash64(key).alias("_key"))
+        .groupBy(group.alias("_group"))
+        .agg(
+            F.expr(f"approx_top_k_accumulate(_key, {tracked})").alias("sketch"),
+            F.count(F.lit(1)).alias("rows"),
         )
-        .select(F.col("entry.item").alias("hot"))
+    )
+    top = sketches.agg(
+        F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"),
+        F.sum("rows").alias("rows"),
+    ).select("rows", F.expr(f"inline(approx_top_k_estimate(sketch, {HOT_KEYS}))"))
+    return top.filter(
+        (F.col("count") >= min_rows) & (F.col("count") * HOT_KEYS > F.col("rows"))
+    ).select(
+        F.col("item").alias("hot"),
+        F.ceil(F.col("count") / F.col("rows") * SPREAD).cast("int").alias("pieces"),
     )
 
 
-def spread_join(left, right, key, how, spread_by, min_rows=100_000, salts=SALTS):
+def spread_join(left, right, key, how, spread_by, min_rows=100_000):
     """Join `left` with `right` (one row per key) on a string key, NULL matching NULL.
 
-    Rows of hot keys in `left` are spread over `salts` tasks by the hash of the
-    `spread_by` columns; `right` repeats the few hot rows once per salt.
+    A right side that Spark can broadcast is joined as it is. Beyond that size both
+    sides are shuffled: rows of hot keys in `left` are spread by the hash of the
+    `spread_by` columns, and `right` repeats its few hot rows once per piece.
     """
+    right = right.withColumnRenamed(key, "_key")
+    same_key = F.col(key).eqNullSafe(F.col("_key"))
+    if fits_broadcast(right):
+        return left.join(right, same_key, how).drop("_key")
     hot = F.broadcast(hot_keys(left, key, min_rows))
-    is_hot = F.col("hot").isNotNull()
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    salted_left = left.join(
-        hot, F.coalesce(left[key], F.lit("")) == F.col("hot"), "left"
-    ).select(*left.columns, F.when(is_hot, salt).otherwise(F.lit(0)).alias("_salt"))
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    salted_right = right.join(
-        hot, F.coalesce(right[key], F.lit("")) == F.col("hot"), "left"
-    ).select(
-        F.col(key).alias("_key"),
-        *[c for c in right.columns if c != key],
-        F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))).alias("_other"),
+    piece = F.pmod(F.xxhash64(*spread_by), F.coalesce("pieces", F.lit(1))).cast("int")
+    pieced = left.join(hot, F.xxhash64(key) == F.col("hot"), "left").select(
+        *left.columns, piece.alias("_piece")
     )
-    joined = salted_left.join(
-        salted_right,
-        F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_other")),
-        how,
+    every = F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)
+    repeated = right.join(hot, F.xxhash64("_key") == F.col("hot"), "left").select(
+        *right.columns, F.explode(every).alias("_of")
     )
-    return joined.drop("_salt", "_key", "_other")
+    joined = pieced.join(repeated, same_key & (F.col("_piece") == F.col("_of")), how)
+    return joined.drop("_piece", "_key", "_of")
 
 
 def unseen_by_title(posts, state, min_rows=100_000):
@@ -93,8 +105,14 @@ def latest_by_title(posts):
 
 
 def title_lookup(pending, posts):
-    """(title, outcome_str) of each distinct pending title found among the posts."""
+    """(title, outcome_str) of each distinct pending title found among the posts.
+
+    A short list of titles is broadcast and narrows the posts before they are ranked.
+    A long one is joined after it, with one row per title on both sides.
+    """
     titles = pending.filter(F.col("title").isNotNull()).select("title").distinct()
+    if fits_broadcast(titles):
+        return latest_by_title(posts.join(titles, "title", "left_semi"))
     return latest_by_title(posts).join(titles, "title", "left_semi")
 
 

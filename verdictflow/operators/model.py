@@ -92,13 +92,17 @@ def score(posts: DataFrame, weights: DataFrame, text_col="combined_text", max_wo
     projection: no shuffle, no exploded words, and all other columns ride along.
     """
     model = dense_model(weights).select(F.struct("bias_micro", "weights").alias("model"))
+    # Each helper column is used once, so Spark folds it into the expression below and
+    # no row carries the weights. Both name the same subquery, which runs once.
+    with_model = posts.withColumns(
+        {
+            "_bias": model.scalar().getField("bias_micro"),
+            "_weights": model.scalar().getField("weights"),
+        }
+    )
     total = F.aggregate(
         words(F.col(text_col), max_words),
-        F.col("_model.bias_micro"),
-        lambda acc, word: acc + F.get(F.col("_model.weights"), word_id(word)),
-    )
-    return (
-        posts.withColumn("_model", model.scalar())
-        .withColumn("logits", total / F.lit(float(UNIT)))
-        .drop("_model")
+        F.col("_bias"),
+        lambda acc, word: acc + F.get(F.col("_weights"), word_id(word)),
     )
+    return with_model.withColumn("logits", total / F.lit(float(UNIT))).drop("_bias", "_weights")

@@ -11,7 +11,8 @@ from verdictflow.functions.hashing import shuffle_key
 from verdictflow.functions.scores import without_nan
 from verdictflow.operators.quantiles import class_thresholds
 
-BUCKET_DIGITS = 4
+# Lengths of the two hash prefixes that narrow a rank: 4,096 and 16 million of them.
+PREFIX_DIGITS = (3, 6)
 
 
 def confident_extremes(df, share=0.1, class_col="pred", score_col="logits", thresholds=None):
@@ -42,59 +43,90 @@ def hash_cutoffs(df: DataFrame, stratum: str, id_col: str, seed, cuts: dict) ->
 
     `cuts` maps a name to a function from the stratum's size to a rank. The result
     has one row per stratum: stratum, and a hash per name; the rows up to that rank
-    are those with `shuffle_key <= hash`. The ranks come from counts per hash prefix
-    (65,536 per stratum at most), and only the one prefix around a cut is sorted.
+    are those with `shuffle_key <= hash`.
+
+    Counts per hash prefix say which prefix a rank falls into, counts per longer
+    prefix narrow that one, and only the rows under it are ranked: about a
+    16-millionth of a stratum. Each pass reads two narrow columns.
     """
     keyed = df.select(
         F.col(stratum).alias("stratum"), shuffle_key(F.col(id_col), seed).alias("key")
-    ).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-    sizes = keyed.groupBy("stratum", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    )
+    short, long = (F.substring("key", 1, digits) for digits in PREFIX_DIGITS)
     whole = Window.partitionBy("stratum")
-    edges = sizes.select(
-        "stratum",
-        "bucket",
-        (F.sum("n").over(whole.orderBy("bucket")) - F.col("n")).alias("before"),
-        F.col("n"),
-        F.sum("n").over(whole).alias("total"),
+    # At most 4,096 prefixes per stratum.
+    edges = (
+        keyed.groupBy("stratum", short.alias("prefix"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(
+            "stratum",
+            "prefix",
+            "n",
+            (F.sum("n").over(whole.orderBy("prefix")) - F.col("n")).alias("before"),
+            F.sum("n").over(whole).alias("total"),
+        )
+    )
+    wanted = F.array(
+        *[
+            F.struct(F.lit(name).alias("cut"), rank(F.col("total")).cast("bigint").alias("rank"))
+            for name, rank in cuts.items()
+        ]
     )
-    for name, rank in cuts.items():
-        edges = edges.withColumn(name, rank(F.col("total")).cast("bigint"))
-
-    around = F.lit(False)
-    for name in cuts:
-        around |= (F.col(name) > F.col("before")) & (F.col(name) <= F.col("before") + F.col("n"))
-    cut_buckets = edges.filter(around).select(
-        F.col("stratum").alias("cut_stratum"), F.col("bucket").alias("cut_bucket"), "before", *cuts
+    around = edges.select("*", F.explode(wanted).alias("_cut")).select("*", "_cut.*")
+    first = _holding_rank(around)
+
+    per_cut = Window.partitionBy("stratum", "cut")
+    finer = (
+        _rows_under(keyed, first, short)
+        .groupBy("stratum", "cut", "rank", "before", long.alias("prefix"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn(
+            "before", F.col("before") + F.sum("n").over(per_cut.orderBy("prefix")) - F.col("n")
+        )
     )
-    inside = keyed.join(
-        F.broadcast(cut_buckets),
-        F.col("stratum").eqNullSafe(F.col("cut_stratum"))
-        & (F.col("bucket") == F.col("cut_bucket")),
+    ranked = _rows_under(keyed, _holding_rank(finer), long).withColumn(
+        "place", F.col("before") + F.row_number().over(per_cut.orderBy("key"))
     )
-    order = Window.partitionBy("stratum", "bucket").orderBy("key")
-    placed = inside.withColumn("place", F.col("before") + F.row_number().over(order))
-    keys_at = placed.groupBy("stratum").agg(
-        *[F.max(F.when(F.col("place") == F.col(name), F.col("key"))).alias(f"_{name}") for name in cuts]
+    at_rank = ranked.filter(F.col("place") == F.col("rank")).select(
+        F.col("stratum").alias("_stratum"), "cut", "key"
     )
-    totals = edges.groupBy("stratum").agg(
-        F.max("total").alias("total"), *[F.max(name).alias(name) for name in cuts]
+
+    totals = edges.groupBy("stratum").agg(F.max("total").alias("total"))
+    found = totals.join(
+        F.broadcast(at_rank), F.col("stratum").eqNullSafe(F.col("_stratum")), "left"
+    ).groupBy("stratum", "total")
+    hashes = found.agg(
+        *[F.max(F.when(F.col("cut") == name, F.col("key"))).alias(f"_{name}") for name in cuts]
     )
-    return totals.join(
-        F.broadcast(keys_at.withColumnRenamed("stratum", "_stratum")),
-        F.col("stratum").eqNullSafe(F.col("_stratum")),
-        "left",
-    ).select(
+    # "" lies below every hash and "g" above.
+    return hashes.select(
         "stratum",
         *[
-            F.when(F.col(name) <= 0, F.lit(""))
-            .when(F.col(name) >= F.col("total"), F.lit("g"))
+            F.when(rank(F.col("total")) <= 0, F.lit(""))
+            .when(rank(F.col("total")) >= F.col("total"), F.lit("g"))
             .otherwise(F.col(f"_{name}"))
             .alias(name)
-            for name in cuts
+            for name, rank in cuts.items()
         ],
     )
 
 
+def _holding_rank(prefixes):
+    """The one prefix per stratum and cut that holds the wanted rank."""
+    return prefixes.filter(
+        (F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("n"))
+    ).select("stratum", "cut", "rank", "prefix", "before")
+
+
+def _rows_under(keyed, prefixes, prefix):
+    """Rows of `keyed` under one of the prefixes: a row per stratum and cut, so a broadcast."""
+    small = prefixes.withColumnsRenamed({"stratum": "_stratum", "prefix": "_prefix"})
+    return keyed.join(
+        F.broadcast(small),
+        F.col("stratum").eqNullSafe(F.col("_stratum")) & (prefix == F.col("_prefix")),
+    ).drop("_stratum", "_prefix")
+
+
 def _with_cutoffs(df, stratum, id_col, seed, cuts):
     """`df` with the row's hash `_key` and its stratum's cutoffs; no row is shuffled."""
     cutoffs = hash_cutoffs(df, stratum, id_col, seed, cuts).withColumnRenamed(

@@ -52,10 +52,14 @@ def assess(pending, posts, seed=0):
 
 
 def run_assess(state, posts, archive, outbox, run_ts, dry_run=False, seed=0):
-    """`assess`, then the writes; nothing is written when no verdict came in."""
+    """`assess`, then the writes; nothing is written when no verdict came in.
+
+    The state comes last: a run that stopped before it is repeated as a whole, with
+    the same messages and, for the same `run_ts`, the same archive partition.
+    """
     result = assess(state.read(), posts, seed)
-    if result.any_resolved:
-        archive.append(result.resolved, run_ts, dry_run=dry_run)
-        result.pending = state.write(result.pending, dry_run=dry_run)
-        outbox.append(result.resolved, dry_run=dry_run)
+    if result.any_resolved and not dry_run:
+        outbox.append(result.resolved, "update")
+        archive.append(result.resolved, run_ts)
+        result.pending = state.write(result.pending)
     return result

@@ -60,14 +60,19 @@ def predict(posts, pending, weights, run_date, n_posts=None, n_publish=2, share=
     return PredictResult(scored, published, state)
 
 
-def run_predict(posts, state, outbox, weights, run_date, dry_run=False, **options):
-    """`predict`, then the writes: the new state first, then the messages, both repeatable."""
-    result = predict(posts, state.read(), weights, run_date, **options)
-    if not dry_run:
-        result.published = stage(result.published, "published")
-        result.pending = sets.union_distinct(
-            state.read(), result.published.select(*result.pending.columns)
-        )
-    result.pending = state.write(result.pending, dry_run=dry_run)
-    outbox.append(result.published, dry_run=dry_run)
+def run_predict(posts, state, outbox, weights, run_date, dry_run=False, seed=0, **options):
+    """`predict`, then the writes: the new state, then the messages rendered from it.
+
+    A run that stopped between the two finds its predictions in the state, so the
+    next run of the day still sends their messages, each once.
+    """
+    result = predict(posts, state.read(), weights, run_date, seed=seed, **options)
+    if dry_run:
+        return result
+    result.published = stage(result.published, "published")
+    chosen = result.published.select(*result.pending.columns)
+    result.pending = state.write(sets.union_distinct(state.read(), chosen))
+    of_today = F.col("date_created") == F.lit(str(run_date)).cast("date")
+    messages = with_messages(result.pending.filter(of_today), run_date, seed)
+    outbox.append(messages, "ruling")
     return result

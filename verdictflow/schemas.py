@@ -55,7 +55,11 @@ HISTORY = _schema(
     ("max_post_date", T.DateType()),
 )
 
-OUTBOX = _schema(("message_id", T.LongType()), ("message", T.StringType()))
+OUTBOX = _schema(
+    ("message_id", T.LongType()),
+    ("kind", T.StringType()),
+    ("message", T.StringType()),
+)
 
 TRAINING_CSV = _schema(
     ("submission_id", T.StringType()),

@@ -57,7 +57,8 @@ def even_out(df: DataFrame, limit_bytes: int = 1 << 30) -> DataFrame:
 
     A large scan already has more splits than cores and is returned unchanged.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > limit_bytes:
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size > limit_bytes:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

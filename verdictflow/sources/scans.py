@@ -1,5 +1,7 @@
 """Readers: state tables, training files and files chosen by the date in their name."""
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from verdictflow.schemas import TRAINING_CSV
@@ -66,11 +68,14 @@ def last_days(df, run_date, n, exclude_today=False, column="post_date"):
     )
 
 
-def files_last_days(df, run_date, n, pattern=r"(\d{4}-\d{2}-\d{2})", date_format="yyyy-MM-dd", exclude_today=False):
+def files_last_days(df, run_date, n, date_format="%Y-%m-%d", exclude_today=False):
     """Rows of those files whose name contains one of the last n days.
 
-    `df` is a file scan; `pattern` finds the date in the name and `date_format` reads it.
+    `df` is a file scan; the condition is on the file's name alone, so Spark drops the
+    other files before it opens them.
     """
-    found = F.regexp_extract(F.col("_metadata.file_name"), pattern, 1)
-    named = df.withColumn("_day", F.to_date(F.try_to_timestamp(found, F.lit(date_format))))
-    return last_days(named, run_date, n, exclude_today, "_day").drop("_day")
+    days = [run_date - timedelta(days=back) for back in range(int(exclude_today), n)]
+    matches = F.lit(False)
+    for day in days:
+        matches |= F.col("_metadata.file_name").contains(day.strftime(date_format))
+    return df.filter(matches)

@@ -115,7 +115,7 @@ class Archive:
 
 
 class Outbox:
-    """Messages to be sent, one row each; a message already there is not added again."""
+    """Messages to be sent, one row per prediction and kind; one already there is not added again."""
 
     def __init__(self, spark, path):
         self.spark, self.path = spark, path
@@ -123,9 +123,10 @@ class Outbox:
     def read(self) -> DataFrame:
         return read_if_exists(self.spark, self.path, OUTBOX)
 
-    def append(self, messages: DataFrame, dry_run=False) -> DataFrame:
-        known = self.read().select("message_id")
-        new = messages.select(*OUTBOX.fieldNames()).join(known, "message_id", "left_anti")
+    def append(self, messages: DataFrame, kind: str, dry_run=False) -> DataFrame:
+        rows = messages.withColumn("kind", F.lit(kind)).select(*OUTBOX.fieldNames())
+        known = self.read().filter(F.col("kind") == kind).select("message_id")
+        new = rows.join(known, "message_id", "left_anti").select(*OUTBOX.fieldNames())
         if not dry_run:
             new.write.mode("append").parquet(self.path)
         return new
