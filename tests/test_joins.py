@@ -65,6 +65,8 @@ def test_spread_anti_join_equals_brute_force(spark, make_posts, setting):
         state = spark.createDataFrame([(k,) for k in known], "title string")
         got = ids(joins.unseen_by_title(posts, state, min_rows=10))
         assert got == sorted(str(r[0]) for r in rows if r[1] not in known)
+    state = spark.createDataFrame([("hot",)], "title string")
+    assert ids(joins.unseen_by_title(posts.limit(0), state, min_rows=10)) == []
 
 
 def test_hot_keys_finds_every_heavy_title(make_posts):

@@ -34,7 +34,8 @@ def hot_keys(df: DataFrame, key: str, min_rows=100_000) -> DataFrame:
             F.count(F.lit(1)).alias("rows"),
         )
     )
-    top = sketches.agg(
+    # Grouped, so that an empty input gives no row.
+    top = sketches.groupBy(F.lit("all")).agg(
         F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"),
         F.sum("rows").alias("rows"),
     ).select("rows", F.expr(f"inline(approx_top_k_estimate(sketch, {HOT_KEYS}))"))

@@ -8,10 +8,16 @@ from verdictflow.schemas import TRAINING_CSV
 from verdictflow.sources.files import exists
 
 
+def empty(spark, schema):
+    """A table without rows, which Spark knows to be empty when it plans a join."""
+    nothing = [F.lit(None).cast(field.dataType).alias(field.name) for field in schema.fields]
+    return spark.range(0).select(*nothing)
+
+
 def read_if_exists(spark, path, schema, fmt="parquet", **options):
     """The table at a path, or an empty one of the same schema."""
     if not exists(spark, path):
-        return spark.createDataFrame([], schema)
+        return empty(spark, schema)
     return spark.read.schema(schema).options(**options).format(fmt).load(path)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from verdictflow.schemas import DAILY_LOG, HISTORY, OUTBOX, PENDING, RESOLVED
 from verdictflow.sources.files import child_names, exists
-from verdictflow.sources.scans import read_if_exists
+from verdictflow.sources.scans import empty, read_if_exists
 
 
 class VersionedTable:
@@ -42,7 +42,7 @@ class VersionedTable:
     def read(self, version: int | None = None) -> DataFrame:
         version = self.version() if version is None else version
         if version < 0:
-            return self.spark.createDataFrame([], self.schema)
+            return empty(self.spark, self.schema)
         return self.spark.read.schema(self.schema).parquet(self._folder(version))
 
     def write(self, df: DataFrame, version: int | None = None, dry_run=False) -> DataFrame:
