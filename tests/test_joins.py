@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tests.conftest import plan_of
+from tests.conftest import nodes_of, plan_of
 from verdictflow.operators import filters, joins
 from verdictflow.plans import assess
 from verdictflow.schemas import PENDING
@@ -133,10 +133,26 @@ def test_resolve_keeps_one_row_per_prediction(spark, make_posts, setting):
         assert waiting.columns == PENDING.fieldNames()
 
 
-def test_new_by_id_drops_logged_and_repeated_ids(spark, make_posts):
+def test_new_by_id_drops_logged_and_repeated_ids(spark, make_posts, setting):
     posts = make_posts(
-        [(1, "old", "b", "nta", 1), (1, "new", "b", "nta", 2), (2, "t", "b", "nta", 1), (3, "t", "b", "nta", 1)]
+        [
+            (1, "old", "b", "nta", 1),
+            (1, "new", "b", "nta", 2),
+            (2, "t", "b", "nta", 1),
+            (3, "t", "b", "nta", 1),
+        ]
     )
     logged = spark.createDataFrame([("2",), ("9",)], "submission_id string")
-    got = {r.submission_id: r.title for r in joins.new_by_id(posts, logged).collect()}
-    assert got == {"1": "new", "3": "t"}
+    for limit in ("10485760", "-1"):
+        setting("spark.sql.autoBroadcastJoinThreshold", limit)
+        new = joins.new_by_id(posts, logged)
+        assert {r.submission_id: r.title for r in new.collect()} == {"1": "new", "3": "t"}
+
+
+def test_ids_are_made_unique_and_compared_in_one_shuffle(spark, make_posts, setting):
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    _, posts = skewed_posts(make_posts)
+    logged = spark.range(50).select(F.col("id").cast("string").alias("submission_id"))
+    new = joins.new_by_id(posts, logged)
+    assert sum("Exchange" in name for name in nodes_of(new)) == 2
+    assert new.count() == posts.count() - 50

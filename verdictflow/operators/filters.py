@@ -27,13 +27,12 @@ def length_filter(posts, mode="intended", shorter=200, longer=6500):
     """Drop very short and very long bodies.
 
     The condition as the original jobs wrote it (`shorter >= length >= longer`) never
-    holds, so mode `as_written` keeps every row; `intended` keeps the lengths between.
+    holds, so mode `as_written` keeps every row and reads no body; `intended` keeps the
+    lengths between.
     """
-    length = F.length("selftext")
-    if mode == "as_written":
-        return posts.filter(
-            F.coalesce(~((length <= shorter) & (length >= longer)), F.lit(True))
-        )
+    if mode == "as_written" and shorter < longer:
+        return posts
     if mode != "intended":
-        raise ValueError(f"unknown mode {mode!r}")
+        raise ValueError(f"no length filter {mode!r} for {shorter} and {longer}")
+    length = F.length("selftext")
     return posts.filter((length > shorter) & (length < longer))

@@ -91,8 +91,14 @@ def first_by_id(batch):
 
 
 def new_by_id(batch, logged):
-    """Batch posts, each once, whose id is not in the logged rows."""
+    """Batch posts, each once, whose id is not in the logged rows.
+
+    A short list of ids is broadcast and drops logged posts before any shuffle. A long
+    one meets the batch after its ids are made unique, with one shuffle for both steps.
+    """
     known = logged.select("submission_id").distinct()
+    if fits_broadcast(known):
+        return first_by_id(batch.join(known, "submission_id", "left_anti"))
     return first_by_id(batch).join(known, "submission_id", "left_anti")
 
 
