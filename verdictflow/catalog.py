@@ -348,7 +348,8 @@ def stratified_subsample(spark, d):
 
 def union_distinct(spark, d):
     rows = feeds.scored(spark, d).select("post_date", "pred", "outcome")
-    return sets.union_distinct(rows, rows.filter(F.col("outcome").isNotNull()).select("outcome", "pred", "post_date"))
+    again = rows.filter(F.col("outcome").isNotNull()).select("outcome", "pred", "post_date")
+    return sets.union_distinct(rows, again)
 
 
 def union_all_log(spark, d):

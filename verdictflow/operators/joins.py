@@ -58,7 +58,11 @@ def spread_join(left, right, key, how, spread_by, min_rows=100_000):
     same_key = F.col(key).eqNullSafe(F.col("_key"))
     if fits_broadcast(right):
         return left.join(right, same_key, how).drop("_key")
-    hot = F.broadcast(hot_keys(left, key, min_rows))
+    # Read once to the driver (under HOT_KEYS rows): both sides must see the same pieces.
+    found = hot_keys(left, key, min_rows).collect()
+    if not found:
+        return left.join(right, same_key, how).drop("_key")
+    hot = F.broadcast(left.sparkSession.createDataFrame(found, "hot bigint, pieces int"))
     piece = F.pmod(F.xxhash64(*spread_by), F.coalesce("pieces", F.lit(1))).cast("int")
     pieced = left.join(hot, F.xxhash64(key) == F.col("hot"), "left").select(
         *left.columns, piece.alias("_piece")

@@ -42,7 +42,10 @@ def train_weights(training: DataFrame, text_col="combined_text", label_col="labe
             F.explode(words(F.col(text_col), max_words)).alias("word"),
         )
         .groupBy(word_id(F.col("word")).alias("feature"))
-        .agg(F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") == 0).alias("n_neg"))
+        .agg(
+            F.count_if(F.col("label") == 1).alias("n_pos"),
+            F.count_if(F.col("label") == 0).alias("n_neg"),
+        )
     )
     priors = training.agg(
         F.ln(

@@ -13,7 +13,7 @@ from verdictflow.session import even_out, stage
 
 
 def score_posts(posts, weights, run_date, sep=" ", null_text="", threshold=0.5):
-    """Posts as prediction rows: submission_id, title, post_date, url, date_created, logits, pred."""
+    """Posts as prediction rows, with submission_id in front."""
     prepared = even_out(
         posts.select(
             "submission_id",

@@ -74,7 +74,8 @@ class DailyLog:
         There is one date per day, so the list is short; past `max_dates` the range
         between the first and the last one is read instead.
         """
-        days = [row[0] for row in batch.select(self.column).distinct().limit(max_dates + 1).collect()]
+        distinct = batch.select(self.column).distinct()
+        days = [row[0] for row in distinct.limit(max_dates + 1).collect()]
         if len(days) > max_dates:
             span = batch.agg(F.min(self.column).alias("lo"), F.max(self.column).alias("hi")).first()
             return self.read().filter(F.col(self.column).between(span.lo, span.hi))
@@ -115,7 +116,7 @@ class Archive:
 
 
 class Outbox:
-    """Messages to be sent, one row per prediction and kind; one already there is not added again."""
+    """Messages to be sent, one row per prediction and kind, each added once."""
 
     def __init__(self, spark, path):
         self.spark, self.path = spark, path

@@ -12,7 +12,8 @@ def ingest(posts, log, checkpoint, to_batch=None, weights=None, **trigger):
 
     Ids are checked against the logged rows of the batch's dates, so a post may come
     at any time after its date, and a repeated batch adds nothing. `to_batch` turns a
-    micro-batch into posts; without `weights` the scores stay NULL.
+    micro-batch into posts. Without `weights` the scores stay NULL; give them as a
+    stored table, since every batch reads them.
     """
 
     def add(batch, _batch_id):

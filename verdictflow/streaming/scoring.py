@@ -11,7 +11,8 @@ from verdictflow.streaming.common import start
 def score_stream(posts, weights, path, checkpoint, to_batch=None, threshold=0.5, **trigger):
     """Write (submission_id, logits, pred) of every post below `path`.
 
-    Each batch has its own partition, which a repeated batch replaces.
+    Each batch has its own partition, which a repeated batch replaces. `weights` should
+    be a stored table, since every batch reads them.
     """
 
     def score_batch(batch, batch_id):
