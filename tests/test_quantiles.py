@@ -42,6 +42,12 @@ def test_thresholds_are_exact(spark, case, limit):
             assert ours == wanted or ours == pytest.approx(wanted, rel=1e-14)
 
 
+def test_equal_values_around_the_rank_are_not_rounded(spark):
+    pairs = [(0, 0.1)] * 7 + [(1, 0.7)] * 8
+    assert tuple(quantiles.class_thresholds(scored(spark, pairs), 0.3).first()) == (0.1, 0.7)
+    assert sampling.confident_extremes(scored(spark, pairs), 0.3).count() == 0
+
+
 def test_narrowing_leaves_few_rows_to_rank(spark):
     df = scored(spark, samples()[0])
     left = quantiles.class_thresholds(df, gather_limit=20, sketch_accuracy=50)

@@ -20,12 +20,17 @@ class _Span:
     n: int
     rank: int
     fraction: float
-    inside: int  # rows strictly between lo and hi
+    below_hi: int  # rows < hi
     lo: float | None = None
     hi: float | None = None
     below: int = 0  # rows < lo
     up_to_lo: int = 0  # rows <= lo
 
+    @property
+    def inside(self):
+        """Rows strictly between lo and hi."""
+        return max(self.below_hi - self.up_to_lo, 0)
+
     def strictly_inside(self, score):
         inside = F.lit(True)
         if self.lo is not None:
@@ -103,6 +108,7 @@ def _narrow(rows, spans, accuracy):
         checks += [
             F.count_if(mine & (score < lo)).alias(f"below{i}"),
             F.count_if(mine & (score <= lo)).alias(f"up_to_lo{i}"),
+            F.count_if(mine & (score < hi)).alias(f"below_hi{i}"),
             F.count_if(mine & (score <= hi)).alias(f"up_to_hi{i}"),
         ]
     counts = rows.agg(*checks).first()
@@ -112,15 +118,7 @@ def _narrow(rows, spans, accuracy):
             span.lo, span.below = lo, counts[f"below{i}"]
             span.up_to_lo = counts[f"up_to_lo{i}"]
         if counts[f"up_to_hi{i}"] >= min(span.rank + 2, span.n):
-            span.hi = hi
-    left = rows.agg(
-        *[
-            F.count_if((F.col("cls") == span.cls) & span.strictly_inside(score)).alias(f"in{i}")
-            for i, span in enumerate(spans)
-        ]
-    ).first()
-    for i, span in enumerate(spans):
-        span.inside = left[f"in{i}"]
+            span.hi, span.below_hi = hi, counts[f"below_hi{i}"]
 
 
 def _rank_inside(rows, spans):
@@ -146,6 +144,7 @@ def _rank_inside(rows, spans):
         low = at(span, span.rank)
         if span.fraction:
             high = at(span, span.rank + 1)
-            low = low + (high - low) * F.lit(span.fraction)
+            mixed = low * F.lit(1 - span.fraction) + high * F.lit(span.fraction)
+            low = F.when(low == high, low).otherwise(mixed)
         thresholds[span.cls] = low
     return ranked.agg(thresholds[0].alias("t0"), thresholds[1].alias("t1"))

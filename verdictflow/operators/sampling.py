@@ -1,7 +1,7 @@
 """Selection of confident rows, samples and stratified splits.
 
 Random choices follow the order of md5(id, seed): repeatable, and independent of
-partitioning. `id_col` must be a key of the input.
+partitioning. `id_col` must be a key of the input, and a class column has few values.
 """
 
 from pyspark.sql import DataFrame, Window
