@@ -32,3 +32,37 @@ def held_out(doc_id: Column) -> Column:
 
 def joined(values: Column) -> Column:
     return F.array_join(values, ",")
+
+
+def free_name(df, base: str) -> str:
+    """`base`, or `base` with underscores in front if `df` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base = "_" + base
+    return base
+
+
+# For the functions that run on Arrow batches: words as bytes.
+
+_WORD_BYTES = bytes(
+    c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
+    for c in range(256)
+)
+
+
+def byte_words(text: str | None) -> list[bytes]:
+    """The words of `words()` as UTF-8 bytes."""
+    return [] if not text else text.encode("utf-8", "replace").translate(_WORD_BYTES).split()
+
+
+def pieces(texts, limit: int = 4_000_000):
+    """Split a batch into (from, to) ranges of at most `limit` characters, or one text."""
+    begin, size = 0, 0
+    for i, text in enumerate(texts):
+        n = len(text) if text else 0
+        if i > begin and size + n > limit:
+            yield begin, i
+            begin, size = i, 0
+        size += n
+    if len(texts) > begin:
+        yield begin, len(texts)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from verdictflow.llm import secret_scan, url_filter
+from verdictflow.llm import mixing, secret_scan, url_filter
 
 #: Fixed rules of the url query: host, path and verdict.
 URL_RULES = [
@@ -37,7 +37,25 @@ def op9_secret_scan(spark, d):
     )
 
 
+def op10_mix(spark, d):
+    """How many words of each document the mix takes."""
+    chosen, quotas = mixing.mix(read(spark, d, "documents"), F.array("source"))
+    # One row per source.
+    quotas = F.broadcast(quotas)
+    source = F.get("members", F.lit(0))
+    return chosen.join(quotas, source.eqNullSafe(F.col("source"))).select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        (F.col("size") * F.col("repeats")).alias("taken"),
+        "source",
+        "repeats",
+    )
+
+
 QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_secret_scan": op9_secret_scan,
+    "op10_mix": op10_mix,
 }
