@@ -2,6 +2,33 @@
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+DECONTAMINATE = rf"""
+with d as (
+  select doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} w from documents
+), i as (
+  select item_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} w from benchmark
+), windows as (
+  select distinct item_id, least(10, len(w)) size,
+         array_to_string(w[pos:pos + least(10, len(w)) - 1], ' ') run
+  from i, unnest(range(1, greatest(len(w) - 8, 2))) t(pos) where len(w) > 0
+), places as (
+  select doc_id, size, pos, array_to_string(w[pos:pos + size - 1], ' ') run
+  from d, (select distinct size from windows) s, unnest(range(1, len(w) - size + 2)) t(pos)
+), found as (
+  select doc_id, item_id, windows.size, pos from places join windows using (size, run)
+), hits as (
+  select doc_id, count(distinct n) n_hit from found, unnest(range(pos, pos + size)) t(n) group by doc_id
+), ids as (
+  select doc_id, count(*) n_items, string_agg(item, ',' order by item) items
+  from (select distinct doc_id, cast(item_id as varchar) item from found) group by doc_id
+)
+select d.doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
+       sha256(coalesce(items, '')) items_sha256, n_hit is not null contaminated
+from d left join hits using (doc_id) left join ids using (doc_id)
+"""
+
 URL_FILTER = rf"""
 with u as (
   select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end rest
@@ -97,6 +124,7 @@ from t left join found on t.doc_id = found.doc_id
 """
 
 ORACLES = {
+    "op6_decontaminate": DECONTAMINATE,
     "op8_url_filter": URL_FILTER,
     "op9_secret_scan": SECRET_SCAN,
 }

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from verdictflow.llm import mixing, secret_scan, url_filter
+from verdictflow.llm import decontaminate, mixing, secret_scan, url_filter
 
 #: Fixed rules of the url query: host, path and verdict.
 URL_RULES = [
@@ -18,6 +18,20 @@ def read(spark, d, table):
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
+def op6_decontaminate(spark, d):
+    """The words of each document that lie in a window of a test item."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    found = decontaminate.find_overlaps(docs, read(spark, d, "benchmark"), "overlap")
+    return found.select(
+        "doc_id",
+        "overlap.n_words",
+        "overlap.n_hit",
+        F.size("overlap.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("overlap.items", ","), 256).alias("items_sha256"),
+        (F.col("overlap.n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op8_url_filter(spark, d):
     """The verdict on each page's url."""
     rules = spark.createDataFrame(URL_RULES, url_filter.RULES)
@@ -55,6 +69,7 @@ def op10_mix(spark, d):
 
 
 QUERIES = {
+    "op6_decontaminate": op6_decontaminate,
     "op8_url_filter": op8_url_filter,
     "op9_secret_scan": op9_secret_scan,
     "op10_mix": op10_mix,
