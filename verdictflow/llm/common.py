@@ -1,6 +1,7 @@
 """Column expressions that several operators share."""
 
-from pyspark.sql import Column, functions as F
+import numpy as np
+from pyspark.sql import Column, Window, functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -66,3 +67,45 @@ def pieces(texts, limit: int = 4_000_000):
         size += n
     if len(texts) > begin:
         yield begin, len(texts)
+
+
+def sample_per_class(rows, label: str, per_class: int, order):
+    """At most `per_class` rows of each label, the first in `order` (a seeded hash).
+
+    The limit is applied in each task before the shuffle.
+    """
+    place = Window.partitionBy(label).orderBy(order)
+    name = free_name(rows, "place")
+    picked = rows.filter(F.col(label).isNotNull()).withColumn(name, F.row_number().over(place))
+    return picked.filter(F.col(name) <= per_class).drop(name)
+
+
+def sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+
+class Adam:
+    """Adam updates of a list of arrays, in place."""
+
+    def __init__(self, arrays, rate):
+        self.arrays, self.rate, self.n = arrays, rate, 0
+        self.mean = [np.zeros_like(a) for a in arrays]
+        self.square = [np.zeros_like(a) for a in arrays]
+
+    def step(self, gradients):
+        self.n += 1
+        for a, g, m, s in zip(self.arrays, gradients, self.mean, self.square):
+            m += 0.1 * (g - m)
+            s += 0.001 * (g * g - s)
+            scale = np.sqrt(s / (1 - 0.999**self.n)) + 1e-8
+            a -= self.rate * (m / (1 - 0.9**self.n)) / scale
+
+
+def fit_logistic(x, y, l2=1e-3, steps=400, rate=0.05):
+    """Weights of a logistic regression; the last is the bias."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
+    adam = Adam([w], rate)
+    for _ in range(steps):
+        adam.step([x.T @ (sigmoid(x @ w) - y) / max(1, len(y)) + l2 * w])
+    return w

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from verdictflow.llm import decontaminate, mixing, secret_scan, url_filter
+from verdictflow.llm import decontaminate, lang_id, mixing, secret_scan, toxicity, url_filter
+from verdictflow.llm.common import held_out
 
 #: Fixed rules of the url query: host, path and verdict.
 URL_RULES = [
@@ -18,6 +19,16 @@ def read(spark, d, table):
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
+def op5_language(spark, d):
+    """The language of each document."""
+    docs = read(spark, d, "documents")
+    net = lang_id.train(lang_id.training_sample(docs))
+    found = lang_id.identify(docs.select("doc_id", "text"), net, "found")
+    return found.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "found.lang_pred", "found.score"
+    )
+
+
 def op6_decontaminate(spark, d):
     """The words of each document that lie in a window of a test item."""
     docs = read(spark, d, "documents").select("doc_id", "text")
@@ -32,6 +43,20 @@ def op6_decontaminate(spark, d):
     )
 
 
+def op7_toxicity(spark, d):
+    """The toxicity of each document, with the offsets of its toxic words."""
+    docs = read(spark, d, "documents")
+    field = toxicity.train(toxicity.training_sample(docs, read(spark, d, "labels")))
+    found = toxicity.score(docs.select("doc_id", "text"), field, "found")
+    return found.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "found.score",
+        "found.predicted",
+        "found.spans",
+    )
+
+
 def op8_url_filter(spark, d):
     """The verdict on each page's url."""
     rules = spark.createDataFrame(URL_RULES, url_filter.RULES)
@@ -69,7 +94,9 @@ def op10_mix(spark, d):
 
 
 QUERIES = {
+    "op5_language": op5_language,
     "op6_decontaminate": op6_decontaminate,
+    "op7_toxicity": op7_toxicity,
     "op8_url_filter": op8_url_filter,
     "op9_secret_scan": op9_secret_scan,
     "op10_mix": op10_mix,
