@@ -4,6 +4,28 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 
 _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+JACCARD_JOIN = rf"""
+with recursive w as (
+  select doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} w from documents
+), runs as (
+  select distinct doc_id, array_to_string(w[pos:pos + 4], ' ') run
+  from w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) t(pos) where len(w) > 0
+), sizes as (select doc_id, count(*) n from runs group by doc_id),
+shared as (
+  select a.doc_id a, b.doc_id b, count(*) n
+  from runs a join runs b on a.run = b.run and a.doc_id <> b.doc_id group by all
+), links as (
+  select a, b from shared s join sizes x on s.a = x.doc_id join sizes y on s.b = y.doc_id
+  where 5 * s.n >= 4 * (x.n + y.n - s.n)
+), reach(a, b) as (
+  select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a
+), classes as (select a doc_id, min(b) least from reach group by a),
+counts as (select a doc_id, count(*) n_links from links group by a)
+select d.doc_id, least(d.doc_id, coalesce(c.least, d.doc_id)) class_id,
+       coalesce(n_links, 0) n_links, coalesce(c.least, d.doc_id) >= d.doc_id kept
+from documents d left join classes c on d.doc_id = c.doc_id left join counts n on d.doc_id = n.doc_id
+"""
+
 DECONTAMINATE = rf"""
 with d as (
   select doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} w from documents
@@ -124,6 +146,7 @@ from t left join found on t.doc_id = found.doc_id
 """
 
 ORACLES = {
+    "op2_jaccard_join": JACCARD_JOIN,
     "op6_decontaminate": DECONTAMINATE,
     "op8_url_filter": URL_FILTER,
     "op9_secret_scan": SECRET_SCAN,

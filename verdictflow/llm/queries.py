@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from verdictflow.llm import decontaminate, lang_id, mixing, secret_scan, toxicity, url_filter
+from verdictflow.llm import decontaminate, jaccard_join, lang_id, mixing, secret_scan, toxicity, url_filter
 from verdictflow.llm.common import held_out
 
 #: Fixed rules of the url query: host, path and verdict.
@@ -19,6 +19,13 @@ def read(spark, d, table):
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
+def op2_jaccard_join(spark, d):
+    """The class of near copies of each document, and its number of links."""
+    found = jaccard_join.join_similar(read(spark, d, "documents"))
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    return found.select("doc_id", "class_id", "n_links", kept.alias("kept"))
+
+
 def op5_language(spark, d):
     """The language of each document."""
     docs = read(spark, d, "documents")
@@ -94,6 +101,7 @@ def op10_mix(spark, d):
 
 
 QUERIES = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op5_language": op5_language,
     "op6_decontaminate": op6_decontaminate,
     "op7_toxicity": op7_toxicity,
