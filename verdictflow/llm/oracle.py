@@ -26,6 +26,26 @@ select d.doc_id, least(d.doc_id, coalesce(c.least, d.doc_id)) class_id,
 from documents d left join classes c on d.doc_id = c.doc_id left join counts n on d.doc_id = n.doc_id
 """
 
+EMBEDDING_DEDUP = """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) e from embeddings
+), ok as (
+  select vec_id, label, e from v
+  where label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(e, lambda x: x <> 0)) > 0
+), links as (
+  select a.vec_id a, b.vec_id b from ok a join ok b
+    on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(a, b) as (
+  select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a
+), classes as (select a vec_id, min(b) least from reach group by a),
+counts as (select a vec_id, count(*) n_links from links group by a)
+select v.vec_id, coalesce(n_links, 0) n_links, least(v.vec_id, coalesce(least, v.vec_id)) component_id,
+       coalesce(least, v.vec_id) >= v.vec_id kept
+from v left join classes c on v.vec_id = c.vec_id left join counts n on v.vec_id = n.vec_id
+"""
+
 DECONTAMINATE = rf"""
 with d as (
   select doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} w from documents
@@ -146,6 +166,7 @@ from t left join found on t.doc_id = found.doc_id
 """
 
 ORACLES = {
+    "op3_embedding_dedup": EMBEDDING_DEDUP,
     "op2_jaccard_join": JACCARD_JOIN,
     "op6_decontaminate": DECONTAMINATE,
     "op8_url_filter": URL_FILTER,

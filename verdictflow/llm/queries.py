@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from verdictflow.llm import decontaminate, jaccard_join, lang_id, mixing, secret_scan, toxicity, url_filter
+from verdictflow.llm import decontaminate, embedding_dedup, jaccard_join, lang_id, mixing, secret_scan, toxicity, url_filter
 from verdictflow.llm.common import held_out
 
 #: Fixed rules of the url query: host, path and verdict.
@@ -26,6 +26,11 @@ def op2_jaccard_join(spark, d):
     return found.select("doc_id", "class_id", "n_links", kept.alias("kept"))
 
 
+def op3_embedding_dedup(spark, d):
+    """The component of near-duplicate vectors of each vector."""
+    return embedding_dedup.near_duplicates(read(spark, d, "embeddings"))
+
+
 def op5_language(spark, d):
     """The language of each document."""
     docs = read(spark, d, "documents")
@@ -102,6 +107,7 @@ def op10_mix(spark, d):
 
 QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op5_language": op5_language,
     "op6_decontaminate": op6_decontaminate,
     "op7_toxicity": op7_toxicity,
