@@ -69,14 +69,24 @@ def pieces(texts, limit: int = 4_000_000):
         yield begin, len(texts)
 
 
-def sample_per_class(rows, label: str, per_class: int, order):
-    """At most `per_class` rows of each label, the first in `order` (a seeded hash).
+def sample_per_class(rows, label: str, per_class: int, order, counted=None):
+    """At most `per_class` rows of each label, the first in `order` (a seeded 64-bit hash).
 
-    The limit is applied in each task before the shuffle.
+    Labels are counted first (over `counted`, or `rows`), so that about four times as many
+    rows as are wanted reach the task of a label, however many there are.
     """
+    counts = (rows if counted is None else counted).filter(F.col(label).isNotNull())
+    share = counts.groupBy(F.col(label).alias("of_label")).agg(
+        F.least(F.lit(1.0), 4 * per_class / F.count("*")).alias("share")
+    )
+    fine = 1 << 30
+    near = rows.join(share, F.col(label) == F.col("of_label")).filter(
+        F.pmod(order, F.lit(fine)) < F.col("share") * fine
+    )
+    near = near.drop("of_label", "share")
     place = Window.partitionBy(label).orderBy(order)
-    name = free_name(rows, "place")
-    picked = rows.filter(F.col(label).isNotNull()).withColumn(name, F.row_number().over(place))
+    name = free_name(near, "place")
+    picked = near.withColumn(name, F.row_number().over(place))
     return picked.filter(F.col(name) <= per_class).drop(name)
 
 

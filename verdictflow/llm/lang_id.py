@@ -159,7 +159,9 @@ def training_sample(docs: DataFrame, text="text", lang="lang", doc_id="doc_id",
         F.col(lang).cast("string").alias("lang"),
         order.alias("order"),
     )
-    picked = common.sample_per_class(rows, "lang", PER_LANGUAGE, F.col("order"))
+    # Languages are counted without reading the texts.
+    counted = docs.select(F.col(lang).cast("string").alias("lang"))
+    picked = common.sample_per_class(rows, "lang", PER_LANGUAGE, F.col("order"), counted)
     return [(r["text"], r["lang"]) for r in picked.select("text", "lang").collect()]
 
 

@@ -4,6 +4,30 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 
 _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+LM_SCORE = rf"""
+with w as (
+  select doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} w from documents
+), steps as (
+  select doc_id, w[pos] word, case when pos > 1 then w[pos - 1] end before
+  from w, unnest(range(1, len(w) + 1)) t(pos)
+), words as (
+  select word, round(ln(count(*)::double) * 1000000)::bigint n from steps group by word
+), pairs as (
+  select before, word, round(ln(count(*)::double) * 1000000)::bigint n from steps
+  where before is not null group by before, word having count(*) >= 2
+), total as (select round(ln(greatest(count(*), 1)::double) * 1000000)::bigint n from steps),
+scored as (
+  select doc_id, case when p.n is not null then p.n - b.n
+                      when s.before is null then x.n - total.n
+                      else x.n - total.n + round(ln(0.4::double) * 1000000)::bigint end points
+  from steps s cross join total join words x on s.word = x.word
+  left join words b on s.before = b.word left join pairs p on s.before = p.before and s.word = p.word
+), sums as (select doc_id, count(*) n_words, sum(points)::bigint micro from scored group by doc_id)
+select d.doc_id, coalesce(n_words, 0) n_words, coalesce(micro, 0)::bigint micro_score,
+       micro::double / n_words / 1000000 score
+from documents d left join sums s on d.doc_id = s.doc_id
+"""
+
 JACCARD_JOIN = rf"""
 with recursive w as (
   select doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} w from documents
@@ -166,6 +190,7 @@ from t left join found on t.doc_id = found.doc_id
 """
 
 ORACLES = {
+    "op1_lm_score": LM_SCORE,
     "op3_embedding_dedup": EMBEDDING_DEDUP,
     "op2_jaccard_join": JACCARD_JOIN,
     "op6_decontaminate": DECONTAMINATE,

@@ -2,7 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from verdictflow.llm import decontaminate, embedding_dedup, jaccard_join, lang_id, mixing, secret_scan, toxicity, url_filter
+from verdictflow.llm import (
+    decontaminate,
+    embedding_dedup,
+    jaccard_join,
+    lang_id,
+    lm_score,
+    mixing,
+    quality,
+    secret_scan,
+    toxicity,
+    url_filter,
+)
 from verdictflow.llm.common import held_out
 
 #: Fixed rules of the url query: host, path and verdict.
@@ -19,6 +30,11 @@ def read(spark, d, table):
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
+def op1_lm_score(spark, d):
+    """The language-model score of each document, from counts over all of them."""
+    return lm_score.score_texts(read(spark, d, "documents"))
+
+
 def op2_jaccard_join(spark, d):
     """The class of near copies of each document, and its number of links."""
     found = jaccard_join.join_similar(read(spark, d, "documents"))
@@ -31,6 +47,14 @@ def op3_embedding_dedup(spark, d):
     return embedding_dedup.near_duplicates(read(spark, d, "embeddings"))
 
 
+def op4_quality(spark, d):
+    """The quality of each document."""
+    docs = read(spark, d, "documents")
+    views = quality.train(*quality.training_sample(docs, read(spark, d, "labels")))
+    found = quality.score(docs, views, "found")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "found.*")
+
+
 def op5_language(spark, d):
     """The language of each document."""
     docs = read(spark, d, "documents")
@@ -106,8 +130,10 @@ def op10_mix(spark, d):
 
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_quality": op4_quality,
     "op5_language": op5_language,
     "op6_decontaminate": op6_decontaminate,
     "op7_toxicity": op7_toxicity,
