@@ -199,3 +199,16 @@ def masked(text: Column, spans: Column, mask="[SECRET]") -> Column:
 
     finish = lambda state: F.concat(state["done"], F.substr(text, state["at"] + 1))
     return F.when(F.size(spans) > 0, F.aggregate(spans, begin, step, finish)).otherwise(text)
+
+
+def redact(docs: DataFrame, text="text", doc_id="doc_id", mask="[SECRET]") -> DataFrame:
+    """`docs` with every reported span of `text` masked; rows and columns stay."""
+    whole = F.coalesce(docs[text], F.lit(""))
+    found = scan(docs.select(text, doc_id), text, doc_id).filter(F.size("spans") > 0)
+    found = found.groupBy("doc_id", "text_key").agg(F.first("spans").alias("spans"))
+    found = found.toDF("found_id", "found_key", "found_spans")
+    same = docs[doc_id].eqNullSafe(found["found_id"]) & (text_key(whole) == found["found_key"])
+    joined = docs.join(found, same, "left")
+    spans = found["found_spans"]
+    new = F.when(spans.isNull(), docs[text]).otherwise(masked(docs[text], spans))
+    return joined.select(*[new.alias(c) if c == text else docs[c] for c in docs.columns])
