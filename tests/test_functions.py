@@ -128,8 +128,8 @@ def test_ruling_message(spark):
     remarks = {"yta": ["Y."], "nta": ["N."]}
     message = messages.ruling_message(F.col("t"), F.col("p"), F.col("u"), 0, remarks=remarks)
     assert [r[0] for r in df.select(message).collect()] == [
-        'The bench has heard the case of "A title". The bench rules: YTA. Y.  u',
-        'The bench has heard the case of "". The bench rules: NTA. N.  u',
+        'Y. Forecast for "A title": YTA (u)',
+        'N. Forecast for "": NTA (u)',
     ]
 
 
@@ -141,11 +141,10 @@ def test_update_message(spark):
     message = messages.update_message(
         F.lit("T"), F.col("p"), F.col("o"), F.col("s"), F.lit("u"), F.lit(9), 0, remarks=remarks
     )
-    head = 'PREDICTION UPDATE: In the case of "T". The bench ruled '
     link = "https://example.org/message/9"
     assert [r[0] for r in df.select(message).collect()] == [
-        f"{head}YTA. The forum ruled YTA. The call was right! correct {link}",
-        f"{head}YTA. The forum ruled NTA. The call was wrong! incorrect {link}",
-        f"{head}NTA. The forum ruled Not enough info. "
-        f"The bench has no training in NEI cases, so this is a mistrial. mistrial {link}",
+        f'"T" closed as YTA; forecast was YTA. Forecast met. correct {link}',
+        f'"T" closed as NTA; forecast was YTA. Forecast missed. incorrect {link}',
+        '"T" closed as Not enough info; forecast was NTA. '
+        f"No forecasts are made for NEI: not counted. mistrial {link}",
     ]

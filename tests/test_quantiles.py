@@ -85,3 +85,21 @@ def test_extremes_need_no_cross_join(spark):
     plan = plan_of(df)
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert "Subquery" in plan
+
+
+@pytest.mark.parametrize("case", range(7))
+def test_halving_alone_is_exact_and_ends(spark, monkeypatch, case):
+    """As if every sketch failed to narrow a class."""
+    monkeypatch.setattr(quantiles, "_narrow", lambda rows, spans, accuracy: None)
+    pairs = samples()[case]
+    for share in (0.1, 0.5):
+        got = quantiles.class_thresholds(scored(spark, pairs), share, gather_limit=20).first()
+        for ours, wanted in zip(got, expected(pairs, share)):
+            assert ours == wanted or ours == pytest.approx(wanted, rel=1e-14)
+
+
+def test_whole_numbers_keep_the_order_of_doubles():
+    values = [-math.inf, -1e300, -1.5, -0.0, 0.0, 1e-300, 2.0, math.inf]
+    numbers = [quantiles._number(v) for v in values]
+    assert numbers == sorted(numbers)
+    assert [quantiles._double(n) for n in numbers] == values

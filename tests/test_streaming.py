@@ -128,6 +128,61 @@ def test_resolution_in_several_batches_loses_and_repeats_nothing(spark, posts, s
     assert state.version() == version and len(done) == archive.read().count()
 
 
+def test_a_prediction_between_two_batches_keeps_all_verdicts(spark, posts, source, tmp_path):
+    state = tables.pending_table(spark, str(tmp_path))
+    archive = tables.resolved_archive(spark, str(tmp_path))
+    waiting = pending_of(spark, posts)
+    state.write(waiting)
+
+    def meddling(batch):
+        extra = waiting.limit(1).withColumn("title", F.lit("new")).withColumn("message_id", F.rand().cast("long"))
+        state.update(lambda rows: rows.union(extra.select(*rows.columns)))
+        return batch
+
+    resolve.resolve_stream(source, state, archive, str(tmp_path / "c"), meddling).awaitTermination()
+    ids = sorted(r.message_id for r in waiting.collect())
+    done = [r.message_id for r in archive.read().collect()]
+    left = [r.message_id for r in state.read().filter("title <> 'new'").collect()]
+    assert done and sorted(done + left) == ids
+    assert state.read().filter("title = 'new'").count() >= 3
+    decided = posts.filter("link_flair_text is not null").select("title")
+    open_rows = state.read().filter("title <> 'new'").join(decided, "title", "left_semi")
+    assert open_rows.count() == 0 or set(r.title for r in open_rows.collect()) <= set(
+        r.title for r in posts.filter("link_flair_text is null or link_flair_text = 'META'").collect()
+    )
+
+
+def scored_stream(spark, tmp_path, days):
+    path = str(tmp_path / "days")
+    schema = "post_date date, outcome double, accurate int"
+    for day in days:
+        row = [(day, 1.0, 1)]
+        frame = spark.createDataFrame(row, "d string, outcome double, accurate int")
+        frame.selectExpr("cast(d as date) post_date", "outcome", "accurate").coalesce(1).write.mode(
+            "append"
+        ).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_rows_of_an_old_day_are_never_too_late(spark, tmp_path):
+    stream = scored_stream(spark, tmp_path, ["2024-03-01", "2024-01-01", "2024-01-01"])
+    history = tables.VersionedTable(spark, str(tmp_path / "history"), HISTORY)
+    accuracy.monitor_accuracy(stream, history, str(tmp_path / "c")).awaitTermination()
+    totals = history.read().filter("outcome_type = 'Total'").collect()
+    assert sorted((str(r.date), r.n) for r in totals) == [("2024-01-01", 2), ("2024-03-01", 1)]
+
+
+def test_a_report_between_two_batches_of_accuracy(spark, tmp_path):
+    history = tables.VersionedTable(spark, str(tmp_path / "history"), HISTORY)
+    checkpoint = str(tmp_path / "c")
+    for days in (["2024-01-01"], ["2024-01-02"]):
+        stream = scored_stream(spark, tmp_path, days)
+        accuracy.monitor_accuracy(stream, history, checkpoint).awaitTermination()
+        history.write(history.read())
+    totals = history.read().filter("outcome_type = 'Total'").collect()
+    assert sorted((str(r.date), r.n) for r in totals) == [("2024-01-01", 1), ("2024-01-02", 1)]
+
+
 def test_bounded_dedupe(spark, source, tmp_path):
     timed = source.withColumn("ts", F.timestamp_seconds("created_utc"))
     path = str(tmp_path / "out")

@@ -1,8 +1,8 @@
 """The queries by name, each over the whole tables of a data folder.
 
 State of earlier runs (pending predictions, the daily log, the accuracy history) is
-derived from the same tables: an earlier run is taken to have covered the posts in
-English.
+derived from the same tables. Where a job subtracts what an earlier run covered, that run is
+taken to have covered the posts in English.
 """
 
 import numpy as np
@@ -56,7 +56,7 @@ def graded_scores(spark, d):
 
 def pending(spark, d):
     """Predictions of an earlier run, as a table."""
-    rows = predict.score_posts(english_posts(spark, d), weights(spark, d), RUN_DATE)
+    rows = predict.score_posts(feeds.posts(spark, d), weights(spark, d), RUN_DATE)
     sent = message_id(F.col("title"), F.col("url"), F.lit(RUN_DATE))
     state = rows.withColumn("message_id", sent).select(*PENDING.fieldNames())
     return stage(state, "pending")
@@ -119,7 +119,7 @@ def log_last_n_days(spark, d):
 def append_daily_log(spark, d):
     posts = feeds.posts(spark, d, extra=["lang"])
     log = unscored_log(spark, posts.filter(F.col("lang") == "en"))
-    rest = monitor.decided_batch(posts.filter(F.col("lang") != "en"))
+    rest = monitor.decided_batch(posts.filter(~F.col("lang").eqNullSafe("en")))
     log.append(stream_ingest.unscored(rest, DAILY_LOG))
     return log.read().select(*LOG_VIEW)
 

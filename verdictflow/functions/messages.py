@@ -1,11 +1,13 @@
 """Rendered messages."""
 
+from string import Formatter
+
 from pyspark.sql import functions as F
 
 from verdictflow.functions.hashing import md5_int
 from verdictflow.functions.scores import grade
 from verdictflow.functions.text import truncate_words
-from verdictflow.schemas import OUTCOME_NAMES, REMARKS, WORDING
+from verdictflow.schemas import OUTCOME_NAMES, REMARKS, TEMPLATES
 
 
 def outcome_name(code):
@@ -37,43 +39,40 @@ def _quoted(title):
     return F.concat(F.lit('"'), truncate_words(F.coalesce(title, F.lit(""))), F.lit('"'))
 
 
-def ruling_message(title, pred, url, seed, wording=WORDING, remarks=REMARKS):
+def render(template, **fields):
+    """A template with its fields as columns; NULL when one of them is NULL."""
+    parts = []
+    for text, field, _, _ in Formatter().parse(template):
+        parts += [F.lit(text)] if text else []
+        parts += [fields[field].cast("string")] if field else []
+    return F.concat(*parts)
+
+
+def ruling_message(title, pred, url, seed, templates=TEMPLATES, remarks=REMARKS):
     """Message that announces a prediction."""
     label = outcome_name(pred)
-    return F.concat(
-        F.lit(wording["heard"] + " "),
-        _quoted(title),
-        F.lit(". " + wording["rules"] + " "),
-        label,
-        F.lit(". "),
-        pick_remark(F.lower(label), url, seed, remarks),
-        F.lit("  "),
-        url,
+    return render(
+        templates["ruling"],
+        title=_quoted(title),
+        label=label,
+        remark=pick_remark(F.lower(label), url, seed, remarks),
+        url=url,
     )
 
 
 def update_message(
-    title, pred, outcome, outcome_str, url, sent_id, seed, wording=WORDING, remarks=REMARKS
+    title, pred, outcome, outcome_str, url, sent_id, seed, templates=TEMPLATES, remarks=REMARKS
 ):
     """Message that compares a prediction with the final verdict."""
     result = grade(pred, outcome)
-    before, after = wording["mistrial"].split("{}")
-    remark_on_call = (
-        F.when(result == "mistrial", F.concat(F.lit(before), outcome_str, F.lit(after)))
-        .when(result == "correct", F.lit(wording["correct"]))
-        .otherwise(F.lit(wording["incorrect"]))
-    )
-    return F.concat(
-        F.lit(wording["update"] + " "),
-        _quoted(title),
-        F.lit(". " + wording["ruled"] + " "),
-        outcome_name(pred),
-        F.lit(". " + wording["crowd"] + " "),
-        outcome_name(outcome),
-        F.lit(". "),
-        remark_on_call,
-        F.lit(" "),
-        pick_remark(result, url, seed, remarks),
-        F.lit(" " + wording["link"]),
-        sent_id.cast("string"),
+    return render(
+        templates["update"],
+        title=_quoted(title),
+        label=outcome_name(pred),
+        verdict=outcome_name(outcome),
+        result=F.when(result == "mistrial", render(templates["mistrial"], flair=outcome_str))
+        .when(result == "correct", F.lit(templates["correct"]))
+        .otherwise(F.lit(templates["incorrect"])),
+        remark=pick_remark(result, url, seed, remarks),
+        link=render(templates["link"], id=sent_id),
     )

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdictflow.session import stage
+
 # A key is hot when it holds more than 1 / HOT_KEYS of the rows, so there are fewer
 # than HOT_KEYS of them. A hot key is spread over tasks by its share of SPREAD pieces.
 HOT_KEYS = 1000
@@ -84,11 +86,24 @@ def unseen_by_title(posts, state, min_rows=100_000):
 def first_by_id(batch):
     """One row per submission_id, the newest.
 
-    Spark cuts each task's rows to one per id before the shuffle, so even an id
-    that holds a third of the rows stays small.
+    Repeated ids are found on the id column alone. Only their rows are sorted, and Spark
+    cuts each task's rows to one per id before that shuffle, so even an id that
+    holds a third of the rows stays small; all other rows pass as they are.
     """
+    ids = batch.groupBy("submission_id").agg(F.count(F.lit(1)).alias("_n"))
+    repeated = stage(ids.filter("_n > 1").select("submission_id"), "repeated-ids")
+    if repeated.isEmpty():
+        return batch
+    same = batch["submission_id"].eqNullSafe(repeated["submission_id"])
+    once = batch.join(repeated, same, "left_anti")
+    return once.unionByName(newest_of_each(batch.join(repeated, same, "left_semi")))
+
+
+def newest_of_each(rows):
+    """The newest row of every submission_id; rows of one time are told apart by all columns."""
     order = [F.desc("created_utc"), "title", "url", "link_flair_text"]
-    ranked = batch.withColumn(
+    order += [F.xxhash64(c) for c in ("selftext",) if c in rows.columns]
+    ranked = rows.withColumn(
         "_rank", F.row_number().over(Window.partitionBy("submission_id").orderBy(*order))
     )
     return ranked.filter(F.col("_rank") == 1).drop("_rank")
@@ -97,13 +112,11 @@ def first_by_id(batch):
 def new_by_id(batch, logged):
     """Batch posts, each once, whose id is not in the logged rows.
 
-    A short list of ids is broadcast and drops logged posts before any shuffle. A long
-    one meets the batch after its ids are made unique, with one shuffle for both steps.
+    Logged posts are dropped first. A short list of ids is broadcast; a long one costs the
+    batch its only shuffle.
     """
     known = logged.select("submission_id").distinct()
-    if fits_broadcast(known):
-        return first_by_id(batch.join(known, "submission_id", "left_anti"))
-    return first_by_id(batch).join(known, "submission_id", "left_anti")
+    return first_by_id(batch.join(known, "submission_id", "left_anti"))
 
 
 def latest_by_title(posts):

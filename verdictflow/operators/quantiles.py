@@ -1,6 +1,7 @@
 """Exact score thresholds per predicted class, without gathering a class in one task."""
 
 import math
+import struct
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -77,15 +78,60 @@ def class_thresholds(
             place = (n - 1) * wanted
             spans.append(_Span(cls, n, math.floor(place), place - math.floor(place), n))
     while wide := [span for span in spans if span.inside > gather_limit]:
-        before = sum(span.inside for span in wide)
+        before = {span.cls: span.inside for span in wide}
         _narrow(rows, wide, sketch_accuracy)
-        if sum(span.inside for span in wide) > before / 2:
-            sketch_accuracy *= 10
-            if sketch_accuracy > 10**8:
-                break
+        # Where the sketch gains too little, halve the range of values by a count. There are
+        # 64 bits to a double, so this ends whatever the distribution.
+        slow = [span for span in wide if span.inside > max(gather_limit, before[span.cls] / 2)]
+        if slow:
+            _halve(rows, slow)
     return _rank_inside(rows, spans)
 
 
+def _number(value: float) -> int:
+    """Doubles as whole numbers of the same order."""
+    bits = struct.unpack("<q", struct.pack("<d", value))[0]
+    return bits if bits >= 0 else -(bits & (2**63 - 1))
+
+
+def _double(number: int) -> float:
+    bits = number if number >= 0 else -number | -(2**63)
+    return struct.unpack("<d", struct.pack("<q", bits))[0]
+
+
+def _halve(rows, spans):
+    """Move an end of each span to the middle of its values, counted as doubles."""
+    score = F.col("score")
+    middles = []
+    for span in spans:
+        lo = _number(-math.inf if span.lo is None else span.lo)
+        hi = _number(math.inf if span.hi is None else span.hi)
+        middles.append(_double((lo + hi) // 2))
+    checks = []
+    for i, (span, mid) in enumerate(zip(spans, middles)):
+        mine = F.col("cls") == span.cls
+        checks += [
+            F.count_if(mine & (score < mid)).alias(f"below{i}"),
+            F.count_if(mine & (score <= mid)).alias(f"up_to{i}"),
+            F.max(F.when(mine & (score < mid), score)).alias(f"left{i}"),
+            F.min(F.when(mine & (score > mid), score)).alias(f"right{i}"),
+        ]
+    found = rows.agg(*checks).first()
+    for i, (span, mid) in enumerate(zip(spans, middles)):
+        below, up_to = found[f"below{i}"], found[f"up_to{i}"]
+        if below <= span.rank:
+            span.lo, span.below, span.up_to_lo = mid, below, up_to
+        if up_to >= min(span.rank + 2, span.n):
+            span.hi, span.below_hi = mid, below
+        if below > span.rank and up_to < min(span.rank + 2, span.n):
+            # The wanted ranks lie left and right of the middle: nothing is between them.
+            left, right = found[f"left{i}"], found[f"right{i}"]
+            last = F.col("cls") == span.cls
+            counts = rows.agg(F.count_if(last & (score < left)).alias("n")).first()
+            span.lo, span.below, span.up_to_lo = left, counts["n"], below
+            span.hi, span.below_hi = right, below
+
+
 def _narrow(rows, spans, accuracy):
     score = F.col("score")
     wanted = []

@@ -1,6 +1,5 @@
 """Counts, distributions and binomial accuracy statistics."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from verdictflow.functions.labels import is_class, is_decided
@@ -21,8 +20,7 @@ def count_table(df, column, digits=1):
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(
         F.count(F.lit(1)).alias("n")
     )
-    # One row per category here, so the unpartitioned window is small.
-    share = F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())
+    share = F.col("n") * 100.0 / counts.agg(F.sum("n")).scalar()
     return counts.select(
         column, "n", F.concat(F.round(share, digits).cast("string"), F.lit("%")).alias("share")
     )

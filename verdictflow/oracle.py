@@ -3,11 +3,35 @@
 Every statement carries the views it needs as common table expressions.
 """
 
-from verdictflow.schemas import FLAIR_SPELLINGS, OUTCOME_NAMES, REMARKS, WORDING
-
 RUN_DATE = "2024-03-01"
 SEED = 7
 
+# Spelled out here, apart from the package, so that a wrong spelling there shows.
+FLAIR_SPELLINGS = {
+    1.0: ["ASSHOLE", "YTA", "YOU'RE THE ASSHOLE"],
+    0.0: ["NOT THE A-HOLE", "NOT THE ASSHOLE", "NTA"],
+    2.0: ["EVERYONE SUCKS", "ESH", "EVERBODY SUCKS", "EVERYONE SUCKS HERE", "EVERYBODY SUCKS HERE"],
+    3.0: ["NOT ENOUGH INFO", "NEI", "NOT ENOUGH INFO HERE"],
+    4.0: ["NO A-HOLES HERE", "NAH", "NO A-HOLES"],
+}
+OUTCOME_NAMES = {0: "NTA", 1: "YTA", 2: "Everybody sucks", 3: "Not enough info", 4: "NAH"}
+REMARKS = {
+    "yta": [
+        "The evidence was not on your side.",
+        "An apology would be a good start.",
+        "Perhaps sleep on it next time.",
+    ],
+    "nta": [
+        "You may leave the room with your head up.",
+        "Nothing to be sorry for.",
+        "The case is dismissed.",
+        "Carry on as you were.",
+    ],
+    "correct": ["One more for the record.", "The training was worth it.", "As expected."],
+    "incorrect": ["Noted for the next training run.", "Even judges err."],
+    "mistrial": ["Both sides go home without a ruling.", "The docket moves on."],
+}
+
 
 def _text(value):
     return "'" + value.replace("'", "''") + "'"
@@ -66,9 +90,8 @@ def _quoted():
 
 def _ruling():
     return (
-        f"{_text(WORDING['heard'] + ' ')} || {_quoted()} || "
-        f"{_text('. ' + WORDING['rules'] + ' ')} || ({_name('pred')}) || '. ' || "
-        f"({_remark('lower(' + _name('pred') + ')', 'url')}) || '  ' || url"
+        f"({_remark('lower(' + _name('pred') + ')', 'url')}) || ' Forecast for ' || {_quoted()} "
+        f"|| ': ' || ({_name('pred')}) || ' (' || url || ')'"
     )
 
 
@@ -78,16 +101,13 @@ _GRADE = (
 
 
 def _update():
-    before, after = WORDING["mistrial"].split("{}")
     return (
-        f"{_text(WORDING['update'] + ' ')} || {_quoted()} || "
-        f"{_text('. ' + WORDING['ruled'] + ' ')} || ({_name('pred')}) || "
-        f"{_text('. ' + WORDING['crowd'] + ' ')} || ({_name('outcome')}) || '. ' || "
-        f"(case ({_GRADE}) when 'mistrial' then {_text(before)} || outcome_str || {_text(after)} "
-        f"when 'correct' then {_text(WORDING['correct'])} "
-        f"else {_text(WORDING['incorrect'])} end) || ' ' || "
+        f"{_quoted()} || ' closed as ' || ({_name('outcome')}) || '; forecast was ' || "
+        f"({_name('pred')}) || '. ' || (case ({_GRADE}) "
+        "when 'mistrial' then 'No forecasts are made for ' || outcome_str || ': not counted.' "
+        "when 'correct' then 'Forecast met.' else 'Forecast missed.' end) || ' ' || "
         f"({_remark('(' + _GRADE + ')', 'url')}) || "
-        f"{_text(' ' + WORDING['link'])} || cast(message_id as varchar)"
+        "' https://example.org/message/' || cast(message_id as varchar)"
     )
 
 
@@ -185,7 +205,7 @@ select submission_id, title, {_POST_DATE} as post_date, url, date '{RUN_DATE}' a
 from posts join logits using (submission_id)""",
     "pending": f"""
 select title, post_date, url, date_created, logits, pred, {_message_id(RUN_DATE)} as message_id
-from predictions where lang = 'en'""",
+from predictions""",
     "lookup": f"""
 select title, link_flair_text as outcome_str, {_outcome('link_flair_text')} as outcome
 from (select title, link_flair_text, row_number() over (

@@ -57,9 +57,14 @@ def run_assess(state, posts, archive, outbox, run_ts, dry_run=False, seed=0):
     The state comes last: a run that stopped before it is repeated as a whole, with
     the same messages and, for the same `run_ts`, the same archive partition.
     """
-    result = assess(state.read(), posts, seed)
-    if result.any_resolved and not dry_run:
+    while True:
+        version = state.version()
+        result = assess(state.read(version), posts, seed)
+        if dry_run or not result.any_resolved:
+            return result
         outbox.append(result.resolved, "update")
         archive.append(result.resolved, run_ts)
-        result.pending = state.write(result.pending)
-    return result
+        written = state.write_after(result.pending, version)
+        if written is not None:  # else another job wrote the state: take its rows in
+            result.pending = written
+            return result

@@ -71,7 +71,7 @@ def run_predict(posts, state, outbox, weights, run_date, dry_run=False, seed=0,
         return result
     result.published = stage(result.published, "published")
     chosen = result.published.select(*result.pending.columns)
-    result.pending = state.write(sets.union_distinct(state.read(), chosen))
+    result.pending = state.update(lambda rows: sets.union_distinct(rows, chosen))
     of_today = F.col("date_created") == F.lit(str(run_date)).cast("date")
     messages = with_messages(result.pending.filter(of_today), run_date, seed)
     outbox.append(messages, "ruling")

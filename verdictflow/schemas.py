@@ -92,17 +92,15 @@ OUTCOME_NAMES = {
     4: "NAH",
 }
 
-# Wording of the messages; pass another dict with the same keys to change it.
-WORDING = {
-    "heard": "The bench has heard the case of",
-    "rules": "The bench rules:",
-    "update": "PREDICTION UPDATE: In the case of",
-    "ruled": "The bench ruled",
-    "crowd": "The forum ruled",
-    "correct": "The call was right!",
-    "incorrect": "The call was wrong!",
-    "mistrial": "The bench has no training in {} cases, so this is a mistrial.",
-    "link": "https://example.org/message/",
+# Message templates; pass another dict with the same keys to change them. The fields in
+# braces are filled in from the row.
+TEMPLATES = {
+    "ruling": "{remark} Forecast for {title}: {label} ({url})",
+    "update": "{title} closed as {verdict}; forecast was {label}. {result} {remark} {link}",
+    "correct": "Forecast met.",
+    "incorrect": "Forecast missed.",
+    "mistrial": "No forecasts are made for {flair}: not counted.",
+    "link": "https://example.org/message/{id}",
 }
 
 # Remarks added to messages, one list per verdict.

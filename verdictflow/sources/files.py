@@ -17,3 +17,25 @@ def child_names(spark, path) -> list[str]:
     if not fs.exists(hadoop_path):
         return []
     return [status.getPath().getName() for status in fs.listStatus(hadoop_path)]
+
+
+def create(spark, path) -> bool:
+    """Create an empty file; False when it exists, also when another job just made it."""
+    fs, hadoop_path = _handle(spark, path)
+    return fs.createNewFile(hadoop_path)
+
+
+def modified(spark, path) -> float:
+    """Time of the last change, in seconds since 1970."""
+    fs, hadoop_path = _handle(spark, path)
+    return fs.getFileStatus(hadoop_path).getModificationTime() / 1000
+
+
+def move(spark, source, target) -> bool:
+    fs, hadoop_path = _handle(spark, source)
+    return fs.rename(hadoop_path, spark._jvm.org.apache.hadoop.fs.Path(target))
+
+
+def remove(spark, path):
+    fs, hadoop_path = _handle(spark, path)
+    fs.delete(hadoop_path, True)

@@ -1,62 +1,144 @@
 """Tables that jobs keep between runs: versioned state, a log by date, an archive, an outbox."""
 
 import re
+import time
+import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdictflow.schemas import DAILY_LOG, HISTORY, OUTBOX, PENDING, RESOLVED
-from verdictflow.sources.files import child_names, exists
+from verdictflow.sources.files import child_names, create, exists, modified, move, remove
 from verdictflow.sources.scans import empty, read_if_exists
 
 
+@dataclass(frozen=True)
+class _Version:
+    number: int
+    mark: str | None
+    name: str
+
+
 class VersionedTable:
     """A table replaced as a whole: each write is a new folder, the newest complete one counts.
 
     The version in use is never overwritten, so a job may read it while it writes the
-    next, and a failed write leaves the table as it was.
+    next, and a failed write leaves the table as it was. A writer claims the next number with
+    a file that only one can create, so two writers never share a folder. A write may carry a
+    `mark` (a stream and its batch): the table tells whether a mark was written, whatever
+    other writers did in between. The newest `keep` versions stay, and the newest of each
+    stream.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema):
-        self.spark, self.path, self.schema = spark, path, schema
+    # A claim without a version for so long was left by a writer that died.
+    CLAIM_SECONDS = 60
 
-    def _folder(self, version):
-        return f"{self.path}/v={version:012d}"
+    def __init__(self, spark: SparkSession, path: str, schema, keep=20):
+        self.spark, self.path, self.schema, self.keep = spark, path, schema, keep
 
-    def _complete(self, version):
-        return exists(self.spark, f"{self._folder(version)}/_SUCCESS")
+    def _versions(self) -> list[_Version]:
+        """Complete versions, the newest first."""
+        found = []
+        for name in child_names(self.spark, self.path):
+            match = re.fullmatch(r"v=(\d+)(?:--(.+))?", name)
+            if match and exists(self.spark, f"{self.path}/{name}/_SUCCESS"):
+                found.append(_Version(int(match[1]), match[2], name))
+        return sorted(found, key=lambda v: -v.number)
 
     def version(self) -> int:
         """Number of the newest complete version, -1 when there is none."""
-        numbers = sorted(
-            (
-                int(match[1])
-                for name in child_names(self.spark, self.path)
-                if (match := re.fullmatch(r"v=(\d+)", name))
-            ),
-            reverse=True,
+        return next((v.number for v in self._versions()), -1)
+
+    def has(self, mark: str) -> bool:
+        """Whether the mark's write, or a later one of its stream, is complete."""
+        stream, batch = _stream_and_batch(mark)
+        return any(
+            of == stream and done >= batch
+            for of, done in (_stream_and_batch(v.mark) for v in self._versions() if v.mark)
         )
-        return next((number for number in numbers if self._complete(number)), -1)
 
     def read(self, version: int | None = None) -> DataFrame:
-        version = self.version() if version is None else version
-        if version < 0:
-            return empty(self.spark, self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._folder(version))
+        for found in self._versions():
+            if version is None or found.number == version:
+                return self.spark.read.schema(self.schema).parquet(f"{self.path}/{found.name}")
+        return empty(self.spark, self.schema)
 
-    def write(self, df: DataFrame, version: int | None = None, dry_run=False) -> DataFrame:
-        """Make `df` the current version.
-
-        With a version number (a stream's batch id) a repeated write is skipped.
-        """
+    def write(self, df: DataFrame, mark: str | None = None, dry_run=False) -> DataFrame:
+        """Make `df` the current version, after whatever others write meanwhile."""
         df = df.select(*self.schema.fieldNames())
         if dry_run:
             return df
-        version = self.version() + 1 if version is None else version
-        if not self._complete(version):
-            df.write.mode("overwrite").parquet(self._folder(version))
-        return self.read(version)
+        staged = self._stage(df)
+        number = self._claim(self.version() + 1)
+        while number is None:
+            number = self._claim(max(self._claimed(), self.version()) + 1)
+        return self._commit(staged, number, mark)
+
+    def write_after(self, df: DataFrame, version: int, mark: str | None = None) -> DataFrame | None:
+        """Make `df`, computed from `version`, the current one; None if another came first."""
+        staged = self._stage(df.select(*self.schema.fieldNames()))
+        while (claimed := max(self._claimed(), self.version())) > version:
+            if self.version() > version:
+                remove(self.spark, staged)
+                return None
+            # Claimed and not there: on its way, or left behind.
+            age = time.time() - modified(self.spark, self._claim_path(claimed))
+            if age > self.CLAIM_SECONDS:
+                break
+            time.sleep(0.5)
+        number = self._claim(claimed + 1)
+        if number is None:
+            remove(self.spark, staged)
+            return None
+        return self._commit(staged, number, mark)
+
+    def update(self, change, mark: str | None = None, attempts=10) -> DataFrame:
+        """Replace the table by `change(table)`, again if another writer came first."""
+        for _ in range(attempts):
+            version = self.version()
+            written = self.write_after(change(self.read(version)), version, mark)
+            if written is not None:
+                return written
+        raise RuntimeError(f"{self.path}: other writers came first {attempts} times")
+
+    def _claim_path(self, number):
+        return f"{self.path}/_claims/{number:012d}"
+
+    def _claim(self, number) -> int | None:
+        return number if create(self.spark, self._claim_path(number)) else None
+
+    def _claimed(self) -> int:
+        return max((int(n) for n in child_names(self.spark, f"{self.path}/_claims")), default=-1)
+
+    def _stage(self, df) -> str:
+        staged = f"{self.path}/_staged/{uuid.uuid4().hex}"
+        df.write.parquet(staged)
+        return staged
+
+    def _commit(self, staged, number, mark) -> DataFrame:
+        name = f"v={number:012d}" + (f"--{mark}" if mark else "")
+        if not move(self.spark, staged, f"{self.path}/{name}"):
+            raise RuntimeError(f"{self.path}: version {number} could not be put in place")
+        self._prune()
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}")
+
+    def _prune(self):
+        versions, streams = self._versions(), set()
+        for place, version in enumerate(versions):
+            stream = _stream_and_batch(version.mark)[0] if version.mark else None
+            if place >= self.keep and (stream is None or stream in streams):
+                remove(self.spark, f"{self.path}/{version.name}")
+            streams.add(stream)
+        for number in child_names(self.spark, f"{self.path}/_claims"):
+            if versions and int(number) < versions[0].number - self.keep:
+                remove(self.spark, f"{self.path}/_claims/{number}")
+
+
+def _stream_and_batch(mark: str) -> tuple[str, int]:
+    stream, batch = mark.rsplit(".", 1)
+    return stream, int(batch)
 
 
 class DailyLog:
@@ -68,18 +150,16 @@ class DailyLog:
     def read(self) -> DataFrame:
         return read_if_exists(self.spark, self.path, self.schema)
 
-    def read_dates_of(self, batch: DataFrame, max_dates=4000) -> DataFrame:
-        """Log rows of the dates in the batch; no other partition is opened.
+    def read_dates_of(self, batch: DataFrame) -> DataFrame:
+        """Log rows of the dates in the batch, whatever their number.
 
-        There is one date per day, so the list is short; past `max_dates` the range
-        between the first and the last one is read instead.
+        Partitions are chosen when the query runs, from the batch's dates; nothing is
+        evaluated before. The broadcast is one row per calendar day.
         """
-        distinct = batch.select(self.column).distinct()
-        days = [row[0] for row in distinct.limit(max_dates + 1).collect()]
-        if len(days) > max_dates:
-            span = batch.agg(F.min(self.column).alias("lo"), F.max(self.column).alias("hi")).first()
-            return self.read().filter(F.col(self.column).between(span.lo, span.hi))
-        return self.read().filter(F.col(self.column).isin(days))
+        days = batch.select(self.column).filter(F.col(self.column).isNotNull()).distinct()
+        return self.read().join(F.broadcast(days), self.column, "left_semi").select(
+            *self.schema.fieldNames()
+        )
 
     def append(self, df: DataFrame, dry_run=False) -> DataFrame:
         """Add rows to their dates.
@@ -125,7 +205,9 @@ class Outbox:
         return read_if_exists(self.spark, self.path, OUTBOX)
 
     def append(self, messages: DataFrame, kind: str, dry_run=False) -> DataFrame:
-        rows = messages.withColumn("kind", F.lit(kind)).select(*OUTBOX.fieldNames())
+        # A prediction that stands in the state twice still makes one message.
+        rows = messages.groupBy("message_id").agg(F.min("message").alias("message"))
+        rows = rows.withColumn("kind", F.lit(kind)).select(*OUTBOX.fieldNames())
         known = self.read().filter(F.col("kind") == kind).select("message_id")
         new = rows.join(known, "message_id", "left_anti").select(*OUTBOX.fieldNames())
         if not dry_run:

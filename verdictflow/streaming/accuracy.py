@@ -2,26 +2,20 @@
 
 from pyspark.sql import functions as F
 
-from verdictflow.functions.text import utc_date
 from verdictflow.operators.sets import history_upsert
 from verdictflow.operators.stats import accuracy_by_type, binomial_columns
-from verdictflow.streaming.common import first_version, start
+from verdictflow.session import stage
+from verdictflow.streaming.common import start, stream_id
 
 
-def daily_counts(scored, delay, day_col="post_date"):
+def daily_counts(scored, day_col="post_date"):
     """Running successes and rows per day and outcome type.
 
-    The event time is the start of the UTC day, whatever the session time zone. State
-    is three counters per day inside the watermark `delay`; rows later than that are
-    dropped, so the delay should exceed the time until posts are decided.
+    The state is one row of counters per day and type, some thousands in all, so no
+    watermark is needed and no row is ever too late.
     """
-    windowed = (
-        scored.withColumn("_day", F.timestamp_seconds(F.unix_date(day_col).cast("bigint") * 86400))
-        .withWatermark("_day", delay)
-        .withColumn("_window", F.window("_day", "1 day"))
-    )
-    return accuracy_by_type(windowed, by=["_window"]).select(
-        utc_date(F.unix_seconds("_window.start")).alias("date"), "outcome_type", "success", "n"
+    return accuracy_by_type(scored.withColumn("date", F.col(day_col)), by=["date"]).select(
+        "date", "outcome_type", "success", "n"
     )
 
 
@@ -39,18 +33,19 @@ def history_rows(counts):
     )
 
 
-def monitor_accuracy(scored, history, checkpoint, delay="40 days", day_col="post_date", **trigger):
+def monitor_accuracy(scored, history, checkpoint, day_col="post_date", **trigger):
     """Keep the history table at the latest counts of every day.
 
     In update mode a batch delivers the days it changed with their full counts, which
-    replace those days; every batch writes its own version.
+    replace those days. A batch marks the version it writes; a repeated one writes nothing, but
+    reads its rows, as the state store wants every batch to be used.
     """
-
-    first = first_version(history, checkpoint)
+    stream = stream_id(history.spark, checkpoint)
 
     def upsert(batch, batch_id):
-        rows = history_rows(batch)
-        history.write(history_upsert(history.read(), rows), version=first + batch_id)
+        mark = f"{stream}.{batch_id}"
+        rows = stage(history_rows(batch), "daily-accuracy")
+        if not history.has(mark):
+            history.update(lambda table: history_upsert(table, rows), mark)
 
-    counts = daily_counts(scored, delay, day_col)
-    return start(counts, upsert, checkpoint, trigger, mode="update")
+    return start(daily_counts(scored, day_col), upsert, checkpoint, trigger, mode="update")

@@ -1,4 +1,6 @@
-"""Starting streams, and numbering the table versions they write."""
+"""Starting streams, and marking the table versions they write."""
+
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -16,14 +18,14 @@ def start(stream, handle, checkpoint, trigger, mode="append"):
     )
 
 
-def first_version(table, checkpoint) -> int:
-    """Version of the table that batch 0 writes, the same after every restart.
+def stream_id(spark, checkpoint) -> str:
+    """A name of the stream, the same after every restart from its checkpoint.
 
-    It is noted beside the checkpoint when the stream first starts, so a repeated
-    batch can tell its own version from one that was there before.
+    It is noted beside the checkpoint when the stream first starts; with the batch id it
+    marks what a batch has written.
     """
-    note = f"{checkpoint}/first_version"
-    if not exists(table.spark, f"{note}/_SUCCESS"):
-        number = table.spark.range(1).select(F.lit(table.version() + 1).alias("first"))
-        number.write.mode("overwrite").parquet(note)
-    return table.spark.read.parquet(note).first()["first"]
+    note = f"{checkpoint}/stream_id"
+    if not exists(spark, f"{note}/_SUCCESS"):
+        name = spark.range(1).select(F.lit(uuid.uuid4().hex).alias("id"))
+        name.write.mode("overwrite").parquet(note)
+    return spark.read.parquet(note).first()["id"]

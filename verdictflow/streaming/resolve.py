@@ -1,25 +1,26 @@
 """Resolution of pending predictions as verdicts arrive."""
 
 from verdictflow.plans.assess import assess
-from verdictflow.streaming.common import first_version, start
+from verdictflow.streaming.common import start, stream_id
 
 
 def resolve_stream(posts, pending, archive, checkpoint, to_batch=None, **trigger):
     """For every batch of posts, archive the pending rows it decides and keep the others.
 
-    Archive partition and pending version belong to the batch. The archive is written
-    first: a repeated batch either finds its pending version complete and does
-    nothing, or writes both again from the version before.
+    A batch writes the pending table with its own mark, so a repeated batch is known
+    whatever other writers did, and starts again from the rows as they are when another
+    writer comes first. The archive partition belongs to the batch and is written before.
     """
-    first = first_version(pending, checkpoint)
+    stream = stream_id(pending.spark, checkpoint)
 
     def settle(batch, batch_id):
-        version = first + batch_id
-        if pending.version() >= version:
-            return
-        result = assess(pending.read(), to_batch(batch) if to_batch else batch)
-        if result.any_resolved:
-            archive.append(result.resolved, f"{version:012d}")
-        pending.write(result.pending, version=version)
+        mark = f"{stream}.{batch_id}"
+        feed = to_batch(batch) if to_batch else batch
+        while not pending.has(mark):
+            version = pending.version()
+            result = assess(pending.read(version), feed)
+            if result.any_resolved:
+                archive.append(result.resolved, f"{stream}-{batch_id:012d}")
+            pending.write_after(result.pending, version, mark)
 
     return start(posts, settle, checkpoint, trigger)
