@@ -4,6 +4,8 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from tests.compare import difference, duck
+from verdictflow.catalog import QUERIES
+from verdictflow.oracle import ORACLES
 
 DATA = "/root/testdata/sf0.001"
 ROWS_ONLY = {"train_ml_pipeline", "tune_ml_pipeline"}
@@ -15,13 +17,14 @@ def db():
 
 
 def test_every_query_has_its_sql():
-    assert set(queries()) - set(oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
+    assert set(QUERIES) <= set(queries())
     assert set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, db, name):
-    assert difference(spark, DATA, queries()[name], oracle_sql()[name], db) is None
+    assert difference(spark, DATA, QUERIES[name], ORACLES[name], db) is None
 
 
 @pytest.mark.parametrize("name", sorted(ROWS_ONLY))
