@@ -20,10 +20,9 @@ from verdictflow.session import stage
 #: The penalty of falling back, and the fewest occurrences of a known pair.
 BACKOFF = 0.4
 MIN_COUNT = 2
-#: Word counts up to this many rows (about 100 MB) are broadcast, larger ones are joined by hash.
-BROADCAST_WORDS = 4_000_000
-#: Frequent pairs: at most so many, from one text in so many. They change the route of a
-#: pair, never its count.
+#: At most so many frequent words and pairs are broadcast, pairs from one text in so many. They
+#: change the route of a word or pair, never its count.
+FREQUENT_WORDS = 200_000
 FREQUENT_PAIRS = 200_000
 SAMPLE_TEXTS = 64
 MICRO = 1_000_000
@@ -63,12 +62,47 @@ def word_counts(hashed: DataFrame) -> DataFrame:
     return hashed.select(F.explode("hashes").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def most_frequent(counted: DataFrame, most: int) -> DataFrame:
+    """The rows of `counted` with `n` from a level on that at most `most` rows reach.
+
+    Levels are eighths of powers of two, so there are at most 512.
+    """
+    level = F.floor(F.log2("n") * 8)
+    levels = counted.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect()
+    least, rows = None, 0
+    for found in sorted(levels, reverse=True):
+        rows += found["rows"]
+        if rows > most:
+            break
+        least = found["level"]
+    return counted.filter(F.lit(False) if least is None else level >= least)
+
+
+def _with_log_counts(steps: DataFrame, counts: DataFrame) -> DataFrame:
+    """`steps` with `log_word` and `log_before` from `counts` (word, n).
+
+    Frequent words come from a broadcast of bounded size. Steps with another word are few
+    in most corpora and are joined by hash.
+    """
+    logs = lambda rows, key, log: rows.select(
+        F.col("word").alias(key), micro_log(F.col("n")).cast("int").alias(log)
+    )
+    often = most_frequent(counts, FREQUENT_WORDS)
+    for key, log in (("word", "log_word"), ("before", "log_before")):
+        steps = steps.join(F.broadcast(logs(often, key, log)), key, "left")
+    done = F.col("log_word").isNotNull() & (F.col("before").isNull() | F.col("log_before").isNotNull())
+    rest = steps.filter(~done).drop("log_word", "log_before")
+    for key, log in (("word", "log_word"), ("before", "log_before")):
+        rest = rest.join(logs(counts, key, log), key, "left")
+    return steps.filter(done).unionByName(rest)
+
+
 def frequent_pairs(hashed: DataFrame) -> DataFrame:
     """`pair, n` of pairs that are frequent in a sample of texts, counted over all texts."""
     sample = _steps(hashed.filter(F.pmod(F.xxhash64("key"), F.lit(SAMPLE_TEXTS)) == 0))
     often = sample.filter(F.col("pair").isNotNull()).groupBy("pair").agg(F.count("*").alias("n"))
-    often = often.filter(F.col("n") > 1).orderBy(F.desc("n"), "pair").limit(FREQUENT_PAIRS)
-    chosen = stage(often.select("pair"), "frequent-pairs")
+    often = stage(often.filter(F.col("n") > 1), "sampled-pairs")
+    chosen = most_frequent(often, FREQUENT_PAIRS).select("pair")
     # At most FREQUENT_PAIRS rows.
     return _steps(hashed).join(F.broadcast(chosen), "pair").groupBy("pair").agg(F.count("*").alias("n"))
 
@@ -82,21 +116,14 @@ def score_texts(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
     """
     hashed = _hashes(docs, text, doc_id)
     counts = stage(word_counts(hashed), "word-counts")
-    rows, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    counts = counts.select("word", micro_log(F.col("n")).cast("int").alias("log_n"))
-    if rows <= BROADCAST_WORDS:
-        counts = F.broadcast(counts)
+    (total,) = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()
     frequent = stage(frequent_pairs(hashed), "pair-counts").select("pair", F.col("n").alias("known"))
 
     all_words = micro_log(F.lit(max(1, total)))
     penalty = F.lit(BACKOFF)
     fall_back = F.col("log_word") - all_words + F.when(F.col("pair").isNull(), 0).otherwise(micro_log(penalty))
-    steps = (
-        _steps(hashed)
-        .join(counts.select("word", F.col("log_n").alias("log_word")), "word")
-        .join(counts.select(F.col("word").alias("before"), F.col("log_n").alias("log_before")), "before", "left")
-        .join(F.broadcast(frequent), "pair", "left")  # at most FREQUENT_PAIRS rows
-    )
+    # At most FREQUENT_PAIRS rows.
+    steps = _with_log_counts(_steps(hashed), counts).join(F.broadcast(frequent), "pair", "left")
     # What a known pair adds to the score of falling back, but for the pair's own count.
     gain = all_words - micro_log(penalty) - F.col("log_word") - F.col("log_before")
     known = F.col("known") >= MIN_COUNT
