@@ -22,7 +22,7 @@ BACKOFF = 0.4
 MIN_COUNT = 2
 #: At most so many frequent words and pairs are broadcast, pairs from one text in so many. They
 #: change the route of a word or pair, never its count.
-FREQUENT_WORDS = 200_000
+FREQUENT_WORDS = 500_000
 FREQUENT_PAIRS = 200_000
 SAMPLE_TEXTS = 64
 MICRO = 1_000_000
