@@ -225,6 +225,25 @@ def _linked(threshold):
     return start
 
 
+#: Bits of the bitmap of candidates, 512 kB in all. When it fills up it lets more texts pass.
+_BITMAP_BITS = 1 << 22
+
+
+def _may_be_in(gid, candidates: DataFrame):
+    """False for ids that are surely not among the candidates."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(_BITMAP_BITS))
+    bits = candidates.select(place("gid").alias("place")).groupBy(
+        F.shiftright("place", 6).alias("id")
+    )
+    bits = bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
+    words = candidates.sparkSession.range(_BITMAP_BITS // 64).join(bits, "id", "left")
+    pair = F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    bitmap = words.agg(F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["bits"])).scalar()
+    at = place(gid)
+    word = F.get(bitmap, F.shiftright(at, 6).cast("int"))
+    return F.bit_get(word, (at % 64).cast("int")) == 1
+
+
 def text_gid(text):
     """The id of a text: equal texts share it; NULL for NULL."""
     return F.when(text.isNotNull(), F.xxhash64(text))
@@ -256,8 +275,10 @@ def join_similar(docs: DataFrame, text="text", doc_id="doc_id", threshold=THRESH
     things = signed.select("gid", "bands", "sketch").dropDuplicates(["gid"])
     candidates = stage(near.candidate_groups(things, _passing), "candidates")
 
-    # The text of one row for each candidate.
-    texts = rows.filter(F.col("gid").isNotNull()).join(candidates, "gid")
+    # The text of one row for each candidate. Texts that are none are left out by a bitmap
+    # of fixed size before the shuffle.
+    likely = rows.filter(F.col("gid").isNotNull() & _may_be_in(F.col("gid"), candidates))
+    texts = likely.join(candidates, "gid")
     texts = texts.groupBy("gid", "root").agg(F.first("text").alias("text"))
     groups = texts.join(copies.select("gid", "copies"), "gid").join(
         things.select("gid", "sketch"), "gid"
