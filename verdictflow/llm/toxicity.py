@@ -141,28 +141,30 @@ def label_words(docs: list[list[bytes]], toxic: list[int]) -> tuple[set[str], fr
 
     A word that makes up nearly all documents with its beginning marks by itself.
     """
+    def spoken(words):
+        return {f for word in set(words) for f in features(word) if f[0] != "z"}
+
+    n_yes, n_no = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
+    # Only what enough toxic documents have is counted in the others.
     yes, no = Counter(), Counter()
-    known: dict[bytes, list[str]] = {}
     for words, label in zip(docs, toxic):
-        seen: set[str] = set()
-        for word in set(words):
-            if word not in known:
-                known[word] = [f for f in features(word) if f[0] != "z"]
-            seen.update(known[word])
-        (yes if label else no).update(seen)
-    n_yes, n_no = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
+        if label:
+            yes.update(spoken(words))
+    yes = {f: n for f, n in yes.items() if n >= max(LEAST_DOCS, LEAST_SHARE * n_yes)}
+    for words, label in zip(docs, toxic):
+        if not label:
+            no.update(spoken(words) & yes.keys())
     marking = {
         f
         for f, n in yes.items()
-        if n >= max(LEAST_DOCS, LEAST_SHARE * n_yes)
-        and n / n_yes / (n / n_yes + no[f] / n_no) >= PURITY
+        if n / n_yes / (n / n_yes + no[f] / n_no) >= PURITY
     }
     solo = set()
     for f in [f for f in marking if f[0] == "w"]:
         begin = f"{PREFIXES[0]}{f[1:][: PREFIXES[0]]}"
         if yes[f] >= 0.8 * yes[begin]:
             solo.add(f[1:].encode())
-            marking -= {g for g in known[f[1:].encode()] if g[0] != "w"}
+            marking -= {g for g in features(f[1:].encode()) if g[0] not in "wz"}
     return marking, frozenset(solo)
 
 
@@ -184,7 +186,12 @@ def train(samples: list[tuple[str, int]], steps=60, rate=0.3, l2=1e-6, seed=SEED
     labels = [label for _, label in samples]
     if len(set(labels)) < 2:
         return None
-    split = [sentences(text) for text, _ in samples]
+    # Equal words are one object, which takes less memory.
+    same: dict[bytes, bytes] = {}
+    split = []
+    for text, _ in samples:
+        words, starts, stops = sentences(text)
+        split.append(([same.setdefault(w, w) for w in words], starts, stops))
     marking, solo = label_words([words for words, _, _ in split], labels)
 
     is_toxic = cache(lambda w: any(f in marking for f in features(w)))
@@ -209,13 +216,17 @@ def train(samples: list[tuple[str, int]], steps=60, rate=0.3, l2=1e-6, seed=SEED
     # Solo words have one cell, the rest of their row points to a cell without weight.
     rows = [[bucket(f) for f in features(w, solo)] for w in numbers]
     cells = np.array([r + [BUCKETS] * (len(PREFIXES) + 2 - len(r)) for r in rows])
+    # Only the buckets in use are trained; the others stay 0. The last has no weight.
+    used, cells = np.unique(np.append(cells.ravel(), BUCKETS), return_inverse=True)
+    cells = cells[:-1].reshape(len(rows), -1)
+    del flat, rows
     tags = np.array(tags, dtype=float)[index]
     size = end - begin
     end = np.cumsum(size)
     begin = end - size
 
     # A word without known features is clean.
-    weights, bias, trans = np.zeros(BUCKETS + 1), np.full(1, -4.0), np.zeros((2, 2))
+    weights, bias, trans = np.zeros(len(used)), np.full(1, -4.0), np.zeros((2, 2))
     adam = Adam([weights, bias, trans], rate)
     inner = np.ones(len(index), dtype=bool)
     inner[begin] = False
@@ -229,8 +240,8 @@ def train(samples: list[tuple[str, int]], steps=60, rate=0.3, l2=1e-6, seed=SEED
         odds, forward, backward = marginals(emission, begin, end, trans)
         gap = sigmoid(odds) - tags
         by_word = np.bincount(word_of, gap, len(numbers))
-        grad = np.bincount(cells.ravel(), np.repeat(by_word, cells.shape[1]), BUCKETS + 1)
-        grad[BUCKETS] = 0
+        grad = np.bincount(cells.ravel(), np.repeat(by_word, cells.shape[1]), len(used))
+        grad[-1] = 0
         # Expected steps: both tags of neighbours, in proportion to their joint weight.
         left = (forward + emission)[later - 1]
         right = (backward + emission)[later]
@@ -243,7 +254,9 @@ def train(samples: list[tuple[str, int]], steps=60, rate=0.3, l2=1e-6, seed=SEED
         adam.step(
             [grad / n + l2 * weights, np.array([gap.sum() / n]), (expected - seen) / n + l2 * trans]
         )
-    field = Field(weights[:BUCKETS].astype(np.float32), float(bias[0]), trans, np.zeros(3), solo)
+    table = np.zeros(BUCKETS, dtype=np.float32)
+    table[used[:-1]] = weights[:-1]
+    field = Field(table, float(bias[0]), trans, np.zeros(3), solo)
     shown = [summary(odds) for odds in document_odds(field, split, {})]
     field.link = common.fit_logistic(np.array(shown), np.array(labels, dtype=float))
     return field
