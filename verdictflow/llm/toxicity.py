@@ -16,7 +16,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -41,6 +40,8 @@ LEAST_DOCS = 4
 PURITY = 0.98
 REJECT = 0.3
 _CACHE = 400_000
+#: Texts of the training sample that are scored together.
+_TOGETHER = 50
 
 RESULT = "score double, predicted int, spans array<struct<begin:int,end:int>>"
 
@@ -179,48 +180,48 @@ def _one_of_each(samples):
 
 
 def train(samples: list[tuple[str, int]], steps=60, rate=0.3, l2=1e-6, seed=SEED) -> Field | None:
-    """A field from (text, label) pairs; None without both labels."""
+    """A field from (text, label) pairs; None without both labels or without words."""
     samples = _one_of_each(sorted(samples))
     rng = np.random.default_rng(seed)
     rng.shuffle(samples)
     labels = [label for _, label in samples]
     if len(set(labels)) < 2:
         return None
-    # Equal words are one object, which takes less memory.
-    same: dict[bytes, bytes] = {}
+    # Texts as arrays of word numbers, which take a fraction of the memory of their words.
+    numbers: dict[bytes, int] = {}
     split = []
     for text, _ in samples:
         words, starts, stops = sentences(text)
-        split.append(([same.setdefault(w, w) for w in words], starts, stops))
-    marking, solo = label_words([words for words, _, _ in split], labels)
-
-    is_toxic = cache(lambda w: any(f in marking for f in features(w)))
+        ids = (numbers.setdefault(w, len(numbers)) for w in words)
+        split.append((np.fromiter(ids, np.int32, len(words)), starts, stops))
+    del samples
+    if not numbers:
+        return None
+    spelled = list(numbers)
+    marking, solo = label_words([[spelled[n] for n in np.unique(ids)] for ids, _, _ in split], labels)
 
     # Sentences with a toxic word, and some of the others.
-    flat, tags, begin, end, hot = [], [], [], [], []
-    for (words, starts, stops), label in zip(split, labels):
-        for a, b in zip(starts.tolist(), stops.tolist()):
-            run = words[a:b]
-            tag = [int(label == 1 and is_toxic(w)) for w in run]
-            begin.append(len(flat))
-            flat += run
-            tags += tag
-            end.append(len(flat))
-            hot.append(any(tag))
-    hot = np.array(hot)
+    marked = np.array([any(f in marking for f in features(w)) for w in spelled], dtype=bool)
+    offset = np.cumsum([0, *[len(ids) for ids, _, _ in split]])
+    begin = np.concatenate([starts + at for (_, starts, _), at in zip(split, offset)])
+    end = np.concatenate([stops + at for (_, _, stops), at in zip(split, offset)])
+    flat = np.concatenate([ids for ids, _, _ in split])
+    tags = np.concatenate([marked[ids] & (label == 1) for (ids, _, _), label in zip(split, labels)])
+    before = np.append(0, np.cumsum(tags))
+    hot = before[end] > before[begin]
     keep = hot | (rng.random(len(hot)) < CLEAN_PER_TOXIC * max(1, hot.sum()) / max(1, len(hot)))
-    begin, end = np.array(begin)[keep], np.array(end)[keep]
+    if keep.any():
+        begin, end = begin[keep], end[keep]
     index = np.concatenate([np.arange(a, b) for a, b in zip(begin, end)])
-    numbers: dict[bytes, int] = {}
-    word_of = np.array([numbers.setdefault(flat[i], len(numbers)) for i in index])
+    seen_words, word_of = np.unique(flat[index], return_inverse=True)
     # Solo words have one cell, the rest of their row points to a cell without weight.
-    rows = [[bucket(f) for f in features(w, solo)] for w in numbers]
+    rows = [[bucket(f) for f in features(spelled[n], solo)] for n in seen_words]
     cells = np.array([r + [BUCKETS] * (len(PREFIXES) + 2 - len(r)) for r in rows])
     # Only the buckets in use are trained; the others stay 0. The last has no weight.
     used, cells = np.unique(np.append(cells.ravel(), BUCKETS), return_inverse=True)
     cells = cells[:-1].reshape(len(rows), -1)
-    del flat, rows
-    tags = np.array(tags, dtype=float)[index]
+    tags = tags[index].astype(float)
+    del flat, rows, before
     size = end - begin
     end = np.cumsum(size)
     begin = end - size
@@ -239,17 +240,22 @@ def train(samples: list[tuple[str, int]], steps=60, rate=0.3, l2=1e-6, seed=SEED
         emission = word_score[word_of]
         odds, forward, backward = marginals(emission, begin, end, trans)
         gap = sigmoid(odds) - tags
-        by_word = np.bincount(word_of, gap, len(numbers))
+        by_word = np.bincount(word_of, gap, len(seen_words))
         grad = np.bincount(cells.ravel(), np.repeat(by_word, cells.shape[1]), len(used))
         grad[-1] = 0
         # Expected steps: both tags of neighbours, in proportion to their joint weight.
-        left = (forward + emission)[later - 1]
-        right = (backward + emission)[later]
-        joint = np.stack(
-            [trans[a, b] + a * left + b * right for a in (0, 1) for b in (0, 1)]
-        )
-        joint = np.exp(joint - joint.max(axis=0))
-        expected = (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
+        forward += emission
+        backward += emission
+        left, right = forward[later - 1], backward[later]
+        del odds, forward, backward
+        joint = np.empty((4, len(later)))
+        for a in (0, 1):
+            for b in (0, 1):
+                joint[2 * a + b] = trans[a, b] + a * left + b * right
+        joint -= joint.max(axis=0)
+        np.exp(joint, out=joint)
+        joint /= joint.sum(axis=0)
+        expected = joint.sum(axis=1).reshape(2, 2)
         n = len(index)
         adam.step(
             [grad / n + l2 * weights, np.array([gap.sum() / n]), (expected - seen) / n + l2 * trans]
@@ -257,7 +263,10 @@ def train(samples: list[tuple[str, int]], steps=60, rate=0.3, l2=1e-6, seed=SEED
     table = np.zeros(BUCKETS, dtype=np.float32)
     table[used[:-1]] = weights[:-1]
     field = Field(table, float(bias[0]), trans, np.zeros(3), solo)
-    shown = [summary(odds) for odds in document_odds(field, split, {})]
+    shown, known = [], {}
+    for at in range(0, len(split), _TOGETHER):
+        part = [([spelled[n] for n in ids], *bounds) for ids, *bounds in split[at : at + _TOGETHER]]
+        shown += [summary(odds) for odds in document_odds(field, part, known)]
     field.link = common.fit_logistic(np.array(shown), np.array(labels, dtype=float))
     return field
 
