@@ -200,7 +200,7 @@ def near_duplicates(
     candidates = near.candidate_groups(things, _passing(threshold))
     groups = things.select("gid", "sketch").join(candidates, "gid").join(copies, "gid")
     groups = groups.select("gid", "root", "copies", "sketch", F.length("sketch").alias("bytes"))
-    found = stage(near.links_and_classes(groups, _linked(threshold)), "vector-classes")
+    found = stage(near.links_and_classes(near.dealt_groups(groups), _linked(threshold)), "vector-classes")
 
     own = copies.join(found, "gid", "left")
     roots = own.filter(F.col("class_root").isNotNull()).groupBy("class_root").agg(

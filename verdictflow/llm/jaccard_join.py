@@ -98,6 +98,7 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             {
                 "doc_id": batch["doc_id"],
                 "gid": batch["gid"],
+                "bytes": batch["bytes"],
                 "bands": list(bands),
                 "sketch": list(sketch),
                 "n_runs": list(runs),
@@ -229,19 +230,18 @@ def _linked(threshold):
 _BITMAP_BITS = 1 << 22
 
 
-def _may_be_in(gid, candidates: DataFrame):
-    """False for ids that are surely not among the candidates."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(_BITMAP_BITS))
-    bits = candidates.select(place("gid").alias("place")).groupBy(
+def _may_be_in(key: list[str], candidates: DataFrame):
+    """False for rows whose `key` columns are surely not among those of the candidates."""
+    place = F.pmod(F.xxhash64(*key), F.lit(_BITMAP_BITS))
+    bits = candidates.select(place.alias("place")).groupBy(
         F.shiftright("place", 6).alias("id")
     )
     bits = bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
     words = candidates.sparkSession.range(_BITMAP_BITS // 64).join(bits, "id", "left")
     pair = F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
     bitmap = words.agg(F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["bits"])).scalar()
-    at = place(gid)
-    word = F.get(bitmap, F.shiftright(at, 6).cast("int"))
-    return F.bit_get(word, (at % 64).cast("int")) == 1
+    word = F.get(bitmap, F.shiftright(place, 6).cast("int"))
+    return F.bit_get(word, (place % 64).cast("int")) == 1
 
 
 def text_gid(text):
@@ -265,25 +265,31 @@ def join_similar(docs: DataFrame, text="text", doc_id="doc_id", threshold=THRESH
     )
     kind = dict(rows.dtypes)["doc_id"]
     signed = stage(
-        rows.filter(F.col("gid").isNotNull()).mapInPandas(
-            _signatures, f"doc_id {kind}, gid long, bands array<long>, sketch binary, n_runs int"
+        rows.filter(F.col("gid").isNotNull())
+        .withColumn("bytes", F.octet_length("text").cast("long"))
+        .mapInPandas(
+            _signatures,
+            f"doc_id {kind}, gid long, bytes long, bands array<long>, sketch binary, n_runs int",
         ),
         "signatures",
     ).filter(F.col("n_runs") > 0)
-    copies = signed.groupBy("gid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
+    copies = signed.groupBy("gid").agg(
+        F.count("*").alias("copies"), F.min("doc_id").alias("first"), F.max("bytes").alias("bytes")
+    )
     copies = stage(copies, "text-copies")
     things = signed.select("gid", "bands", "sketch").dropDuplicates(["gid"])
     candidates = stage(near.candidate_groups(things, _passing), "candidates")
 
-    # The text of one row for each candidate. Texts that are none are left out by a bitmap
-    # of fixed size before the shuffle.
-    likely = rows.filter(F.col("gid").isNotNull() & _may_be_in(F.col("gid"), candidates))
-    texts = likely.join(candidates, "gid")
-    texts = texts.groupBy("gid", "root").agg(F.first("text").alias("text"))
-    groups = texts.join(copies.select("gid", "copies"), "gid").join(
-        things.select("gid", "sketch"), "gid"
-    )
-    groups = groups.withColumn("bytes", F.length("text").cast("long"))
+    # What is known of a candidate without its text: `first` picks the row that brings it.
+    chosen = candidates.join(copies, "gid").join(things.select("gid", "sketch"), "gid")
+    chosen = stage(near.dealt_groups(chosen), "chosen")
+
+    # Of copies only the first row's text is sent. Rows that are surely none of these are
+    # left out before the shuffle, by a bitmap of fixed size.
+    named = rows.withColumnRenamed("doc_id", "first").filter(F.col("gid").isNotNull())
+    likely = named.filter(_may_be_in(["gid", "first"], chosen))
+    texts = likely.groupBy("gid").agg(F.first("text").alias("text"))
+    groups = chosen.drop("first").join(texts, "gid")
     found = stage(near.links_and_classes(groups, _linked(threshold)), "classes")
 
     own = copies.join(found, "gid", "left")

@@ -175,16 +175,23 @@ def _union(classes: Classes, i: np.ndarray, j: np.ndarray):
             return
 
 
+def dealt_groups(things: DataFrame) -> DataFrame:
+    """The `things` of groups (`root`) of two or more, with the `blocks` of their group."""
+    sizes = things.groupBy("root").agg(F.sum("bytes").alias("group_bytes"), F.count("*").alias("of_root"))
+    rows = things.join(sizes.filter(F.col("of_root") > 1), "root")
+    return rows.withColumn("blocks", F.ceil(F.col("group_bytes") / BLOCK_BYTES)).drop(
+        "group_bytes", "of_root", "bytes"
+    )
+
+
 def links_and_classes(groups: DataFrame, linked: Callable) -> DataFrame:
     """`gid, n_links, class_root` of every thing that has a link to another one.
 
-    `groups`: `gid, root, copies, bytes` and what `linked()` needs; a link counts as often as
-    the other thing has `copies`.
+    `groups`: `gid, root, copies, blocks` and what `linked()` needs; a link counts as often as
+    the other thing has `copies`. Only here is what `linked()` needs sent, once for each pair of
+    blocks.
     """
-    sizes = groups.groupBy("root").agg(F.sum("bytes").alias("group_bytes"), F.count("*").alias("n"))
-    sizes = sizes.filter(F.col("n") > 1).drop("n")
-    rows = groups.join(sizes, "root")
-    rows = blocked(rows, F.ceil(F.col("group_bytes") / BLOCK_BYTES)).drop("group_bytes", "bytes")
+    rows = blocked(groups, F.col("blocks"))
     dealt = rows.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
     found = stage(dealt.mapInPandas(_verify(linked), "a long, b long, links long"), "links-found")
     counts = found.groupBy(F.col("a").alias("gid")).agg(F.sum("links").alias("n_links"))
