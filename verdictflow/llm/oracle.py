@@ -189,6 +189,101 @@ select t.doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access,
 from t left join found on t.doc_id = found.doc_id
 """
 
+_BLANK = r"\x20\x09-\x0D"
+# CRC-32 bit by bit: a byte is mixed in, then eight shifts (-1 in the list).
+_CRC = """4294967295 - list_reduce(flatten(list_transform(string_split(cast(doc_id as varchar), ''),
+  lambda c: list_concat([ascii(c)::bigint], list_transform(range(8), lambda k: -1::bigint)))),
+  lambda crc, x: case when x >= 0 then xor(crc, x) else xor(crc >> 1, (crc & 1) * 3988292384) end,
+  4294967295::bigint)"""
+
+RUNS = rf"""
+with d as materialized (
+  select row_number() over () rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^{_BLANK}]+') w0,
+         {_CRC} h from documents
+), shape as (
+  select *, h // 10 g, len(w0) n from d
+), planted as (
+  select *, case when h % 10 = 0 and n > 0 then g % n end a,
+         case when h % 10 = 0 and n > 0 then 1 + (n - g % n) // (3 + g % 8) end p from shape
+), texts as materialized (
+  select rid, doc_id, n, case when a is null then w0 else list_concat(w0[1:a],
+    list_transform(range(a, n), lambda i: w0[a + (i - a) % p + 1])) end w from planted
+), tok as materialized (
+  select rid, n, i, w[i + 1] word from texts, unnest(range(n)) t(i)
+), pairs as (
+  select x.rid, y.i - x.i q, x.i from tok x join tok y on x.rid = y.rid and x.word = y.word
+  where y.i > x.i and 4 * (y.i - x.i) <= x.n
+), islands as (
+  select rid, q, min(i) s, max(i) + 1 + q e
+  from (select *, i - row_number() over (partition by rid, q order by i) part from pairs)
+  group by rid, q, part having max(i) + 1 + q - min(i) >= greatest(6, 4 * q)
+), runs as materialized (
+  select rid, s, e - s length, min(q) q from islands group by rid, s, e
+), top as (
+  select a.* from runs a where not exists (
+    select 1 from runs b where b.rid = a.rid and (b.length * a.q > a.length * b.q
+      or b.length * a.q = a.length * b.q and (b.s, b.q) < (a.s, a.q)))
+), lines as (
+  select rid, count(*) n_runs, string_agg(s || ',' || length || ',' || q || chr(10), '' order by s, q) lines
+  from runs group by rid
+), gone as (
+  select distinct rid, i from runs, unnest(range(s + q, s + length)) t(i)
+), collapsed as (
+  select rid, string_agg(word, ' ' order by i) text from tok anti join gone using (rid, i) group by rid
+)
+select doc_id, coalesce(n_runs, 0) n_runs, s "start", length, q "period", (1000 * length) // q exponent_milli,
+       sha256(coalesce(lines, '')) runs_sha256, sha256(coalesce(c.text, '')) collapsed_sha256
+from texts t left join lines using (rid) left join top using (rid) left join collapsed c using (rid)
+"""
+
+
+def _centroid_sql(clusters=40, rounds=5):
+    parts = [
+        """
+v as materialized (
+  select row_number() over () rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) e
+  from embeddings where len(embedding) = 64
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+)""",
+        f"""
+c0 as materialized (
+  select row_number() over (order by h nulls last, e) - 1 k, e
+  from (select e, sha256('2:' || vec_id) h from v order by h nulls last, e limit {clusters})
+)""",
+    ]
+    square = "list_sum(list_transform(list_zip(v.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    for r in range(rounds + 1):
+        # Distance and number in one value: the least is the nearest, then the smallest number.
+        parts.append(f"""
+a{r} as materialized (
+  select rid, best % 1000 k, best // 1000 distance
+  from (select rid, min({square}::bigint * 1000 + c.k) best from v cross join c{r} c group by rid)
+)""")
+        if r < rounds:
+            parts.append(f"""
+m{r} as (
+  select k, i, sum(x)::bigint s, count(*) n
+  from (select k, unnest(e) x, generate_subscripts(e, 1) i from a{r} join v using (rid)) group by k, i
+), f{r} as (
+  select k, list((s - ((s % n) + n) % n) // n order by i) e from m{r} group by k
+), c{r + 1} as materialized (
+  select c.k, coalesce(f.e, c.e) e from c{r} c left join f{r} f using (k)
+)""")
+    return f"""
+with {", ".join(parts)}
+select vec_id, k::int "cluster", distance::bigint distance, (sum(distance) over (partition by k))::bigint cluster_inertia,
+       (sum(distance) over ())::bigint inertia, sha256(array_to_string(c.e, ',')) centroid_sha256
+from a{rounds} join v using (rid) join c{rounds} c using (k)
+"""
+
+
+EXACT_DEDUP = """
+with d as (select doc_id, coalesce(text, '') t from documents)
+select doc_id, max(doc_id) over (partition by t) keep_id, count(*) over (partition by t) group_size,
+       row_number() over (partition by t order by doc_id desc nulls last) = 1 kept, sha256(t) text_sha256
+from d
+"""
+
 ORACLES = {
     "op1_lm_score": LM_SCORE,
     "op3_embedding_dedup": EMBEDDING_DEDUP,
@@ -196,4 +291,7 @@ ORACLES = {
     "op6_decontaminate": DECONTAMINATE,
     "op8_url_filter": URL_FILTER,
     "op9_secret_scan": SECRET_SCAN,
+    "op11_runs": RUNS,
+    "op12_centroids": _centroid_sql(),
+    "op13_exact_dedup": EXACT_DEDUP,
 }

@@ -3,13 +3,16 @@
 from pyspark.sql import functions as F
 
 from verdictflow.llm import (
+    centroids,
     decontaminate,
     embedding_dedup,
+    exact_dedup,
     jaccard_join,
     lang_id,
     lm_score,
     mixing,
     quality,
+    run_detect,
     secret_scan,
     toxicity,
     url_filter,
@@ -129,6 +132,63 @@ def op10_mix(spark, d):
     )
 
 
+_BLANKS = r"[\x20\x09-\x0D]+"
+
+
+def with_planted_runs(docs):
+    """`docs` in which each tenth text, by the hash of its id, ends in repetitions."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", (h % 10 == 0).alias("planted"), F.floor(h / 10).alias("g"))
+    words = F.filter(F.split("text", _BLANKS), lambda w: w != "")
+    rows = rows.withColumn("words", F.when(F.col("planted"), words)).withColumn("n", F.size("words"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rest = F.col("n") - F.col("a")
+    p = F.lit(1) + F.floor(rest / (3 + F.col("g") % 8))
+    rows = rows.withColumn("p", p.cast("int")).withColumn("rest", rest.cast("int"))
+    period = F.slice("words", F.col("a").cast("int") + 1, F.col("p"))
+    times = F.ceil(F.col("rest") / F.col("p")).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(period, times)), 1, F.col("rest"))
+    text = F.array_join(F.concat(F.slice("words", 1, F.col("a").cast("int")), again), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_runs(spark, d):
+    """The periodic runs of each document."""
+    found = run_detect.find_runs(with_planted_runs(read(spark, d, "documents")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    # Of equal quotients the run that comes first stays.
+    best = F.aggregate(
+        "runs",
+        F.get("runs", F.lit(0)),
+        lambda best, r: F.when(
+            r["length"].cast("decimal(19,0)") * best["period"] > best["length"].cast("decimal(19,0)") * r["period"], r
+        ).otherwise(best),
+    )
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_centroids(spark, d):
+    """The cluster of each vector."""
+    found = centroids.cluster(read(spark, d, "embeddings"))
+    return found.withColumn("centroid_sha256", F.sha2("centroid", 256)).drop("centroid")
+
+
+def op13_exact_dedup(spark, d):
+    """The group of equal texts of each document."""
+    return exact_dedup.find_copies(read(spark, d, "documents"))
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_jaccard_join": op2_jaccard_join,
@@ -140,4 +200,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_secret_scan": op9_secret_scan,
     "op10_mix": op10_mix,
+    "op11_runs": op11_runs,
+    "op12_centroids": op12_centroids,
+    "op13_exact_dedup": op13_exact_dedup,
 }
