@@ -8,7 +8,6 @@ from verdictflow.catalog import QUERIES
 from verdictflow.oracle import ORACLES
 
 DATA = "/root/testdata/sf0.001"
-ROWS_ONLY = {"train_ml_pipeline", "tune_ml_pipeline"}
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +16,7 @@ def db():
 
 
 def test_every_query_has_its_sql():
-    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
+    assert set(QUERIES) == set(ORACLES)
     assert set(QUERIES) <= set(queries())
     assert set(oracle_sql()) <= set(queries())
 
@@ -27,10 +26,5 @@ def test_query_equals_sql(spark, db, name):
     assert difference(spark, DATA, QUERIES[name], ORACLES[name], db) is None
 
 
-@pytest.mark.parametrize("name", sorted(ROWS_ONLY))
-def test_rows_only_queries_run(spark, name):
-    assert queries()[name](spark, DATA).count() > 0
-
-
 def test_entry(spark):
     assert entry(spark).count() > 0

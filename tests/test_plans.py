@@ -169,3 +169,34 @@ def test_the_anti_join_comes_before_the_scoring(posts, weights):
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("aggregate(") < plan.index("isnull(link_flair_text")
     assert model.UNIT == 1_000_000
+
+
+def test_a_report_keeps_what_another_writer_added(spark, posts, weights, tmp_path, monkeypatch):
+    from verdictflow.schemas import HISTORY
+
+    history = tables.history_table(spark, str(tmp_path))
+    archive = tables.history_archive(spark, str(tmp_path))
+    other = spark.createDataFrame([(date(2024, 1, 2), "Total", 1, 2, 0.5, 0.1, None, None)], HISTORY)
+    plain = monitor.report
+
+    def slow_report(*args, **options):
+        result = plain(*args, **options)
+        history.update(lambda table: table.unionByName(other))
+        return result
+
+    monkeypatch.setattr(monitor, "report", slow_report)
+    result = monitor.run_report(posts, weights, history, archive, RUN)
+    days = {str(r.date) for r in history.read().collect()}
+    assert days == {"2024-01-02", RUN}
+    assert {str(r.date) for r in archive.read().collect()} == days
+    assert result.chart.count() == 2
+
+
+def test_a_sample_reads_its_input_once(spark, tmp_path):
+    from verdictflow.operators import sampling
+
+    spark.range(1000).selectExpr("id as submission_id", "id % 3 as label").write.parquet(f"{tmp_path}/rows")
+    cutoffs = sampling.hash_cutoffs(
+        spark.read.parquet(f"{tmp_path}/rows"), "label", "submission_id", 1, {"_cut": lambda total: total / 2}
+    )
+    assert f"{tmp_path}/rows" not in cutoffs._jdf.queryExecution().executedPlan().toString()

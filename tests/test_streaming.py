@@ -48,7 +48,7 @@ def test_ingest_equals_the_batch_job_and_a_rerun_adds_nothing(spark, posts, sour
 def test_scored_ingest(spark, posts, source, tmp_path):
     log = tables.daily_log(spark, str(tmp_path))
     weights = training.weights_for(posts)
-    ingest.ingest(source, log, str(tmp_path / "checkpoint"), weights=weights).awaitTermination()
+    ingest.ingest(source, log, str(tmp_path / "checkpoint"), scorer=weights).awaitTermination()
     expected = monitor.log_rows(monitor.decided_batch(posts), weights)
     assert rows(log.read()) == rows(expected)
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import plan_of
 from verdictflow.operators import filters
+from verdictflow.operators import joins
 from verdictflow.plans import monitor
 from verdictflow.schemas import DAILY_LOG, PENDING, TRAINING_CSV
 from verdictflow.sources import scans, tables
@@ -202,3 +203,43 @@ def test_outbox_adds_each_message_once_per_kind(spark, tmp_path):
     twice = spark.createDataFrame([(7, "b"), (7, "a")], "message_id long, message string")
     box.append(twice, "ruling")
     assert [r.message for r in box.read().filter("message_id = 7").collect()] == ["a"]
+
+
+def test_outbox_writers_take_turns_and_compare_their_days_only(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    box = tables.outbox(spark, str(tmp_path))
+    rows = spark.createDataFrame(
+        [(i, f"m{i}", date(2024, 1, 1 + i % 3)) for i in range(30)], "message_id long, message string, date_created date"
+    )
+    with ThreadPoolExecutor(4) as pool:
+        added = list(pool.map(lambda _: box.append(rows, "ruling").count(), range(4)))
+    assert sorted(added) == [0, 0, 0, 30]
+    assert sorted(r.message_id for r in box.read().collect()) == list(range(30))
+    one_day = rows.filter("message_id % 3 = 0")
+    new = box._unknown(one_day.withColumn("kind", F.lit("ruling")).withColumnRenamed("date_created", "day"), "ruling")
+    assert new.count() == 0 and "dynamicpruning" in plan_of(new)
+    assert box.append(one_day, "update").count() == 10
+
+
+def test_a_claim_left_behind_is_taken_over(spark, tmp_path, monkeypatch):
+    box = tables.outbox(spark, str(tmp_path))
+    monkeypatch.setattr(tables.Outbox, "CLAIM_SECONDS", 0)
+    (tmp_path / "outbox" / "_claims").mkdir(parents=True)
+    (tmp_path / "outbox" / "_claims" / "ruling").touch()
+    one = spark.createDataFrame([(1, "m")], "message_id long, message string")
+    assert box.append(one, "ruling").count() == 1
+    assert not (tmp_path / "outbox" / "_claims" / "ruling").exists()
+
+
+def test_posts_without_a_date_are_logged_once(spark, tmp_path, make_posts):
+    log = tables.daily_log(spark, str(tmp_path))
+    posts = make_posts([(1, "a", "b", "nta", 1), (2, "c", "d", "YTA", 30)])
+    posts = posts.withColumn("created_utc", F.when(F.col("submission_id") == "2", F.col("created_utc")))
+    batch = monitor.decided_batch(posts)
+    for _ in range(2):
+        new = joins.new_by_id(batch, log.read_dates_of(batch))
+        log.append(unscored(new, DAILY_LOG))
+    assert sorted((r.submission_id, r.post_date) for r in log.read().collect()) == [("1", None), ("2", date(2024, 1, 2))]
+    dated = batch.filter("post_date is not null")
+    assert [r.submission_id for r in log.read_dates_of(dated).collect()] == ["2"]

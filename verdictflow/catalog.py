@@ -16,17 +16,19 @@ from verdictflow.operators import (
     filters,
     joins,
     learning,
+    logistic,
     model,
     quantiles,
     sampling,
     scorer,
     sets,
     stats,
+    subwords,
 )
 from verdictflow.plans import assess, monitor, predict, training
 from verdictflow.schemas import DAILY_LOG, HISTORY, PENDING
 from verdictflow.session import even_out, run_dir, stage
-from verdictflow.sources import feeds, scans, tables
+from verdictflow.sources import feeds, models, scans, tables
 from verdictflow.streaming import accuracy as stream_accuracy
 from verdictflow.streaming import ingest as stream_ingest
 from verdictflow.streaming import resolve as stream_resolving
@@ -35,6 +37,7 @@ from verdictflow.streaming import scoring as stream_scoring
 RUN_DATE = "2024-03-01"
 REPORT_DATE = "2024-02-01"
 SEED = 7
+N_MERGES = 16
 
 
 # Inputs
@@ -303,6 +306,10 @@ def selective_accuracy(spark, d):
     return stats.binomial_stats(sampling.confident_extremes(rows), "accurate")
 
 
+def coverage_curve(spark, d):
+    return stats.coverage_curve(graded_scores(spark, d))
+
+
 def token_length_stats(spark, d):
     return model.token_length_stats(token_counts(spark, d))
 
@@ -397,15 +404,66 @@ def score_with_udf(spark, d):
 
 def train_ml_pipeline(spark, d):
     parts = stage(sampling.stratified_split(training_rows(spark, d), "label"), "split")
-    fitted = learning.train_pipeline(parts.filter("split = 'train'"))
+    fitted = learning.bayes_pipeline().fit(parts.filter("split = 'train'"))
     held_out = parts.filter("split <> 'train'")
-    return learning.predict_logits(fitted, held_out).select(
+    return learning.margin_of(fitted, held_out).select(
         "submission_id", "label", "split", F.round("logits", 6).alias("logits"), "pred"
     )
 
 
+def _logistic_parts(spark, d):
+    """The training posts with their features and split, as a table."""
+    rows = sampling.stratified_split(training_rows(spark, d), "label")
+    rows = rows.select("submission_id", "label", "split", "combined_text")
+    return stage(logistic.with_features(rows), "features")
+
+
+def train_logistic(spark, d):
+    parts = _logistic_parts(spark, d)
+    return logistic.weight_rows(logistic.fit(parts.filter("split = 'train'")))
+
+
+def logistic_scores(spark, d):
+    """Held-out posts scored by the trained weights."""
+    parts = _logistic_parts(spark, d)
+    weights = logistic.fit(parts.filter("split = 'train'"))
+    scored = logistic.score(parts.filter("split <> 'train'"), weights)
+    return scored.withColumn("pred", over_threshold(F.col("logits")))
+
+
 def tune_ml_pipeline(spark, d):
-    return learning.tune(stage(training_rows(spark, d), "training"))
+    parts = _logistic_parts(spark, d)
+    train, val = parts.filter("split = 'train'"), parts.filter("split = 'val'")
+    return logistic.select_setting(train, val, learning.SETTINGS, threshold=0.0)
+
+
+def score_by_join(spark, d):
+    trained = stage(weights(spark, d), "weights")
+    return model.score_by_join(even_out(combined_text(spark, d)), trained)
+
+
+def subword_counts(spark, d):
+    """Tokens of each post after a fixed number of merges learned from all posts."""
+    texts = even_out(combined_text(spark, d))
+    _, table = subwords.learn(subwords.word_table(texts), N_MERGES)
+    return subwords.subword_counts(texts, table)
+
+
+def subword_merges(spark, d):
+    merges, _ = subwords.learn(subwords.word_table(even_out(combined_text(spark, d))), N_MERGES)
+    rows = [(k + 1, *merge) for k, merge in enumerate(merges)]
+    return spark.createDataFrame(rows, "step int, left string, right string, n long")
+
+
+def _stored(spark, d):
+    store = models.ModelStore(spark, run_dir(spark, "models"))
+    store.save(weights(spark, d), trained_on="decided posts")
+    return store
+
+
+def score_stored_model(spark, d):
+    scorer_step = _stored(spark, d).load().step()
+    return scorer_step(even_out(combined_text(spark, d))).select("submission_id", "logits")
 
 
 # Streams
@@ -466,24 +524,80 @@ def stream_score(spark, d):
     return spark.read.parquet(path).select("submission_id", "logits", "pred")
 
 
+def stream_score_stored(spark, d):
+    """Scores of a stream that takes the newest stored model."""
+    path = run_dir(spark, "stream-scores")
+    documents = feeds.stream(spark, d, "documents", feeds.DOCUMENTS)
+    _finish(
+        stream_scoring.score_stream(
+            documents, _stored(spark, d), path, run_dir(spark, "checkpoint"), _to_posts(spark, d)
+        )
+    )
+    return spark.read.parquet(path).select("submission_id", "logits", "pred")
+
+
 # Jobs
 
 
 def predict_cycle(spark, d):
-    trained = stage(weights(spark, d), "weights")
+    return _predicted(spark, d, stage(weights(spark, d), "weights")).pending
+
+
+def predict_cycle_python(spark, d):
+    """The prediction job with a stored model and the scorer of Arrow batches."""
+    return _predicted(spark, d, _stored(spark, d).load().python_step()).pending
+
+
+def _predicted(spark, d, trained):
     earlier = predict.score_posts(english_posts(spark, d), trained, "2024-02-28")
     sent = message_id(F.col("title"), F.col("url"), F.lit("2024-02-28"))
     state = earlier.withColumn("message_id", sent).select(*PENDING.fieldNames())
-    result = predict.predict(
+    return predict.predict(
         feeds.posts(spark, d), stage(state, "pending"), trained, RUN_DATE, seed=SEED
     )
-    return result.pending
+
+
+def outbox_messages(spark, d):
+    """The messages of a prediction run that publishes twenty posts."""
+    root = run_dir(spark, "outbox")
+    box = tables.outbox(spark, root)
+    state = tables.pending_table(spark, root)
+    options = {"seed": SEED, "n_publish": 20}
+    predict.run_predict(feeds.posts(spark, d), state, box, _stored(spark, d), RUN_DATE, **options)
+    return box.read()
 
 
 def assess_cycle(spark, d):
     return assess.assess(pending(spark, d), feeds.posts(spark, d), SEED).resolved
 
 
+def _assessed(spark, d):
+    root = run_dir(spark, "assess")
+    state, box = tables.pending_table(spark, root), tables.outbox(spark, root)
+    state.write(pending(spark, d))
+    archive = tables.resolved_archive(spark, root)
+    assess.run_assess(state, feeds.posts(spark, d), archive, box, "2024-03-02-06-00", seed=SEED)
+    return state, box
+
+
+def assess_state(spark, d):
+    """What an assessment leaves pending."""
+    return _assessed(spark, d)[0].read()
+
+
+def outbox_updates(spark, d):
+    """The messages of an assessment."""
+    return _assessed(spark, d)[1].read()
+
+
+def state_or_empty(spark, d):
+    """A state table that is not there is empty; then what was added to it."""
+    state = tables.pending_table(spark, run_dir(spark, "state"))
+    missing = scans.read_if_exists(spark, run_dir(spark, "missing"), PENDING)
+    state.write(sets.union_all(missing, pending(spark, d)))
+    return scans.read_required(spark, f"{state.path}/v={0:012d}", PENDING)
+
+
 def monitor_cycle(spark, d):
     trained = stage(weights(spark, d), "weights")
     log = unscored_log(spark, english_posts(spark, d))
@@ -503,6 +617,38 @@ def monitor_report(spark, d):
     )
 
 
+def _reported(spark, d, run_date=RUN_DATE, **options):
+    root = run_dir(spark, "report")
+    history = tables.history_table(spark, root)
+    archive = tables.history_archive(spark, root)
+    history.write(stats.daily_history(graded_scores(spark, d)))
+    trained = stage(weights(spark, d), "weights")
+    posts = feeds.posts(spark, d)
+    return monitor.run_report(posts, trained, history, archive, run_date, seed=SEED, **options), archive
+
+
+def history_snapshot(spark, d):
+    """The dated copy of the history that a report leaves."""
+    return _reported(spark, d)[1].read()
+
+
+def history_keep_day(spark, d):
+    """A report of a day that is there and is not to be overwritten."""
+    return _reported(spark, d, "2024-01-15", overwrite_day=False)[0].history
+
+
+def report_confusion(spark, d):
+    return _reported(spark, d)[0].confusion
+
+
+def report_distribution(spark, d):
+    return _reported(spark, d)[0].distribution
+
+
+def report_dates(spark, d):
+    return _reported(spark, d)[0].dates
+
+
 def train_eval(spark, d):
     rows = training.labelled(csv_training(spark, d), positive="Asshole")
     evaluated = training.train(stage(rows, "training")).evaluated
@@ -551,6 +697,7 @@ QUERIES = {
         control_limits,
         eval_accuracy,
         selective_accuracy,
+        coverage_curve,
         token_length_stats,
         split_sizes,
         confident_extremes,
@@ -566,16 +713,33 @@ QUERIES = {
         train_weights,
         score_posts,
         score_with_udf,
+        score_by_join,
+        score_stored_model,
+        subword_merges,
+        subword_counts,
         train_ml_pipeline,
+        train_logistic,
+        logistic_scores,
         tune_ml_pipeline,
         stream_dedup_ingest,
         stream_daily_accuracy,
         stream_resolve,
         stream_score,
+        stream_score_stored,
         predict_cycle,
+        predict_cycle_python,
+        outbox_messages,
         assess_cycle,
+        assess_state,
+        outbox_updates,
+        state_or_empty,
         monitor_cycle,
         monitor_report,
+        history_snapshot,
+        history_keep_day,
+        report_confusion,
+        report_distribution,
+        report_dates,
         train_eval,
     )
 }

@@ -2,12 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from verdictflow.functions.hashing import md5_int
-
-# Words are hashed into a vocabulary of 16 ** WORD_ID_DIGITS = 65,536 ids, so a model
+# Words are hashed into a vocabulary of so many ids unless another size is given, so a model
 # over them has a fixed size whatever the amount of text.
-WORD_ID_DIGITS = 4
-VOCABULARY = 16**WORD_ID_DIGITS
+VOCABULARY = 1 << 20
 
 _BLANK = r"[\s\x1c-\x1f\x85\p{Z}]+"
 
@@ -42,6 +39,6 @@ def words(value, max_words=None):
     return found if max_words is None else F.slice(found, 1, max_words)
 
 
-def word_id(word):
-    """Id of a word in the hashed vocabulary."""
-    return md5_int(word, WORD_ID_DIGITS).cast("int")
+def word_id(word, vocabulary=VOCABULARY):
+    """Id of a word in a hashed vocabulary: the CRC-32 of its UTF-8 bytes modulo the size."""
+    return (F.crc32(word.cast("binary")) % vocabulary).cast("int")

@@ -1,15 +1,15 @@
-"""Classifier training and setting selection with pyspark.ml."""
+"""Classifier training with pyspark.ml, and the settings to choose from."""
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
+from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import TrainValidationSplit
 from pyspark.sql import functions as F
 
 from verdictflow.functions.scores import over_threshold
-from verdictflow.functions.text import VOCABULARY
+
+# Word ids of these models.
+VOCABULARY = 1 << 16
 
 # Settings to choose from, by name: (regularisation, elastic-net mixing).
 SETTINGS = {
@@ -59,34 +59,25 @@ def predict_logits(model, posts):
     )
 
 
-def tune(training, text_col="combined_text", settings=SETTINGS, parallelism=3, seed=42):
-    """Validation accuracy of each setting, as (setting, reg, mixing, accuracy, best).
+def bayes_pipeline(text_col="combined_text", label_col="label", smoothing=1.0):
+    """Stages from text to a multinomial naive-Bayes model over a fixed vocabulary of word ids.
 
-    The features do not depend on the setting, so they are computed once and the
-    grid runs over the classifier alone.
+    The ids are those of `word_id`, as text, so the model has one size whatever it is trained on,
+    and the counts behind it are sums: the fit is the same in any order of rows.
     """
-    features = Pipeline(stages=text_features(text_col)).fit(training)
-    vectors = features.transform(training).select("label", "features").persist()
-    learner = classifier()
-    grid = [
-        {learner.regParam: reg, learner.elasticNetParam: mixing}
-        for reg, mixing in settings.values()
-    ]
-    search = TrainValidationSplit(
-        estimator=learner,
-        estimatorParamMaps=grid,
-        evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy"),
-        trainRatio=0.8,
-        parallelism=parallelism,
-        seed=seed,
-    )
-    accuracies = search.fit(vectors).validationMetrics
-    vectors.unpersist()
-    best = max(range(len(accuracies)), key=accuracies.__getitem__)
-    rows = [
-        (name, float(reg), float(mixing), float(accuracies[i]), i == best)
-        for i, (name, (reg, mixing)) in enumerate(settings.items())
-    ]
-    return training.sparkSession.createDataFrame(
-        rows, "setting string, reg double, mixing double, accuracy double, best boolean"
+    ids = SQLTransformer(
+        statement=f"""SELECT *, transform(
+            filter(split(lower({text_col}), '[^\\\\p{{L}}]+'), w -> w <> ''),
+            w -> cast(crc32(cast(w AS binary)) % {VOCABULARY} AS string)) AS _ids FROM __THIS__"""
     )
+    vocabulary = [str(i) for i in range(VOCABULARY)]
+    counts = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_ids", outputCol="features")
+    learner = NaiveBayes(labelCol=label_col, modelType="multinomial", smoothing=smoothing)
+    return Pipeline(stages=[ids, counts, learner])
+
+
+def margin_of(model, posts, threshold=0.5):
+    """`posts` with the log odds of class 1 as `logits` and the thresholded `pred`."""
+    raw = vector_to_array(F.col("rawPrediction"))
+    scored = model.transform(posts).select(*posts.columns, (raw[1] - raw[0]).alias("logits"))
+    return scored.withColumn("pred", over_threshold(F.col("logits"), threshold))

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from verdictflow.functions.hashing import shuffle_key
 from verdictflow.functions.scores import without_nan
 from verdictflow.operators.quantiles import class_thresholds
+from verdictflow.session import stage
 
 # Lengths of the two hash prefixes that narrow a rank: 4,096 and 16 million of them.
 PREFIX_DIGITS = (3, 6)
+# A table with a row per stratum and cut is broadcast up to so many rows.
+BROADCAST_ROWS = 10_000
 
 
 def confident_extremes(df, share=0.1, class_col="pred", score_col="logits", thresholds=None):
@@ -47,15 +50,16 @@ def hash_cutoffs(df: DataFrame, stratum: str, id_col: str, seed, cuts: dict) ->
 
     Counts per hash prefix say which prefix a rank falls into, counts per longer
     prefix narrow that one, and only the rows under it are ranked: about a
-    16-millionth of a stratum. Each pass reads two narrow columns.
+    16-millionth of a stratum. The input is read once: its strata and hashes are staged,
+    and the passes read those.
     """
-    keyed = df.select(
-        F.col(stratum).alias("stratum"), shuffle_key(F.col(id_col), seed).alias("key")
+    keyed = stage(
+        df.select(F.col(stratum).alias("stratum"), shuffle_key(F.col(id_col), seed).alias("key")), "sample-keys"
     )
     short, long = (F.substring("key", 1, digits) for digits in PREFIX_DIGITS)
     whole = Window.partitionBy("stratum")
     # At most 4,096 prefixes per stratum.
-    edges = (
+    edges = stage(
         keyed.groupBy("stratum", short.alias("prefix"))
         .agg(F.count(F.lit(1)).alias("n"))
         .select(
@@ -64,8 +68,10 @@ def hash_cutoffs(df: DataFrame, stratum: str, id_col: str, seed, cuts: dict) ->
             "n",
             (F.sum("n").over(whole.orderBy("prefix")) - F.col("n")).alias("before"),
             F.sum("n").over(whole).alias("total"),
-        )
+        ),
+        "sample-edges",
     )
+    small = _broadcast_if(edges.select("stratum").distinct().count() * len(cuts) <= BROADCAST_ROWS)
     wanted = F.array(
         *[
             F.struct(F.lit(name).alias("cut"), rank(F.col("total")).cast("bigint").alias("rank"))
@@ -77,14 +83,14 @@ def hash_cutoffs(df: DataFrame, stratum: str, id_col: str, seed, cuts: dict) ->
 
     per_cut = Window.partitionBy("stratum", "cut")
     finer = (
-        _rows_under(keyed, first, short)
+        _rows_under(keyed, first, short, small)
         .groupBy("stratum", "cut", "rank", "before", long.alias("prefix"))
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn(
             "before", F.col("before") + F.sum("n").over(per_cut.orderBy("prefix")) - F.col("n")
         )
     )
-    ranked = _rows_under(keyed, _holding_rank(finer), long).withColumn(
+    ranked = _rows_under(keyed, _holding_rank(finer), long, small).withColumn(
         "place", F.col("before") + F.row_number().over(per_cut.orderBy("key"))
     )
     at_rank = ranked.filter(F.col("place") == F.col("rank")).select(
@@ -93,7 +99,7 @@ def hash_cutoffs(df: DataFrame, stratum: str, id_col: str, seed, cuts: dict) ->
 
     totals = edges.groupBy("stratum").agg(F.max("total").alias("total"))
     found = totals.join(
-        F.broadcast(at_rank), F.col("stratum").eqNullSafe(F.col("_stratum")), "left"
+        small(at_rank), F.col("stratum").eqNullSafe(F.col("_stratum")), "left"
     ).groupBy("stratum", "total")
     hashes = found.agg(
         *[F.max(F.when(F.col("cut") == name, F.col("key"))).alias(f"_{name}") for name in cuts]
@@ -118,34 +124,40 @@ def _holding_rank(prefixes):
     ).select("stratum", "cut", "rank", "prefix", "before")
 
 
-def _rows_under(keyed, prefixes, prefix):
-    """Rows of `keyed` under one of the prefixes: a row per stratum and cut, so a broadcast."""
-    small = prefixes.withColumnsRenamed({"stratum": "_stratum", "prefix": "_prefix"})
+def _broadcast_if(fits):
+    return F.broadcast if fits else lambda df: df
+
+
+def _rows_under(keyed, prefixes, prefix, small):
+    """Rows of `keyed` under one of the prefixes, of which there is one per stratum and cut."""
+    named = prefixes.withColumnsRenamed({"stratum": "_stratum", "prefix": "_prefix"})
     return keyed.join(
-        F.broadcast(small),
+        small(named),
         F.col("stratum").eqNullSafe(F.col("_stratum")) & (prefix == F.col("_prefix")),
     ).drop("_stratum", "_prefix")
 
 
-def _with_cutoffs(df, stratum, id_col, seed, cuts):
-    """`df` with the row's hash `_key` and its stratum's cutoffs; no row is shuffled."""
-    cutoffs = hash_cutoffs(df, stratum, id_col, seed, cuts).withColumnRenamed(
+def _with_cutoffs(df, stratum, id_col, seed, cuts, keys=None):
+    """`df` with the row's hash `_key` and its stratum's cutoffs; with few strata no row is shuffled."""
+    cutoffs = stage(hash_cutoffs(df if keys is None else keys, stratum, id_col, seed, cuts), "sample-cutoffs").withColumnRenamed(
         "stratum", "_stratum"
     )
-    # One row per class, so the broadcast side is as small as the label domain.
+    small = _broadcast_if(cutoffs.count() <= BROADCAST_ROWS)
     return df.join(
-        F.broadcast(cutoffs), F.col(stratum).eqNullSafe(F.col("_stratum"))
+        small(cutoffs), F.col(stratum).eqNullSafe(F.col("_stratum"))
     ).withColumn("_key", shuffle_key(F.col(id_col), seed))
 
 
-def balanced_sample(df, class_col, n, id_col="submission_id", seed=0):
+def balanced_sample(df, class_col, n, id_col="submission_id", seed=0, keys=None):
     """n random rows of each class, all of a class with fewer; NULL is no class.
 
-    `n` is a number or a column, such as a scalar subquery with a class count.
+    `n` is a number or a column, such as a scalar subquery with a class count. `keys`, if
+    given, holds class and id of the same rows, for the ranks.
     """
     wanted = n if not isinstance(n, int) else F.lit(n)
     rows = df.filter(F.col(class_col).isNotNull())
-    cut = _with_cutoffs(rows, class_col, id_col, seed, {"_upto": lambda total: wanted})
+    keys = None if keys is None else keys.filter(F.col(class_col).isNotNull())
+    cut = _with_cutoffs(rows, class_col, id_col, seed, {"_upto": lambda total: wanted}, keys)
     return cut.filter(F.col("_key") <= F.col("_upto")).select(*df.columns)
 
 

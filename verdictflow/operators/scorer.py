@@ -1,17 +1,18 @@
-"""Scoring with a model of the user's own, in Arrow batches."""
+"""Scorer steps: functions from posts to posts with `logits`, native or in Arrow batches."""
 
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdictflow.functions.text import word_id, words
+from verdictflow.functions.text import VOCABULARY, word_id, words
+from verdictflow.operators import model as linear
 
 
-def encode(posts, text_col="combined_text", max_words=None):
+def encode(posts, text_col="combined_text", max_words=None, vocabulary=VOCABULARY):
     """`posts` with `input_ids`, the word ids of the text in order."""
-    return posts.withColumn(
-        "input_ids", F.transform(words(F.col(text_col), max_words), word_id)
-    )
+    ids = F.transform(words(F.col(text_col), max_words), lambda word: word_id(word, vocabulary))
+    return posts.withColumn("input_ids", ids)
 
 
 def score_with(posts, load, input_col="input_ids"):
@@ -47,3 +48,36 @@ def linear_scorer(bias, weights, unit):
         return (totals + bias) / unit
 
     return model
+
+
+def native_step(model: DataFrame, vocabulary=VOCABULARY):
+    """A step that applies a one-row model as a projection."""
+    return lambda posts: linear.score_dense(posts, model, vocabulary)
+
+
+def python_step(model: DataFrame, vocabulary=VOCABULARY):
+    """A step that applies a one-row model in Arrow batches.
+
+    The model has `vocabulary` weights at any data size; it is collected once and broadcast.
+    """
+    row = model.select("bias_micro", "weights").first()
+    bias = row["bias_micro"]
+    shared = model.sparkSession.sparkContext.broadcast(np.array(row["weights"], dtype=np.int64))
+
+    def load():
+        return linear_scorer(bias, shared.value, linear.UNIT)
+
+    return lambda posts: score_with(encode(posts, vocabulary=vocabulary), load)
+
+
+def as_step(scorer):
+    """The step of what a job was given: a step, rows of weights, or a store of models.
+
+    A store is asked for its newest model each time, so a job or a micro-batch uses the one
+    that is current when it starts.
+    """
+    if isinstance(scorer, DataFrame):
+        return lambda posts: linear.score(posts, scorer)
+    if hasattr(scorer, "load"):
+        return scorer.load().step()
+    return scorer

@@ -1,8 +1,11 @@
 """Counts, distributions and binomial accuracy statistics."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from verdictflow.functions.labels import is_class, is_decided
+from verdictflow.functions.scores import without_nan
+from verdictflow.session import stage
 
 
 def verdict_counts(posts):
@@ -158,3 +161,43 @@ def mean_accuracy(df, pred="pred", label="label", by=()):
 
 def grade_counts(graded):
     return graded.groupBy("grade").agg(F.count(F.lit(1)).alias("n"))
+
+
+def coverage_curve(scored, threshold=0.5, partitions=None):
+    """Accuracy among the rows at least as confident as each level: the risk-coverage curve.
+
+    One row per distinct confidence, the distance of the score from the threshold: `confidence,
+    n_covered, coverage, success, accuracy`. Rows without a score or an outcome of the two classes
+    are left out. Rows of one level are added up in each task first. Levels are then dealt by
+    range; the totals of each range, a row per partition, give the sums before it, so no window
+    runs over all rows.
+    """
+    rows = scored.filter(without_nan(F.col("logits")).isNotNull() & F.col("outcome").isin(0, 1))
+    levels = rows.groupBy(F.abs(F.col("logits") - threshold).alias("confidence")).agg(
+        F.count("*").alias("n"), F.sum(F.col("accurate").cast("long")).alias("right")
+    )
+    order = F.col("confidence").desc()
+    dealt = levels.repartitionByRange(partitions, order) if partitions else levels.repartitionByRange(order)
+    dealt = stage(dealt.withColumn("part", F.spark_partition_id()), "levels")
+    # One row per partition.
+    totals = dealt.groupBy("part").agg(F.sum("n").alias("part_n"), F.sum("right").alias("part_right"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        F.col("part").alias("of_part"),
+        F.coalesce(F.sum("part_n").over(before), F.lit(0)).alias("n_before"),
+        F.coalesce(F.sum("part_right").over(before), F.lit(0)).alias("right_before"),
+    )
+    total = dealt.agg(F.sum("n")).scalar()
+    upto = Window.partitionBy("part").orderBy(order)
+    summed = dealt.join(F.broadcast(offsets), F.col("part") == F.col("of_part")).select(
+        "confidence",
+        (F.col("n_before") + F.sum("n").over(upto)).alias("n_covered"),
+        (F.col("right_before") + F.sum("right").over(upto)).alias("success"),
+    )
+    return summed.select(
+        "confidence",
+        "n_covered",
+        (F.col("n_covered") / total).alias("coverage"),
+        "success",
+        (F.col("success") / F.col("n_covered")).alias("accuracy"),
+    )

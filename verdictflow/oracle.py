@@ -3,6 +3,8 @@
 Every statement carries the views it needs as common table expressions.
 """
 
+import re
+
 RUN_DATE = "2024-03-01"
 SEED = 7
 
@@ -124,43 +126,150 @@ _RATES = """success / nullif(n, 0) as rate,
 _HISTORY = "date, outcome_type, success, n, rate, se, min_post_date, max_post_date"
 
 
-def _weights(source):
+VOCABULARY = 1 << 20
+
+
+def _nibble(value):
+    """CRC-32 of four bits."""
+    for _ in range(4):
+        value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+    return value
+
+
+def _word_id(vocabulary):
+    """SQL for the id of a word: the CRC-32 of its bytes, half a byte at a time, modulo the size."""
+    digit = "instr('0123456789ABCDEF', {}) - 1"
+    halves = (
+        "flatten(list_transform(regexp_extract_all(hex(word), '..'), "
+        f"lambda b: [({digit.format('b[2]')})::bigint, ({digit.format('b[1]')})::bigint]))"
+    )
+    crc = (
+        f"list_reduce({halves}, lambda crc, x: "
+        f"xor(crc >> 4, {[_nibble(i) for i in range(16)]}[xor(crc, x) % 16 + 1]), 4294967295::bigint)"
+    )
+    return f"cast(xor({crc}, 4294967295) % {vocabulary} as int)"
+
+
+def _weights(source, vocabulary=VOCABULARY):
     """Views with the weights trained on a view of (label, combined_text)."""
     return {
         "counts": f"""
-select cast({_hash('word', 4)} as int) as feature,
-       count(*) filter (where label = 1) as n_pos,
-       count(*) filter (where label = 0) as n_neg
-from (select label, unnest({_WORDS}) as word from {source}) group by 1""",
+select {_word_id(vocabulary)} as feature, cast(sum(pos) as bigint) as n_pos, cast(sum(neg) as bigint) as n_neg
+from (select word, count(*) filter (where label = 1) as pos, count(*) filter (where label = 0) as neg
+      from (select label, unnest({_WORDS}) as word from {source}) group by word) group by 1""",
         "weights": f"""
 select feature, n_pos, n_neg,
-       cast(round((ln((n_pos + 1) / (sum(n_pos) over () + 65536))
-                 - ln((n_neg + 1) / (sum(n_neg) over () + 65536))) * 1000000) as bigint)
+       cast(round((ln((n_pos + 1) / (sum(n_pos) over () + {vocabulary}))
+                 - ln((n_neg + 1) / (sum(n_neg) over () + {vocabulary}))) * 1000000) as bigint)
          as weight_micro,
        cast(round((select ln((count(*) filter (where label = 1) + 1)
                            / (count(*) filter (where label = 0) + 1)) from {source}) * 1000000)
             as bigint) as bias_micro,
-       cast(round(ln((sum(n_neg) over () + 65536) / (sum(n_pos) over () + 65536)) * 1000000)
+       cast(round(ln((sum(n_neg) over () + {vocabulary}) / (sum(n_pos) over () + {vocabulary})) * 1000000)
             as bigint) as unseen_micro
 from counts""",
         "model": "select max(bias_micro) as bias, max(unseen_micro) as unseen from weights",
     }
 
 
+def _post_ids(source, vocabulary=VOCABULARY):
+    """SQL for (submission_id, feature, n) of a view of (submission_id, combined_text)."""
+    return f"""
+select submission_id, feature, cast(sum(n) as bigint) as n
+from (select submission_id, word, count(*) as n
+      from (select submission_id, unnest({_WORDS}) as word from {source}) group by all)
+join (select word, {_word_id(vocabulary)} as feature
+      from (select distinct unnest({_WORDS}) as word from {source})) using (word)
+group by all"""
+
+
 def _logits(source):
     """SQL for (submission_id, logits) of a view of (submission_id, combined_text)."""
     return f"""
-select p.submission_id, cast(any_value(m.bias) + coalesce(sum(t.micro), 0) as bigint) / 1000000.0::double
+select p.submission_id, cast(any_value(m.bias) + coalesce(any_value(t.micro), 0) as bigint) / 1000000.0::double
          as logits
 from {source} p cross join model m
-left join (select submission_id, coalesce(weight_micro, m.unseen) as micro
-           from (select submission_id, cast({_hash('word', 4)} as int) as feature
-                 from (select submission_id, unnest({_WORDS}) as word from {source}))
-           cross join model m left join weights using (feature)) t
+left join (select submission_id, sum(n * coalesce(weight_micro, m.unseen)) as micro
+           from ({_post_ids(source)}) cross join model m left join weights using (feature) group by 1) t
   on t.submission_id = p.submission_id
 group by p.submission_id"""
 
 
+LOGISTIC_SETTINGS = {
+    "none": (0.0, 0.0),
+    "ridge_low": (0.01, 0.0),
+    "ridge_mid": (0.1, 0.0),
+    "ridge_high": (0.5, 0.0),
+    "mixed_low": (0.01, 0.5),
+    "mixed_mid": (0.1, 0.5),
+    "mixed_high": (0.5, 0.5),
+    "lasso_low": (0.01, 1.0),
+    "lasso_mid": (0.1, 1.0),
+}
+
+
+def _logistic(settings, epochs=5, rate=2.0):
+    """Views from `split` to the weights of each setting after some epochs."""
+    rows = ", ".join(
+        f"('{name}', {reg}::double, {mix}::double)" for name, (reg, mix) in settings.items()
+    )
+    views = {
+        "settings": f"select * from (values {rows}) t(setting, reg, mixing)",
+        "id_counts": _post_ids("split", 65536),
+        "features": """
+select submission_id, feature,
+       cast(round(n * 1000 / sqrt(cast(sum(n * n) over (partition by submission_id) as double))) as bigint) as v
+from id_counts union all select submission_id, 65536, 1000 from split""",
+        "train_features": """
+select f.*, label from features f join split using (submission_id) where split = 'train'""",
+        "w0": "select setting, cast(null as int) as feature, 0::bigint as w from settings",
+    }
+    for k in range(1, epochs + 1):
+        views[f"r{k}"] = f"""
+select submission_id, setting,
+       cast(round((any_value(label) - 1 / (1 + exp(-(coalesce(sum(v * w), 0)::bigint / 1000000000.0::double)))) * 1000000)
+            as bigint) as r
+from train_features cross join settings left join w{k - 1} using (setting, feature) group by all"""
+        views[f"w{k}"] = f"""
+select setting, feature, cast(round(sign(after) * greatest(abs(after) - cut, 0.0::double)) as bigint) as w
+from (select setting, feature,
+             coalesce(w, 0)::double * case when feature = 65536 then 1.0::double
+                                           else 1 - {rate}::double * reg * (1 - mixing) end
+               + g / (total * 1000.0::double) * {rate}::double as after,
+             case when feature = 65536 then 0.0::double else {rate}::double * reg * mixing * 1000000 end as cut
+      from (select setting, feature, sum(v * r)::bigint as g from train_features join r{k} using (submission_id)
+            group by all)
+      join settings using (setting) left join w{k - 1} using (setting, feature),
+           (select greatest(count(*), 1)::double as total from split where split = 'train'))"""
+    views["held_margins"] = f"""
+select submission_id, setting, label, split, cast(sum(v * coalesce(w, 0)) as bigint) / 1000000000.0::double as logits
+from (select f.*, label, split from features f join split using (submission_id) where split <> 'train')
+cross join settings left join w{epochs} using (setting, feature) group by all"""
+    return views
+
+
+N_MERGES = 16
+
+
+def _merges(n):
+    """Views from `texts` to the words with their symbols after each of n merges."""
+    views = {
+        "merged0": f"""
+select word, count(*) as n, regexp_replace(word, '(.)', '<\\1>', 'gs') as symbols
+from (select unnest({_WORDS}) as word from texts) group by word""",
+    }
+    for k in range(1, n + 1):
+        views[f"best{k}"] = f"""
+select s[i] as "left", s[i + 1] as "right", cast(sum(n) as bigint) as n
+from (select n, string_split(symbols[2:-2], '><') as s from merged{k - 1}), unnest(range(1, len(s))) t(i)
+group by 1, 2 having sum(n) >= 2 order by sum(n) desc, 1, 2 limit 1"""
+        views[f"merged{k}"] = f"""
+select word, w.n, coalesce(replace(symbols, '<' || "left" || '><' || "right" || '>',
+                                   '<' || "left" || "right" || '>'), symbols) as symbols
+from merged{k - 1} w left join best{k} on true"""
+    return views
+
+
 VIEWS = {
     "posts": """
 select cast(d.doc_id as varchar) as submission_id,
@@ -247,7 +356,11 @@ def _sql(final, *views, own=None):
     """A statement with the named views in front, `own` ones first where names meet."""
     chosen = {name: VIEWS[name] for name in views}
     chosen.update(own or {})
-    head = ",\n".join(f"{name} as ({text})" for name, text in chosen.items())
+    chained = r"(w|r|best|merged)\d+|features|train_features|weights|counts"
+    head = ",\n".join(
+        f"{name} as {'materialized ' if re.fullmatch(chained, name) else ''}({text})"
+        for name, text in chosen.items()
+    )
     return f"with {head}\n{final}" if head else final
 
 
@@ -536,6 +649,146 @@ ORACLES = {
     ),
     "score_posts": _sql("select * from logits", *_MODEL),
     "score_with_udf": _sql("select * from logits", *_MODEL),
+    "score_by_join": _sql("select * from logits", *_MODEL),
+    "score_stored_model": _sql("select * from logits", *_MODEL),
+    "subword_merges": _sql(
+        " union all ".join(
+            f'select {k} as step, "left", "right", n from best{k}' for k in range(1, N_MERGES + 1)
+        ),
+        "posts",
+        "texts",
+        own=_merges(N_MERGES),
+    ),
+    "subword_counts": _sql(
+        "select submission_id, coalesce(n, 0) as n_tokens, least(coalesce(n, 0), 4096) as n_used from texts "
+        "left join (select submission_id, cast(sum(size) as bigint) as n "
+        f"from (select submission_id, unnest({_WORDS}) as word from texts) "
+        f"join (select word, len(regexp_extract_all(symbols, '<')) as size from merged{N_MERGES}) using (word) "
+        "group by 1) using (submission_id)",
+        "posts",
+        "texts",
+        own=_merges(N_MERGES),
+    ),
+    "coverage_curve": _sql(
+        "select confidence, n_covered, n_covered / total as coverage, success, success / n_covered as accuracy "
+        "from (select confidence, cast(sum(n) over by_level as bigint) as n_covered, "
+        "cast(sum(hits) over by_level as bigint) as success, sum(n) over () as total "
+        "from (select abs(logits - 0.5::double) as confidence, count(*) as n, sum(accurate) as hits "
+        "from graded where outcome in (0, 1) group by 1) "
+        "window by_level as (order by confidence desc))",
+        "scored",
+        "graded",
+    ),
+    "stream_score_stored": _sql(
+        "select submission_id, logits, case when logits > 0.5 then 1 else 0 end as pred from logits",
+        *_MODEL,
+    ),
+    "predict_cycle_python": _sql(
+        f"select {_WAITING} from state union select title, post_date, url, date_created, logits, "
+        f"pred, {_message_id(RUN_DATE)} as message_id from chosen",
+        *_MODEL,
+        "predictions",
+        own=_PREDICT_VIEWS,
+    ),
+    "outbox_messages": _sql(
+        f"select message_id, 'ruling' as kind, min(message) as message, min(date_created) as day from ("
+        f"select date_created, {_message_id(RUN_DATE)} as message_id, {_ruling()} as message from twenty) "
+        "group by message_id",
+        *_MODEL,
+        "predictions",
+        own={
+            "twenty": f"""
+select undecided.* from (select * from predictions where link_flair_text is null) undecided, (
+  select quantile_cont(logits, 0.1) filter (where pred = 0) as t0,
+         quantile_cont(logits, 0.9) filter (where pred = 1) as t1
+  from predictions where link_flair_text is null) limits
+where logits < t0 or logits > t1
+order by md5(submission_id || ':{SEED}'), submission_id limit 20""",
+        },
+    ),
+    "assess_state": _sql(f"select {_WAITING} from merged where outcome is null", *_MERGED),
+    "outbox_updates": _sql(
+        "select message_id, 'update' as kind, min(message) as message, min(date_created) as day "
+        f"from (select message_id, date_created, {_update()} as message from merged "
+        "where outcome is not null) group by message_id",
+        *_MERGED,
+    ),
+    "state_or_empty": _sql("select * from pending", *_PENDING),
+    "history_snapshot": _sql(
+        f"select {_HISTORY}, '{RUN_DATE}' as run_date from updated",
+        *_MODEL,
+        "decided",
+        "scored",
+        "graded",
+        "days",
+        "history",
+        own=_REPORT_VIEWS,
+    ),
+    "history_keep_day": _sql(
+        "select * from history", "scored", "graded", "days", "history"
+    ),
+    "report_confusion": _sql(
+        "select outcome, count(*) filter (where pred = 0) as predicted_0, "
+        "count(*) filter (where pred = 1) as predicted_1 from (select b.outcome, "
+        "case when logits > 0.5 then 1 else 0 end as pred from balanced b join logits using (submission_id)) "
+        "group by 1",
+        *_MODEL,
+        "decided",
+        own={name: _REPORT_VIEWS[name] for name in ("batch", "balanced")},
+    ),
+    "report_distribution": _sql(
+        "select outcome, n, cast(round(n * 100.0::double / sum(n) over (), 1) as varchar) || '%' as share "
+        "from (select outcome, count(*) as n from batch group by 1)",
+        "posts",
+        "decided",
+        own={"batch": _REPORT_VIEWS["batch"]},
+    ),
+    "report_dates": _sql(
+        "select min(post_date) as min_post_date, max(post_date) as max_post_date from batch",
+        "posts",
+        "decided",
+        own={"batch": _REPORT_VIEWS["batch"]},
+    ),
+    "train_ml_pipeline": _sql(
+        "select submission_id, label, split, round(logits, 6) as logits, "
+        "case when logits > 0.5 then 1 else 0 end as pred from held_out join bayes using (submission_id)",
+        *_SPLIT,
+        own={
+            **_SPLIT_VIEWS,
+            "totals": "select sum(n_pos) as pos, sum(n_neg) as neg from counts",
+            "priors": """
+select count(*) filter (where label = 1) as pos, count(*) filter (where label = 0) as neg from train_part""",
+            **_weights("train_part", 65536),
+            "ids": _post_ids("held_out", 65536),
+            "bayes": """
+select h.submission_id, any_value(ln(p.pos + 1) - ln(p.neg + 1))
+       + coalesce(sum(case when i.feature is not null then n * (
+           ln(coalesce(n_pos, 0) + 1) - ln(t.pos + 65536) - ln(coalesce(n_neg, 0) + 1) + ln(t.neg + 65536)) end), 0)
+         as logits
+from held_out h cross join totals t cross join priors p left join ids i using (submission_id)
+left join counts using (feature) group by h.submission_id""",
+        },
+    ),
+    "train_logistic": _sql(
+        "select feature, w as weight_micro from w5", *_SPLIT, own=_logistic({"none": (0.0, 0.0)})
+    ),
+    "logistic_scores": _sql(
+        "select submission_id, label, split, logits, case when logits > 0.5 then 1 else 0 end as pred "
+        "from held_margins",
+        *_SPLIT,
+        own=_logistic({"none": (0.0, 0.0)}),
+    ),
+    "tune_ml_pipeline": _sql(
+        "select setting, reg, mixing, n, \"right\", accuracy, "
+        "row_number() over (order by accuracy desc nulls last, setting) = 1 as best "
+        "from (select setting, count(submission_id) as n, "
+        "count(*) filter (where (logits > 0) = (label = 1)) as \"right\", "
+        "count(*) filter (where (logits > 0) = (label = 1)) / nullif(count(submission_id), 0) as accuracy "
+        "from settings left join (select * from held_margins where split = 'val') using (setting) group by 1) "
+        "join settings using (setting)",
+        *_SPLIT,
+        own=_logistic(LOGISTIC_SETTINGS),
+    ),
     "stream_dedup_ingest": _sql(f"select {_LOG_VIEW} from decided", "posts", "decided"),
     "stream_daily_accuracy": _sql(
         "select * from history", "scored", "graded", "days", "history"

@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from verdictflow.functions.messages import message_id, ruling_message
 from verdictflow.functions.scores import over_threshold
 from verdictflow.functions.text import combine_text, utc_date
-from verdictflow.operators import filters, joins, model, sampling, sets
+from verdictflow.operators import filters, joins, sampling, sets
+from verdictflow.operators.scorer import as_step
 from verdictflow.session import even_out, stage
 
 
-def score_posts(posts, weights, run_date, sep=" ", null_text="", threshold=0.5):
-    """Posts as prediction rows, with submission_id in front."""
+def score_posts(posts, scorer, run_date, sep=" ", null_text="", threshold=0.5):
+    """Posts as prediction rows, with submission_id in front.
+
+    `scorer` is a step, rows of weights or a store of models, here and in the jobs below.
+    """
     prepared = even_out(
         posts.select(
             "submission_id",
@@ -24,7 +28,7 @@ def score_posts(posts, weights, run_date, sep=" ", null_text="", threshold=0.5):
             combine_text(F.col("title"), F.col("selftext"), sep, null_text).alias("combined_text"),
         )
     )
-    scored = model.score(prepared, weights).drop("combined_text")
+    scored = as_step(scorer)(prepared).drop("combined_text")
     return scored.withColumn("pred", over_threshold(F.col("logits"), threshold))
 
 
@@ -43,7 +47,7 @@ class PredictResult:
     pending: DataFrame  # the new state
 
 
-def predict(posts, pending, weights, run_date, n_posts=None, n_publish=2, share=0.1, seed=0):
+def predict(posts, pending, scorer, run_date, n_posts=None, n_publish=2, share=0.1, seed=0):
     """One prediction run over the post feed.
 
     `n_posts` limits it to the newest posts, as a poll would. Filter and anti join
@@ -52,7 +56,7 @@ def predict(posts, pending, weights, run_date, n_posts=None, n_publish=2, share=
     """
     feed = posts if n_posts is None else filters.newest(posts, n_posts)
     unseen = joins.unseen_by_title(filters.undecided(feed), pending)
-    scored = stage(score_posts(unseen, weights, run_date), "scored")
+    scored = stage(score_posts(unseen, scorer, run_date), "scored")
     confident = sampling.confident_extremes(scored, share)
     chosen = sampling.sample_n(confident, n_publish, seed=seed)
     published = with_messages(chosen, run_date, seed)
@@ -60,13 +64,13 @@ def predict(posts, pending, weights, run_date, n_posts=None, n_publish=2, share=
     return PredictResult(scored, published, state)
 
 
-def run_predict(posts, state, outbox, weights, run_date, dry_run=False, seed=0, **options):
+def run_predict(posts, state, outbox, scorer, run_date, dry_run=False, seed=0, **options):
     """`predict`, then the writes: the new state, then the messages rendered from it.
 
     A run that stopped between the two finds its predictions in the state, so the
     next run of the day still sends their messages, each once.
     """
-    result = predict(posts, state.read(), weights, run_date, seed=seed, **options)
+    result = predict(posts, state.read(), scorer, run_date, seed=seed, **options)
     if dry_run:
         return result
     result.published = stage(result.published, "published")

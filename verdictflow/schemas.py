@@ -59,6 +59,15 @@ OUTBOX = _schema(
     ("message_id", T.LongType()),
     ("kind", T.StringType()),
     ("message", T.StringType()),
+    ("day", T.DateType()),
+)
+
+MODEL = _schema(
+    ("vocabulary", T.IntegerType()),
+    ("bias_micro", T.LongType()),
+    ("unseen_micro", T.LongType()),
+    ("weights", T.ArrayType(T.LongType())),
+    ("settings", T.MapType(T.StringType(), T.StringType())),
 )
 
 TRAINING_CSV = _schema(

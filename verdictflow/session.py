@@ -41,6 +41,12 @@ def run_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/verdictflow-{app}/{label}-{uuid.uuid4().hex}"
 
 
+def remove_staged(spark: SparkSession):
+    """Remove what this application staged; for the end of a job, when no frame reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/verdictflow-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once as Parquet and read it back.
 

@@ -1,4 +1,10 @@
-"""The few file-system questions Spark's reader and writer do not answer."""
+"""The few file-system questions Spark's reader and writer do not answer.
+
+Claims and renames ask for a file system on which a file is created by one writer only and a
+rename is atomic, such as HDFS; object stores without these are not supported.
+"""
+
+from py4j.protocol import Py4JJavaError
 
 
 def _handle(spark, path):
@@ -22,7 +28,17 @@ def child_names(spark, path) -> list[str]:
 def create(spark, path) -> bool:
     """Create an empty file; False when it exists, also when another job just made it."""
     fs, hadoop_path = _handle(spark, path)
-    return fs.createNewFile(hadoop_path)
+    try:
+        return fs.createNewFile(hadoop_path)
+    except Py4JJavaError as error:  # between its look and its try
+        if error.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+            return False
+        raise
+
+
+def make_folder(spark, path):
+    fs, hadoop_path = _handle(spark, path)
+    fs.mkdirs(hadoop_path)
 
 
 def modified(spark, path) -> float:

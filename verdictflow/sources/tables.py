@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdictflow.schemas import DAILY_LOG, HISTORY, OUTBOX, PENDING, RESOLVED
-from verdictflow.sources.files import child_names, create, exists, modified, move, remove
+from verdictflow.sources.files import child_names, create, exists, make_folder, modified, move, remove
 from verdictflow.sources.scans import empty, read_if_exists
 
 
@@ -141,6 +141,20 @@ def _stream_and_batch(mark: str) -> tuple[str, int]:
     return stream, int(batch)
 
 
+def rows_of_days(table: DataFrame, batch: DataFrame, column: str) -> DataFrame:
+    """Rows of a table partitioned by `column`, a date, whose date occurs in the batch.
+
+    Spark prunes partitions by equality only, so rows without a date, in the default
+    partition, are found apart. The broadcast is one row per calendar day.
+    """
+    days = batch.select(column).filter(F.col(column).isNotNull()).distinct()
+    dated = table.join(F.broadcast(days), column, "left_semi")
+    undated = batch.filter(F.col(column).isNull()).select(F.lit(0).alias("_undated")).limit(1)
+    others = table.filter(F.col(column).isNull()).withColumn("_key", F.lit(0))
+    others = others.join(F.broadcast(undated), F.col("_key") == F.col("_undated"), "left_semi").drop("_key")
+    return dated.select(*table.columns).unionByName(others)
+
+
 class DailyLog:
     """Scored posts partitioned by post date."""
 
@@ -151,15 +165,12 @@ class DailyLog:
         return read_if_exists(self.spark, self.path, self.schema)
 
     def read_dates_of(self, batch: DataFrame) -> DataFrame:
-        """Log rows of the dates in the batch, whatever their number.
+        """Log rows of the dates in the batch, whatever their number; NULL is a date too.
 
         Partitions are chosen when the query runs, from the batch's dates; nothing is
-        evaluated before. The broadcast is one row per calendar day.
+        evaluated before.
         """
-        days = batch.select(self.column).filter(F.col(self.column).isNotNull()).distinct()
-        return self.read().join(F.broadcast(days), self.column, "left_semi").select(
-            *self.schema.fieldNames()
-        )
+        return rows_of_days(self.read(), batch, self.column).select(*self.schema.fieldNames())
 
     def append(self, df: DataFrame, dry_run=False) -> DataFrame:
         """Add rows to their dates.
@@ -196,23 +207,59 @@ class Archive:
 
 
 class Outbox:
-    """Messages to be sent, one row per prediction and kind, each added once."""
+    """Messages to be sent, one row per prediction and kind, each added once.
+
+    Messages lie by kind, write and the day of the prediction. A message has one day, so an
+    append compares with the known messages of its own days only. Writers of a kind take
+    turns: a claim is a file that only one can create, and one older than CLAIM_SECONDS was
+    left by a writer that died. What a writer adds shows up as a whole, by a rename.
+    """
+
+    CLAIM_SECONDS = 600
 
     def __init__(self, spark, path):
         self.spark, self.path = spark, path
 
     def read(self) -> DataFrame:
-        return read_if_exists(self.spark, self.path, OUTBOX)
+        return read_if_exists(self.spark, self.path, OUTBOX).select(*OUTBOX.fieldNames())
 
-    def append(self, messages: DataFrame, kind: str, dry_run=False) -> DataFrame:
+    def append(self, messages: DataFrame, kind: str, dry_run=False, day_col="date_created") -> DataFrame:
+        """Add the messages that are not there yet; returns them. Without `day_col` the day is NULL."""
+        day = F.col(day_col) if day_col in messages.columns else F.lit(None).cast("date")
         # A prediction that stands in the state twice still makes one message.
-        rows = messages.groupBy("message_id").agg(F.min("message").alias("message"))
+        rows = messages.groupBy("message_id").agg(F.min("message").alias("message"), F.min(day).alias("day"))
         rows = rows.withColumn("kind", F.lit(kind)).select(*OUTBOX.fieldNames())
-        known = self.read().filter(F.col("kind") == kind).select("message_id")
-        new = rows.join(known, "message_id", "left_anti").select(*OUTBOX.fieldNames())
-        if not dry_run:
-            new.write.mode("append").parquet(self.path)
-        return new
+        if dry_run:
+            return self._unknown(rows, kind)
+        claim = f"{self.path}/_claims/{kind}"
+        self._wait_for(claim)
+        try:
+            staged = f"{self.path}/_staged/{uuid.uuid4().hex}"
+            self._unknown(rows, kind).drop("kind").write.partitionBy("day").parquet(staged)
+            added = self.spark.read.schema(OUTBOX).parquet(staged)
+            if added.isEmpty():
+                remove(self.spark, staged)
+                return empty(self.spark, OUTBOX)
+            target = f"{self.path}/kind={kind}/write={uuid.uuid4().hex}"
+            make_folder(self.spark, f"{self.path}/kind={kind}")
+            if not move(self.spark, staged, target):
+                raise RuntimeError(f"{self.path}: messages could not be put in place")
+        finally:
+            remove(self.spark, claim)
+        added = self.spark.read.schema(OUTBOX).parquet(target)
+        return added.withColumn("kind", F.lit(kind)).select(*OUTBOX.fieldNames())
+
+    def _unknown(self, rows, kind):
+        of_kind = self.read().filter(F.col("kind") == kind)
+        known = rows_of_days(of_kind, rows, "day").select("message_id")
+        return rows.join(known, "message_id", "left_anti").select(*OUTBOX.fieldNames())
+
+    def _wait_for(self, claim):
+        while not create(self.spark, claim):
+            time.sleep(0.2)
+            held = exists(self.spark, claim)
+            if held and time.time() - modified(self.spark, claim) > self.CLAIM_SECONDS:
+                remove(self.spark, claim)
 
 
 def pending_table(spark, root):

@@ -7,19 +7,21 @@ from verdictflow.plans.monitor import decided_batch, log_rows
 from verdictflow.streaming.common import start
 
 
-def ingest(posts, log, checkpoint, to_batch=None, weights=None, **trigger):
+def ingest(posts, log, checkpoint, to_batch=None, scorer=None, **trigger):
     """Append decided posts, each id once, to the partition of their date.
 
     Ids are checked against the logged rows of the batch's dates, so a post may come
     at any time after its date, and a repeated batch adds nothing. `to_batch` turns a
-    micro-batch into posts. Without `weights` the scores stay NULL; give them as a
-    stored table, since every batch reads them.
+    micro-batch into posts. Without `scorer` the scores stay NULL; it is a step, rows of
+    weights (a stored table, since every batch reads them), or a store of models.
     """
 
     def add(batch, _batch_id):
-        rows = decided_batch(to_batch(batch) if to_batch else batch)
+        # Its dates, its repeated ids and its rows are read: the batch is evaluated once.
+        rows = decided_batch(to_batch(batch) if to_batch else batch).persist()
         new = joins.new_by_id(rows, log.read_dates_of(rows))
-        log.append(log_rows(new, weights) if weights is not None else unscored(new, log.schema))
+        log.append(log_rows(new, scorer) if scorer is not None else unscored(new, log.schema))
+        rows.unpersist()
 
     return start(posts, add, checkpoint, trigger)
 
