@@ -72,15 +72,16 @@ def pieces(texts, limit: int = 4_000_000):
 def sample_per_class(rows, label: str, per_class: int, order, counted=None):
     """At most `per_class` rows of each label, the first in `order` (a seeded 64-bit hash).
 
-    Labels are counted first (over `counted`, or `rows`), so that about four times as many
-    rows as are wanted reach the task of a label, however many there are.
+    Labels are counted first (over `counted`, or `rows`), and rows beyond about four times as
+    many as are wanted are left out where they are read, so that few reach the task of a label.
     """
     counts = (rows if counted is None else counted).filter(F.col(label).isNotNull())
     share = counts.groupBy(F.col(label).alias("of_label")).agg(
         F.least(F.lit(1.0), 4 * per_class / F.count("*")).alias("share")
     )
     fine = 1 << 30
-    near = rows.join(share, F.col(label) == F.col("of_label")).filter(
+    # One row per label; what is trained has an output for each of them.
+    near = rows.join(F.broadcast(share), F.col(label) == F.col("of_label")).filter(
         F.pmod(order, F.lit(fine)) < F.col("share") * fine
     )
     near = near.drop("of_label", "share")

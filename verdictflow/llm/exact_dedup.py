@@ -156,6 +156,11 @@ def repeated_prints(prints: DataFrame, n_rows: int) -> DataFrame:
     return filters.groupBy("slice").applyInPandas(_merge(slice_bits), "print long, n long")
 
 
+def fingerprint(text):
+    """64 bits that equal texts share."""
+    return F.xxhash64(text)
+
+
 def _marked(print_, repeated: DataFrame, n_repeated: int):
     """False for fingerprints whose quotient no repeated fingerprint has."""
     marks = LEAST_MARKS
@@ -181,7 +186,7 @@ def find_copies(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
     columns are not looked at; an empty table has an empty result.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("print", F.xxhash64("text"))
+    rows = rows.withColumn("print", fingerprint(F.col("text")))
     narrow = stage(
         rows.select(
             F.monotonically_increasing_id().alias("row"),

@@ -19,9 +19,10 @@ from verdictflow.llm import common
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: Training sample: so many texts of a language, a slice of so many characters of each.
+#: Training sample: so many texts of a language, and about so many windows of each, drawn by seed
+#: from the whole text.
 PER_LANGUAGE = 1_000
-SLICE_CHARS = 1_000
+SAMPLE_WINDOWS = 4
 EPOCHS = 6
 SEED = 5
 UNKNOWN = "und"
@@ -145,24 +146,30 @@ def train(samples: list[tuple[str, str]], epochs=EPOCHS, seed=SEED) -> Network |
 
 
 def training_sample(docs: DataFrame, text="text", lang="lang", doc_id="doc_id", seed=SEED):
-    """(text, language) pairs for training: see PER_LANGUAGE and SLICE_CHARS.
+    """(text, language) pairs for training: see PER_LANGUAGE and SAMPLE_WINDOWS.
 
     Only rows with a text that has a letter, a language, and an id out of the held-out fold.
-    The slice of a text begins at a seeded place.
     """
     order = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
-    place = F.pmod(order, F.greatest(F.length(text) - SLICE_CHARS, F.lit(0)) + 1)
     rows = docs.filter(
         ~common.held_out(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")
-    ).select(
-        F.substr(F.col(text), place.cast("int") + 1, F.lit(SLICE_CHARS)).alias("text"),
-        F.col(lang).cast("string").alias("lang"),
-        order.alias("order"),
-    )
+    ).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), order.alias("order"))
     # Languages are counted without reading the texts.
     counted = docs.select(F.col(lang).cast("string").alias("lang"))
     picked = common.sample_per_class(rows, "lang", PER_LANGUAGE, F.col("order"), counted)
-    return [(r["text"], r["lang"]) for r in picked.select("text", "lang").collect()]
+    # At most PER_LANGUAGE texts of each language.
+    return [(r["text"], r["lang"]) for r in picked.select(_windows("text", "order").alias("text"), "lang").collect()]
+
+
+def _windows(text: str, order: str):
+    """The seeded windows of a text, in order; a short one as a whole."""
+    number = F.ceil(F.length(text) / WINDOW).cast("int")
+    drawn = F.filter(
+        F.sequence(F.lit(0), number - 1),
+        lambda k: F.pmod(F.xxhash64(F.col(order), k), number.cast("long")) < SAMPLE_WINDOWS,
+    )
+    pieces = F.transform(drawn, lambda k: F.substr(F.col(text), k * WINDOW + 1, F.lit(WINDOW)))
+    return F.when(number <= SAMPLE_WINDOWS, F.col(text)).otherwise(F.array_join(pieces, " "))
 
 
 def _identify(net: Network | None):

@@ -1,157 +1,301 @@
-"""Language-model scoring with stupid backoff, as joins and sums.
-
-The model is counts of words and of word pairs over all texts. A word after a known pair scores
-the pair's count by the count of its first word; otherwise it falls back to its own count
-by the number of words, times a penalty. Pairs seen only once are not known, so that a
-text does not vouch for itself. Logarithms are kept as whole millionths, so that sums do
-not depend on the order of rows.
-
-Words are hashed, and each text is exploded into pairs of hashes. Pairs that are frequent in
-a sample are counted first, in the tasks that read them, and reach the texts as a table of
-bounded size; the others are dealt by hash, where those of a kind meet, are counted, and
-score. What leaves a partition is a sum per text.
+"""Language-model scoring with stupid backoff, as count tables joined to the n-grams of texts.
+
+The model is the counts of all word sequences up to an order, over all texts. A word after a context
+scores the count of both by that of the context, if they are known together; otherwise the
+context is cut by a word, at a penalty, down to the word's count by the number of words. Sequences
+seen less often than `min_count` are not known, so that a text does not vouch for itself.
+Logarithms are kept as whole millionths, so that sums do not depend on the order of rows.
+
+Texts are tokenised once, into chunks of word numbers. The distinct sequences of a chunk, as sorted
+64-bit hashes with their counts in it, are dealt by the upper bits of the hash: each bucket is
+a part of the count tables, added up over the chunks. What occurs more than once comes back to the
+chunks that hold it, in the order they sent it, so a known sequence costs a bit and its count. The
+chunk joins the counts to its words and sums them per document.
+
+A sequence is sent once per chunk however often it occurs there, and a bucket gets at most one
+entry per sequence and chunk, so frequent ones weigh no more than others.
 """
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import count
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from verdictflow.llm import common
 from verdictflow.session import stage
 
-#: The penalty of falling back, and the fewest occurrences of a known pair.
+#: The longest sequence, the penalty of cutting a context, and the fewest occurrences of a known one.
+ORDER = 3
 BACKOFF = 0.4
 MIN_COUNT = 2
-#: At most so many frequent words and pairs are broadcast, pairs from one text in so many. They
-#: change the route of a word or pair, never its count.
-FREQUENT_WORDS = 500_000
-FREQUENT_PAIRS = 200_000
-SAMPLE_TEXTS = 64
+#: Words of a chunk (one text may be longer), and entries that a bucket should get.
+CHUNK_WORDS, BUCKET_ENTRIES = 1_500_000, 1_000_000
+#: Buckets are a power of two, this at least.
+LEAST_BUCKETS = 64
 MICRO = 1_000_000
 
 
-def micro_log(x: Column) -> Column:
-    return F.round(F.ln(x.cast("double")) * MICRO).cast("long")
+def micro_log(x) -> np.ndarray:
+    return np.round(np.log(np.asarray(x, dtype=np.float64)) * MICRO).astype(np.int64)
 
 
-def _hashes(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """`doc_id, key, hashes` of each row; `key` tells rows apart unless id and text are equal."""
-    words = common.words(F.col(text))
-    return docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.xxhash64(F.col(doc_id), F.col(text), F.length(text)).alias("key"),
-        F.transform(words, lambda w: F.xxhash64(w)).alias("hashes"),
-    )
+def _mix(h: np.ndarray) -> np.ndarray:
+    """Scatter 64-bit numbers."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
 
 
-def _steps(hashed: DataFrame) -> DataFrame:
-    """`key, before, word, pair` of each word; `before` and `pair` are NULL for a first word."""
-    before = F.concat(
-        F.array(F.lit(None).cast("long")), F.slice("hashes", 1, F.greatest(F.size("hashes") - 1, F.lit(0)))
-    )
-    zipped = F.arrays_zip(before.alias("before"), F.col("hashes").alias("word"))
-    rows = hashed.filter(F.size("hashes") > 0).select("key", F.explode(zipped).alias("step"))
-    return rows.select(
-        "key",
-        "step.before",
-        "step.word",
-        F.when(F.col("step.before").isNotNull(), F.xxhash64("step.before", "step.word")).alias("pair"),
-    )
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers below 2^32, byte by byte: the upper bytes, mostly 0, compress well."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def word_counts(hashed: DataFrame) -> DataFrame:
-    """`word, n` over all texts."""
-    return hashed.select(F.explode("hashes").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def most_frequent(counted: DataFrame, most: int) -> DataFrame:
-    """The rows of `counted` with `n` from a level on that at most `most` rows reach.
+def _packed(prints: np.ndarray) -> bytes:
+    """Sorted numbers as steps, each in as many bytes as the largest needs."""
+    steps = np.diff(prints, prepend=np.uint64(0))
+    width = max(1, -(-int(steps[1:].max()).bit_length() // 8)) if len(steps) > 1 else 1
+    rest = steps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + steps[:1].astype("<u8").tobytes() + rest.tobytes()
 
-    Levels are eighths of powers of two, so there are at most 512.
-    """
-    level = F.floor(F.log2("n") * 8)
-    levels = counted.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect()
-    least, rows = None, 0
-    for found in sorted(levels, reverse=True):
-        rows += found["rows"]
-        if rows > most:
-            break
-        least = found["level"]
-    return counted.filter(F.lit(False) if least is None else level >= least)
-
-
-def _with_log_counts(steps: DataFrame, counts: DataFrame) -> DataFrame:
-    """`steps` with `log_word` and `log_before` from `counts` (word, n).
-
-    Frequent words come from a broadcast of bounded size. Steps with another word are few
-    in most corpora and are joined by hash.
+
+def _unpacked(data: bytes) -> np.ndarray:
+    width = data[0]
+    rest = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    steps = np.zeros((len(rest) + 1, 8), dtype=np.uint8)
+    steps[0] = np.frombuffer(data, np.uint8, count=8, offset=1)
+    steps[1:, :width] = rest
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _counts(counts: np.ndarray) -> bytes:
+    """Counts in a byte each; 255 stands for one that follows behind."""
+    small = np.minimum(counts, 255).astype(np.uint8)
+    return small.tobytes() + counts[small == 255].astype("<i8").tobytes()
+
+
+def _from_counts(data: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(data, np.uint8, count=n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, "<i8", offset=n)
+    return counts
+
+
+def sequences(words: np.ndarray, sizes: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each length up to `order` the hash of the sequence that ends at each word; places in the texts.
+
+    `words` are word hashes of texts one after the other, `sizes` their numbers. A hash is only
+    of use where the place is not below its length less one.
     """
-    logs = lambda rows, key, log: rows.select(
-        F.col("word").alias(key), micro_log(F.col("n")).cast("int").alias(log)
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(words)) - np.repeat(starts, sizes)
+    hashes = [_mix(words)]
+    for k in range(2, order + 1):
+        before = np.append(np.uint64(0), hashes[-1])[:-1]
+        hashes.append(_mix(before * np.uint64(0x9E3779B97F4A7C15) + words + np.uint64(k)))
+    return hashes, place
+
+
+def _chunked(kind: pa.DataType):
+    """Rows of a partition as chunks: ids, sizes, word numbers and the hashes of the words."""
+    schema = pa.schema(
+        [("chunk", pa.int64()), ("n_words", pa.int64()), ("doc_ids", pa.list_(kind))]
+        + [(name, pa.binary()) for name in ("sizes", "words", "hashes")]
     )
-    often = most_frequent(counts, FREQUENT_WORDS)
-    for key, log in (("word", "log_word"), ("before", "log_before")):
-        steps = steps.join(F.broadcast(logs(often, key, log)), key, "left")
-    done = F.col("log_word").isNotNull() & (F.col("before").isNull() | F.col("log_before").isNotNull())
-    rest = steps.filter(~done).drop("log_word", "log_before")
-    for key, log in (("word", "log_word"), ("before", "log_before")):
-        rest = rest.join(logs(counts, key, log), key, "left")
-    return steps.filter(done).unionByName(rest)
-
-
-def frequent_pairs(hashed: DataFrame) -> DataFrame:
-    """`pair, n` of pairs that are frequent in a sample of texts, counted over all texts."""
-    sample = _steps(hashed.filter(F.pmod(F.xxhash64("key"), F.lit(SAMPLE_TEXTS)) == 0))
-    often = sample.filter(F.col("pair").isNotNull()).groupBy("pair").agg(F.count("*").alias("n"))
-    often = stage(often.filter(F.col("n") > 1), "sampled-pairs")
-    chosen = most_frequent(often, FREQUENT_PAIRS).select("pair")
-    # At most FREQUENT_PAIRS rows.
-    return _steps(hashed).join(F.broadcast(chosen), "pair").groupBy("pair").agg(F.count("*").alias("n"))
-
-
-def score_texts(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
+
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = (TaskContext.get().partitionId() << 32) - 1
+        number = defaultdict(count().__next__)
+        ids, sizes, words, total = [], [], [], 0
+
+        def row():
+            values = [
+                [chunk],
+                [total],
+                [pa.concat_arrays(ids).to_pylist()],
+                [np.array(sizes, dtype="<i8").tobytes()],
+                [_planes(np.concatenate(words))],
+                [np.fromiter(map(xxhash.xxh64_intdigest, number), "<u8", len(number)).tobytes()],
+            ]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(v, f.type) for v, f in zip(values, schema)], schema=schema
+            )
+
+        for batch in batches:
+            doc_ids = batch.column("doc_id")
+            for at, text in enumerate(batch.column("text")):
+                found = common.byte_words(text.as_py())
+                ids.append(doc_ids.slice(at, 1))
+                sizes.append(len(found))
+                words.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
+                total += len(found)
+                if total >= CHUNK_WORDS:
+                    chunk += 1
+                    yield row()
+                    number = defaultdict(count().__next__)
+                    ids, sizes, words, total = [], [], [], 0
+        if ids:
+            chunk += 1
+            yield row()
+
+    return chunked
+
+
+def _of_chunk(row, order):
+    """The hashes of a chunk's sequences, where they are of use, and the places of its words."""
+    sizes = np.frombuffer(row["sizes"], "<i8")
+    hashes = np.frombuffer(row["hashes"], "<u8")
+    words = hashes[_from_planes(row["words"])] if len(hashes) else np.zeros(0, dtype=np.uint64)
+    found, place = sequences(words, sizes, order)
+    return [(h[place >= k], place >= k) for k, h in enumerate(found)], place, sizes
+
+
+_MESSAGE = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("prints", pa.binary()), ("counts", pa.binary())])
+
+
+def _messages(order: int, bits: int):
+    """The distinct sequences of each chunk with their counts in it, a row per bucket."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (row,) = batch.slice(k, 1).to_pylist()
+                found, _, _ = _of_chunk(row, order)
+                prints, counts = np.unique(np.concatenate([h for h, _ in found]), return_counts=True)
+                edges = np.searchsorted(prints, _edges(bits))
+                edges = np.append(edges, len(prints))
+                rows = [
+                    (b, row["chunk"], _packed(prints[x:y]), _counts(counts[x:y]))
+                    for b, (x, y) in enumerate(zip(edges[:-1], edges[1:]))
+                    if y > x
+                ]
+                columns = zip(*rows) if rows else [[]] * 4
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(c), f.type) for c, f in zip(columns, _MESSAGE)], schema=_MESSAGE
+                )
+
+    return deal
+
+
+def _edges(bits: int) -> np.ndarray:
+    return np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+
+
+_REPLY = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("known", pa.binary()), ("counts", pa.binary())])
+
+
+def _added_up(table: pa.Table) -> pa.Table:
+    """The counts of a bucket over all chunks, to each chunk for what it sent: those above one."""
+    rows = table.to_pylist()
+    parts = [_unpacked(row["prints"]) for row in rows]
+    sizes = [len(p) for p in parts]
+    counts = np.concatenate([_from_counts(row["counts"], n) for row, n in zip(rows, sizes)])
+    prints = np.concatenate(parts)
+    order = np.argsort(prints, kind="stable")
+    ordered = prints[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])
+    total = np.empty(len(prints), dtype=np.int64)
+    total[order] = np.add.reduceat(counts[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    replies = []
+    for row, part in zip(rows, np.split(total, np.cumsum(sizes)[:-1])):
+        known = part > 1
+        replies.append((row["chunk"], row["bucket"], np.packbits(known).tobytes(), _counts(part[known])))
+    return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*replies), _REPLY)], schema=_REPLY)
+
+
+def _totals(prints: np.ndarray, replies: pa.Table, bits: int) -> np.ndarray:
+    """The counts over all chunks of a chunk's sorted distinct sequences."""
+    total = np.ones(len(prints), dtype=np.int64)
+    edges = np.append(np.searchsorted(prints, _edges(bits)), len(prints))
+    for reply in replies.to_pylist():
+        begin, end = edges[reply["bucket"]], edges[reply["bucket"] + 1]
+        known = np.unpackbits(np.frombuffer(reply["known"], np.uint8), count=end - begin).astype(bool)
+        total[begin:end][known] = _from_counts(reply["counts"], int(known.sum()))
+    return total
+
+
+def _scored(order: int, bits: int, all_words: int, backoff: float, min_count: int, kind: pa.DataType):
+    """Scores of the documents of a chunk, from its words and the counts that came back."""
+    penalty = int(micro_log(backoff))
+
+    def score(chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        (row,) = chunk.to_pylist()
+        found, place, sizes = _of_chunk(row, order)
+        prints, back = np.unique(np.concatenate([h for h, _ in found]), return_inverse=True)
+        total = _totals(prints, replies, bits)
+        # For each length the counts of the sequences that end at each word, 0 where there is none.
+        counts, at = [], 0
+        for hashes, of_use in found:
+            own = np.zeros(len(place), dtype=np.int64)
+            own[of_use] = total[back[at : at + len(hashes)]]
+            counts.append(own)
+            at += len(hashes)
+        longest = np.minimum(place + 1, order)
+        micro = micro_log(np.maximum(counts[0], 1)) - int(micro_log(all_words)) + penalty * (longest - 1)
+        for k in range(2, order + 1):
+            known = np.flatnonzero((counts[k - 1] >= min_count) & (place >= k - 1))
+            value = micro_log(counts[k - 1][known]) - micro_log(counts[k - 2][known - 1])
+            micro[known] = value + penalty * (longest[known] - k)
+        sums = np.append(0, np.cumsum(micro))
+        ends = np.cumsum(sizes)
+        return pa.table(
+            [
+                pa.array(row["doc_ids"], kind),
+                pa.array(sizes, pa.int64()),
+                pa.array(sums[ends] - sums[ends - sizes], pa.int64()),
+            ],
+            ["doc_id", "n_words", "micro_score"],
+        )
+
+    return score
+
+
+def bucket_bits(entries: int) -> int:
+    """The number of upper bits of a hash that name its bucket, for so many entries in all."""
+    return max(LEAST_BUCKETS, -(-entries // BUCKET_ENTRIES) - 1).bit_length()
+
+
+def score_texts(
+    docs: DataFrame, text="text", doc_id="doc_id", order=ORDER, backoff=BACKOFF, min_count=MIN_COUNT
+) -> DataFrame:
     """`doc_id, n_words, micro_score, score` of each row of `docs`.
 
-    `micro_score` is the sum of the words' log scores in millionths, `score` its mean per word
-    in units. A NULL text, and one without words, has no words, a sum of 0 and a NULL mean.
-    Repeated rows count as texts and have equal scores; ids may repeat or be NULL.
+    `order` is the length of the longest sequence, 1 at least. `micro_score` is the sum of the words'
+    log scores in millionths, `score` its mean per word in units. A NULL text, and one without
+    words, has no words, a sum of 0 and a NULL mean. Repeated rows count as texts and have
+    equal scores; ids may repeat or be NULL. Words and sequences are told apart by 64-bit hashes.
     """
-    hashed = _hashes(docs, text, doc_id)
-    counts = stage(word_counts(hashed), "word-counts")
-    (total,) = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()
-    frequent = stage(frequent_pairs(hashed), "pair-counts").select("pair", F.col("n").alias("known"))
-
-    all_words = micro_log(F.lit(max(1, total)))
-    penalty = F.lit(BACKOFF)
-    fall_back = F.col("log_word") - all_words + F.when(F.col("pair").isNull(), 0).otherwise(micro_log(penalty))
-    # At most FREQUENT_PAIRS rows.
-    steps = _with_log_counts(_steps(hashed), counts).join(F.broadcast(frequent), "pair", "left")
-    # What a known pair adds to the score of falling back, but for the pair's own count.
-    gain = all_words - micro_log(penalty) - F.col("log_word") - F.col("log_before")
-    known = F.col("known") >= MIN_COUNT
-    read = steps.groupBy("key").agg(
-        F.sum(F.col("pair").isNull().cast("long")).alias("copies"),
-        F.count("*").alias("n_words"),
-        F.sum(
-            fall_back + F.when(known, gain + micro_log(F.col("known"))).otherwise(0)
-        ).alias("micro"),
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind, arrow_kind = dict(rows.dtypes)["doc_id"], to_arrow_type(rows.schema["doc_id"].dataType)
+    chunks = rows.mapInArrow(
+        _chunked(arrow_kind),
+        f"chunk long, n_words long, doc_ids array<{kind}>, sizes binary, words binary, hashes binary",
+    )
+    chunks = stage(chunks, "chunks")
+    (all_words,) = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    bits = bucket_bits(all_words * order)
+    messages = chunks.drop("doc_ids").mapInArrow(
+        _messages(order, bits), "bucket long, chunk long, prints binary, counts binary"
     )
-    rare = steps.filter(F.col("pair").isNotNull() & F.col("known").isNull())
-    rare = rare.select("key", "pair", gain.cast("int").alias("gain"))
-    met = rare.withColumn("n", F.count("*").over(Window.partitionBy("pair")))
-    added = (
-        met.filter(F.col("n") >= MIN_COUNT)
-        .groupBy("key")
-        .agg(F.sum(F.col("gain") + micro_log(F.col("n"))).alias("micro"))
+    replies = messages.groupBy("bucket").applyInArrow(
+        _added_up, "chunk long, bucket long, known binary, counts binary"
     )
-    none = F.lit(0).cast("long")
-    sums = (
-        read.unionByName(added.select("key", none.alias("copies"), none.alias("n_words"), "micro"))
-        .groupBy("key")
-        .agg(F.sum("copies").alias("copies"), F.sum("n_words").alias("n_words"), F.sum("micro").alias("micro"))
+    score = _scored(order, bits, max(1, all_words), backoff, min_count, arrow_kind)
+    scored = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(
+        score, f"doc_id {kind}, n_words long, micro_score long"
     )
-    scored = hashed.select("doc_id", "key").join(sums, "key", "left")
     return scored.select(
         "doc_id",
-        F.coalesce(F.expr("n_words div copies"), none).alias("n_words"),
-        F.coalesce(F.expr("micro div copies"), none).alias("micro_score"),
-        (F.col("micro") / F.col("n_words") / MICRO).alias("score"),
+        "n_words",
+        "micro_score",
+        F.when(F.col("n_words") > 0, F.col("micro_score") / F.col("n_words") / MICRO).alias("score"),
     )

@@ -8,20 +8,28 @@ LM_SCORE = rf"""
 with w as (
   select doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} w from documents
 ), steps as (
-  select doc_id, w[pos] word, case when pos > 1 then w[pos - 1] end before
+  select doc_id, pos, w[pos] word, case when pos > 1 then w[pos - 1] end before,
+         case when pos > 2 then w[pos - 2] end first
   from w, unnest(range(1, len(w) + 1)) t(pos)
 ), words as (
   select word, round(ln(count(*)::double) * 1000000)::bigint n from steps group by word
 ), pairs as (
   select before, word, round(ln(count(*)::double) * 1000000)::bigint n from steps
   where before is not null group by before, word having count(*) >= 2
-), total as (select round(ln(greatest(count(*), 1)::double) * 1000000)::bigint n from steps),
-scored as (
-  select doc_id, case when p.n is not null then p.n - b.n
-                      when s.before is null then x.n - total.n
-                      else x.n - total.n + round(ln(0.4::double) * 1000000)::bigint end points
-  from steps s cross join total join words x on s.word = x.word
+), triples as (
+  select first, before, word, round(ln(count(*)::double) * 1000000)::bigint n from steps
+  where first is not null group by first, before, word having count(*) >= 2
+), facts as (
+  select round(ln(greatest(count(*), 1)::double) * 1000000)::bigint total,
+         round(ln(0.4::double) * 1000000)::bigint penalty from steps
+), scored as (
+  select doc_id, case when t.n is not null then t.n - c.n
+                      when p.n is not null then p.n - b.n + penalty * (least(pos, 3) - 2)
+                      else x.n - total + penalty * (least(pos, 3) - 1) end points
+  from steps s cross join facts join words x on s.word = x.word
   left join words b on s.before = b.word left join pairs p on s.before = p.before and s.word = p.word
+  left join pairs c on s.first = c.before and s.before = c.word
+  left join triples t on s.first = t.first and s.before = t.before and s.word = t.word
 ), sums as (select doc_id, count(*) n_words, sum(points)::bigint micro from scored group by doc_id)
 select d.doc_id, coalesce(n_words, 0) n_words, coalesce(micro, 0)::bigint micro_score,
        micro::double / n_words / 1000000 score

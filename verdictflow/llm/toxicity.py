@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from verdictflow.llm import common
 from verdictflow.llm.common import Adam, sigmoid
 
-#: Training sample: so many documents of each label, none longer than so many characters.
+#: Training sample: so many documents of each label. Of one with more than so many characters
+#: about as many are taken, in whole sentences drawn by seed from all of them.
 PER_LABEL = 2_000
 SAMPLE_CHARS = 20_000
 SEED = 3
@@ -311,12 +312,21 @@ def training_sample(
         .filter(F.col("id").isNotNull())
     )
     drawn = common.sample_per_class(ids, "label", PER_LABEL, F.xxhash64(F.lit(seed), F.col("id")))
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter(
-        F.length("text").between(1, SAMPLE_CHARS)
-    )
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter(F.length("text") > 0)
     # At most PER_LABEL ids of each label.
-    rows = texts.join(F.broadcast(drawn), "id").select("text", "label").collect()
-    return [(r["text"], r["label"]) for r in rows]
+    rows = texts.join(F.broadcast(drawn), "id").select("label", _sampled("text", "id", seed).alias("text"))
+    return [(r["text"], r["label"]) for r in rows.collect()]
+
+
+def _sampled(text: str, doc_id: str, seed: int):
+    """A text, or of a long one a seeded share of its sentences that has about SAMPLE_CHARS characters."""
+    fine = 1 << 20
+    share = F.lit(SAMPLE_CHARS * fine) / F.length(text)
+    drawn = F.filter(
+        F.split(text, r"(?<=[.!?\n])"),
+        lambda s, k: F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id), k), F.lit(fine)) < share,
+    )
+    return F.when(F.length(text) <= SAMPLE_CHARS, F.col(text)).otherwise(F.array_join(drawn, ""))
 
 
 _LOWER = str.maketrans(common.UPPER, common.LOWER)
