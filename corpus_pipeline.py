@@ -23,27 +23,41 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity field rejects go."""
+    """Documents that the toxicity field rejects go.
+
+    A NULL or empty text is scored as one without toxic words; repeated rows go or stay together.
+    """
     return toxicity.drop_toxic(docs, _table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays, the one with the smallest id."""
+    """One document of each class of near copies stays, the one with the smallest id.
+
+    A text that is NULL or has no words is in no class: its rows stay, those equal in id and text once.
+    A NULL id stays only if no other id is in the class.
+    """
     return jaccard_join.keep_one_of_each(docs)
 
 
 def cut_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans shared with test items are cut out; documents that are mostly such spans go."""
+    """Spans shared with test items are cut out; documents that are mostly such spans go.
+
+    A text that is NULL or has no words stays as it is; repeated rows are treated alike.
+    """
     return _counted(decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark")))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the texts."""
+    """Secrets are masked in the texts; all rows stay, a NULL text as NULL."""
     return _counted(secret_scan.redact(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix of sources takes, with the number of their `repeats`."""
+    """The documents that the mix of sources takes, with the number of their `repeats`.
+
+    A document without words, or with a NULL text, is taken with full passes over its source only;
+    NULL is a source. Rows equal in id, text and source are taken or left together.
+    """
     return mixing.mixed_documents(docs)
 
 

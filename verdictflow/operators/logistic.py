@@ -32,7 +32,7 @@ def with_features(posts: DataFrame, text_col="combined_text", max_words=None) ->
     """
     kept = [c for c in posts.columns if c != text_col]
     ids = F.coalesce(F.transform(words(F.col(text_col), max_words), lambda w: word_id(w, VOCABULARY)), F.array().cast("array<int>"))
-    rows = posts.select(*kept, F.array_sort(ids).alias("_ids"))
+    rows = posts.select(*kept, F.sort_array(ids).alias("_ids"))
     # Where a new id starts; the last start is behind the end.
     new = lambda i: (i == 0) | (i == F.size("_ids")) | (F.get("_ids", i) != F.get("_ids", i - 1))
     rows = rows.withColumn("_starts", F.filter(F.sequence(F.lit(0), F.size("_ids")), new))
@@ -60,7 +60,7 @@ def dense_weights(weights: DataFrame, n_settings: int) -> DataFrame:
     # VOCABULARY + 1 rows at most.
     dense = ids.join(F.broadcast(weights), "feature", "left")
     none = F.array_repeat(F.lit(0).cast("long"), n_settings)
-    entries = F.array_sort(F.collect_list(F.struct("feature", F.coalesce("weights", none).alias("weights"))))
+    entries = F.sort_array(F.collect_list(F.struct("feature", F.coalesce("weights", none).alias("weights"))))
     return dense.agg(F.flatten(F.transform(entries, lambda e: e["weights"])).alias("weights"))
 
 

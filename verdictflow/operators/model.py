@@ -97,10 +97,10 @@ def dense_model(weights: DataFrame, vocabulary=VOCABULARY) -> DataFrame:
     )
     dense = ids.join(weights.select("feature", "weight_micro"), "feature", "left")
     blocks = dense.groupBy(F.shiftright("feature", BLOCK_BITS).alias("block")).agg(
-        F.array_sort(F.collect_list(F.struct("feature", "weight_micro"))).alias("entries")
+        F.sort_array(F.collect_list(F.struct("feature", "weight_micro"))).alias("entries")
     )
     blocks = blocks.select("block", F.transform("entries", lambda e: e["weight_micro"]).alias("values"))
-    packed = blocks.agg(F.array_sort(F.collect_list(F.struct("block", "values"))).alias("blocks"))
+    packed = blocks.agg(F.sort_array(F.collect_list(F.struct("block", "values"))).alias("blocks"))
     flat = F.flatten(F.transform("blocks", lambda b: b["values"]))
     return packed.withColumn("common", common.scalar()).select(
         F.col("common.bias").alias("bias_micro"),

@@ -95,5 +95,6 @@ def subword_counts(posts: DataFrame, table: DataFrame, id_col="submission_id", t
     found = rows.select(id_col, F.col(text_col).isNotNull().alias("_has_text")).join(
         sums, F.col(id_col) == F.col("_id"), "left"
     )
-    total = F.when(F.col("_has_text"), F.coalesce("n_tokens", F.lit(0)))
-    return found.select(id_col, total.alias("n_tokens"), F.least(total, F.lit(limit)).alias("n_used"))
+    has, total = F.col("_has_text"), F.coalesce("n_tokens", F.lit(0))
+    used = F.least(total, F.lit(limit))
+    return found.select(id_col, F.when(has, total).alias("n_tokens"), F.when(has, used).alias("n_used"))
