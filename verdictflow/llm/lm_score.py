@@ -16,6 +16,8 @@ A sequence is sent once per chunk however often it occurs there, and a bucket ge
 entry per sequence and chunk, so frequent ones weigh no more than others.
 """
 
+import struct
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -38,6 +40,8 @@ MIN_COUNT = 2
 CHUNK_WORDS, BUCKET_ENTRIES = 1_500_000, 1_000_000
 #: Buckets are a power of two, this at least.
 LEAST_BUCKETS = 64
+#: Bytes of text that make a word, to guess the number of entries.
+WORD_BYTES = 6
 MICRO = 1_000_000
 
 
@@ -61,21 +65,30 @@ def _from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+_HEAD = struct.Struct("<BQII")
+
+
 def _packed(prints: np.ndarray) -> bytes:
-    """Sorted numbers as steps, each in as many bytes as the largest needs."""
-    steps = np.diff(prints, prepend=np.uint64(0))
-    width = max(1, -(-int(steps[1:].max()).bit_length() // 8)) if len(steps) > 1 else 1
-    rest = steps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + steps[:1].astype("<u8").tobytes() + rest.tobytes()
+    """Sorted numbers as steps, each in as many bytes as the largest needs.
+
+    The upper byte of a step is of few values and is packed by their frequency; the others are
+    as good as random.
+    """
+    steps = np.diff(prints)
+    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
+    rest = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    coder = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    upper = coder.compress(rest[:, -1].tobytes()) + coder.flush()
+    return _HEAD.pack(width, int(prints[0]), len(steps), len(upper)) + upper + rest[:, :-1].tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    width = data[0]
-    rest = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
-    steps = np.zeros((len(rest) + 1, 8), dtype=np.uint8)
-    steps[0] = np.frombuffer(data, np.uint8, count=8, offset=1)
-    steps[1:, :width] = rest
-    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+    width, first, n, packed = _HEAD.unpack_from(data)
+    at = _HEAD.size + packed
+    steps = np.zeros((n, 8), dtype=np.uint8)
+    steps[:, width - 1] = np.frombuffer(zlib.decompress(data[_HEAD.size : at], -15), np.uint8)
+    steps[:, : width - 1] = np.frombuffer(data, np.uint8, offset=at).reshape(n, width - 1)
+    return np.cumsum(np.append(np.uint64(first), steps.view("<u8").ravel()), dtype=np.uint64)
 
 
 def _counts(counts: np.ndarray) -> bytes:
@@ -108,7 +121,7 @@ def sequences(words: np.ndarray, sizes: np.ndarray, order: int) -> tuple[list[np
 def _chunked(kind: pa.DataType):
     """Rows of a partition as chunks: ids, sizes, word numbers and the hashes of the words."""
     schema = pa.schema(
-        [("chunk", pa.int64()), ("n_words", pa.int64()), ("doc_ids", pa.list_(kind))]
+        [("chunk", pa.int64()), ("check", pa.int64()), ("doc_ids", pa.list_(kind))]
         + [(name, pa.binary()) for name in ("sizes", "words", "hashes")]
     )
 
@@ -118,14 +131,13 @@ def _chunked(kind: pa.DataType):
         ids, sizes, words, total = [], [], [], 0
 
         def row():
-            values = [
-                [chunk],
-                [total],
-                [pa.concat_arrays(ids).to_pylist()],
-                [np.array(sizes, dtype="<i8").tobytes()],
-                [_planes(np.concatenate(words))],
-                [np.fromiter(map(xxhash.xxh64_intdigest, number), "<u8", len(number)).tobytes()],
+            spelled = [
+                np.array(sizes, dtype="<i8").tobytes(),
+                _planes(np.concatenate(words)),
+                np.fromiter(map(xxhash.xxh64_intdigest, number), "<u8", len(number)).tobytes(),
             ]
+            check = xxhash.xxh32_intdigest(b"".join(spelled))
+            values = [[chunk], [check], [pa.concat_arrays(ids).to_pylist()], *([part] for part in spelled)]
             return pa.RecordBatch.from_arrays(
                 [pa.array(v, f.type) for v, f in zip(values, schema)], schema=schema
             )
@@ -159,7 +171,9 @@ def _of_chunk(row, order):
     return [(h[place >= k], place >= k) for k, h in enumerate(found)], place, sizes
 
 
-_MESSAGE = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("prints", pa.binary()), ("counts", pa.binary())])
+_MESSAGE = pa.schema(
+    [("bucket", pa.int64()), ("chunk", pa.int64()), ("check", pa.int64()), ("prints", pa.binary()), ("counts", pa.binary())]
+)
 
 
 def _messages(order: int, bits: int):
@@ -174,11 +188,11 @@ def _messages(order: int, bits: int):
                 edges = np.searchsorted(prints, _edges(bits))
                 edges = np.append(edges, len(prints))
                 rows = [
-                    (b, row["chunk"], _packed(prints[x:y]), _counts(counts[x:y]))
+                    (b, row["chunk"], row["check"], _packed(prints[x:y]), _counts(counts[x:y]))
                     for b, (x, y) in enumerate(zip(edges[:-1], edges[1:]))
                     if y > x
                 ]
-                columns = zip(*rows) if rows else [[]] * 4
+                columns = zip(*rows) if rows else [[]] * len(_MESSAGE)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(c), f.type) for c, f in zip(columns, _MESSAGE)], schema=_MESSAGE
                 )
@@ -190,7 +204,9 @@ def _edges(bits: int) -> np.ndarray:
     return np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
 
 
-_REPLY = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("known", pa.binary()), ("counts", pa.binary())])
+_REPLY = pa.schema(
+    [("chunk", pa.int64()), ("check", pa.int64()), ("bucket", pa.int64()), ("known", pa.binary()), ("counts", pa.binary())]
+)
 
 
 def _added_up(table: pa.Table) -> pa.Table:
@@ -208,7 +224,8 @@ def _added_up(table: pa.Table) -> pa.Table:
     replies = []
     for row, part in zip(rows, np.split(total, np.cumsum(sizes)[:-1])):
         known = part > 1
-        replies.append((row["chunk"], row["bucket"], np.packbits(known).tobytes(), _counts(part[known])))
+        counts = _counts(part[known])
+        replies.append((row["chunk"], row["check"], row["bucket"], np.packbits(known).tobytes(), counts))
     return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*replies), _REPLY)], schema=_REPLY)
 
 
@@ -223,12 +240,18 @@ def _totals(prints: np.ndarray, replies: pa.Table, bits: int) -> np.ndarray:
     return total
 
 
-def _scored(order: int, bits: int, all_words: int, backoff: float, min_count: int, kind: pa.DataType):
-    """Scores of the documents of a chunk, from its words and the counts that came back."""
+def _scored(order: int, bits: int, backoff: float, min_count: int, kind: pa.DataType):
+    """Scores of the documents of a chunk, from its words and the counts that came back.
+
+    The number of all words is not known yet: `by_count` words still lack it.
+    """
     penalty = int(micro_log(backoff))
 
     def score(chunk: pa.Table, replies: pa.Table) -> pa.Table:
         (row,) = chunk.to_pylist()
+        if set(replies["check"].to_pylist()) - {row["check"]}:
+            # Its rows came in another order when a lost task ran again.
+            raise RuntimeError("a chunk changed while its counts were added up: give a stored table")
         found, place, sizes = _of_chunk(row, order)
         prints, back = np.unique(np.concatenate([h for h, _ in found]), return_inverse=True)
         total = _totals(prints, replies, bits)
@@ -240,20 +263,22 @@ def _scored(order: int, bits: int, all_words: int, backoff: float, min_count: in
             counts.append(own)
             at += len(hashes)
         longest = np.minimum(place + 1, order)
-        micro = micro_log(np.maximum(counts[0], 1)) - int(micro_log(all_words)) + penalty * (longest - 1)
+        micro = micro_log(np.maximum(counts[0], 1)) + penalty * (longest - 1)
+        by_count = np.ones(len(place), dtype=np.int64)
         for k in range(2, order + 1):
             known = np.flatnonzero((counts[k - 1] >= min_count) & (place >= k - 1))
             value = micro_log(counts[k - 1][known]) - micro_log(counts[k - 2][known - 1])
             micro[known] = value + penalty * (longest[known] - k)
-        sums = np.append(0, np.cumsum(micro))
+            by_count[known] = 0
         ends = np.cumsum(sizes)
+
+        def per_text(values):
+            sums = np.append(0, np.cumsum(values))
+            return pa.array(sums[ends] - sums[ends - sizes], pa.int64())
+
         return pa.table(
-            [
-                pa.array(row["doc_ids"], kind),
-                pa.array(sizes, pa.int64()),
-                pa.array(sums[ends] - sums[ends - sizes], pa.int64()),
-            ],
-            ["doc_id", "n_words", "micro_score"],
+            [pa.array(row["doc_ids"], kind), pa.array(sizes, pa.int64()), per_text(micro), per_text(by_count)],
+            ["doc_id", "n_words", "micro", "by_count"],
         )
 
     return score
@@ -276,26 +301,29 @@ def score_texts(
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind, arrow_kind = dict(rows.dtypes)["doc_id"], to_arrow_type(rows.schema["doc_id"].dataType)
+    (size,) = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    bits = bucket_bits(size // WORD_BYTES * order)
+    # Dealt once: the messages and the scores read the same shuffle, so both take all columns.
     chunks = rows.mapInArrow(
         _chunked(arrow_kind),
-        f"chunk long, n_words long, doc_ids array<{kind}>, sizes binary, words binary, hashes binary",
-    )
-    chunks = stage(chunks, "chunks")
-    (all_words,) = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    bits = bucket_bits(all_words * order)
-    messages = chunks.drop("doc_ids").mapInArrow(
-        _messages(order, bits), "bucket long, chunk long, prints binary, counts binary"
+        f"chunk long, check long, doc_ids array<{kind}>, sizes binary, words binary, hashes binary",
+    ).repartition("chunk")
+    messages = chunks.mapInArrow(
+        _messages(order, bits), "bucket long, chunk long, check long, prints binary, counts binary"
     )
     replies = messages.groupBy("bucket").applyInArrow(
-        _added_up, "chunk long, bucket long, known binary, counts binary"
+        _added_up, "chunk long, check long, bucket long, known binary, counts binary"
     )
-    score = _scored(order, bits, max(1, all_words), backoff, min_count, arrow_kind)
+    score = _scored(order, bits, backoff, min_count, arrow_kind)
     scored = chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(
-        score, f"doc_id {kind}, n_words long, micro_score long"
+        score, f"doc_id {kind}, n_words long, micro long, by_count long"
     )
+    scored = stage(scored, "scores")
+    (all_words,) = scored.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    micro = F.col("micro") - F.col("by_count") * int(micro_log(max(1, all_words)))
     return scored.select(
         "doc_id",
         "n_words",
-        "micro_score",
-        F.when(F.col("n_words") > 0, F.col("micro_score") / F.col("n_words") / MICRO).alias("score"),
+        micro.alias("micro_score"),
+        F.when(F.col("n_words") > 0, micro / F.col("n_words") / MICRO).alias("score"),
     )
