@@ -243,3 +243,41 @@ def test_posts_without_a_date_are_logged_once(spark, tmp_path, make_posts):
     assert sorted((r.submission_id, r.post_date) for r in log.read().collect()) == [("1", None), ("2", date(2024, 1, 2))]
     dated = batch.filter("post_date is not null")
     assert [r.submission_id for r in log.read_dates_of(dated).collect()] == ["2"]
+
+
+def indexed_log(spark, tmp_path):
+    return tables.daily_log(spark, str(tmp_path), indexed=True)
+
+
+def test_a_batch_of_new_ids_does_not_open_the_log(spark, tmp_path, make_posts):
+    log = indexed_log(spark, tmp_path)
+    log.append(log_rows(make_posts, [(i, "t", "b", "nta", i % 50) for i in range(300)]))
+    fresh = monitor.decided_batch(make_posts([(1000 + i, "t", "b", "nta", i % 50) for i in range(40)]))
+    maybe = log.may_be_known(fresh)
+    assert maybe.count() <= 2  # ids that share all bits by chance
+    new = monitor.unlogged(fresh.filter(~F.col("submission_id").isin([r.submission_id for r in maybe.collect()])), log)
+    assert new.count() >= 38 and f"{tmp_path}/daily_log" not in plan_of(new).replace("daily_log_ids", "")
+    both = fresh.unionByName(monitor.decided_batch(make_posts([(i, "t", "b", "nta", i % 50) for i in range(5)])))
+    assert monitor.unlogged(both, log).count() == 40
+    other_day = monitor.decided_batch(make_posts([(1, "t", "b", "nta", 2000)]))
+    assert monitor.unlogged(other_day, log).count() == 1
+
+
+def test_an_older_log_is_indexed_when_it_is_first_used(spark, tmp_path, make_posts):
+    rows = [(i, "t", "b", "nta", i) for i in range(60)]
+    tables.daily_log(spark, str(tmp_path)).append(log_rows(make_posts, rows[:30]))
+    log = indexed_log(spark, tmp_path)
+    log.append(log_rows(make_posts, rows[30:50]))
+    batch = monitor.decided_batch(make_posts(rows))
+    assert {r.submission_id for r in monitor.unlogged(batch, log).collect()} == {str(i) for i in range(50, 60)}
+    undated = batch.withColumn("post_date", F.lit(None).cast("date"))
+    log.append(unscored(undated.limit(3), DAILY_LOG))
+    assert monitor.unlogged(undated, log).count() == 57
+
+
+def test_a_crowded_index_is_never_wrong(spark, tmp_path, make_posts, monkeypatch):
+    log = indexed_log(spark, tmp_path)
+    log.index.slots = 2
+    log.append(log_rows(make_posts, [(i, "t", "b", "nta", 1) for i in range(200)]))
+    batch = monitor.decided_batch(make_posts([(i, "t", "b", "nta", 1) for i in range(400)]))
+    assert {r.submission_id for r in monitor.unlogged(batch, log).collect()} == {str(i) for i in range(200, 400)}

@@ -65,9 +65,9 @@ def pending(spark, d):
     return stage(state, "pending")
 
 
-def unscored_log(spark, posts):
+def unscored_log(spark, posts, indexed=False):
     """A daily log of the decided posts among `posts`, in a folder of this run."""
-    log = tables.DailyLog(spark, run_dir(spark, "daily-log"))
+    log = tables.DailyLog(spark, run_dir(spark, "daily-log"), indexed=indexed)
     log.append(stream_ingest.unscored(monitor.decided_batch(posts), DAILY_LOG))
     return log
 
@@ -237,6 +237,13 @@ def new_posts_by_id(spark, d):
     return new.select("submission_id", "title", "link_flair_text", "post_date")
 
 
+def new_posts_by_index(spark, d):
+    """The same over a log with an index of its ids."""
+    log = unscored_log(spark, english_posts(spark, d), indexed=True)
+    new = monitor.unlogged(monitor.decided_batch(feeds.posts(spark, d)), log)
+    return new.select("submission_id", "title", "link_flair_text", "post_date")
+
+
 def title_lookup(spark, d):
     waiting = english_posts(spark, d).select("title")
     return joins.title_lookup(waiting, feeds.posts(spark, d))
@@ -683,6 +690,7 @@ QUERIES = {
         grade_counts,
         unseen_posts_by_title,
         new_posts_by_id,
+        new_posts_by_index,
         title_lookup,
         resolve_predictions,
         resolved_predictions,

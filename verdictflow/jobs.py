@@ -117,7 +117,7 @@ class Monitor(Settings):
     def run(self, spark):
         rows, counts = monitor.run_monitor(
             self.feed(spark),
-            tables.daily_log(spark, self.root),
+            tables.daily_log(spark, self.root, indexed=True),
             self.models(spark),
             dry_run=self.dry_run,
             n_posts=self.n_posts,

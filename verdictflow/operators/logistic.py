@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from verdictflow.functions.scores import over_threshold
 from verdictflow.functions.text import word_id, words
+from verdictflow.operators.model import filled
 from verdictflow.session import stage
 
 UNIT, VALUE = 1_000_000, 1_000
@@ -56,12 +57,11 @@ def _count(start, end):
 
 def dense_weights(weights: DataFrame, n_settings: int) -> DataFrame:
     """The weights as one array: those of id i from place i * n_settings on; 0 where none is given."""
-    ids = weights.sparkSession.range(0, VOCABULARY + 1, 1, 1).select(F.col("id").cast("int").alias("feature"))
-    # VOCABULARY + 1 rows at most.
-    dense = ids.join(F.broadcast(weights), "feature", "left")
-    none = F.array_repeat(F.lit(0).cast("long"), n_settings)
-    entries = F.sort_array(F.collect_list(F.struct("feature", F.coalesce("weights", none).alias("weights"))))
-    return dense.agg(F.flatten(F.transform(entries, lambda e: e["weights"])).alias("weights"))
+    none = lambda n: F.array_repeat(F.lit(0).cast("long"), n * n_settings)
+    # VOCABULARY + 1 entries at most.
+    packed = weights.agg(F.sort_array(F.collect_list(F.struct("feature", "weights"))).alias("entries"))
+    dense = filled(F.col("entries"), "feature", lambda e: e["weights"], none, F.lit(VOCABULARY + 1))
+    return packed.select(dense.alias("weights"))
 
 
 def with_margins(rows: DataFrame, weights: DataFrame, n_settings: int) -> DataFrame:

@@ -82,30 +82,47 @@ def train_weights(
     )
 
 
+def filled(entries, place, values, fill, length):
+    """An array of `length` with the values of each entry from its place on, and `fill` in between.
+
+    `entries` is a sorted array column with an entry per place; `values(entry)` gives an array of
+    one element, or of a whole block if `fill(n)` fills n blocks.
+    """
+    before = lambda i: F.coalesce(F.get(entries, i - 1)[place], F.lit(-1))
+    pieces = F.transform(
+        entries, lambda e, i: F.concat(fill((e[place] - before(i) - 1).cast("int")), values(e))
+    )
+    last = F.coalesce(F.get(entries, F.size(entries) - 1)[place], F.lit(-1))
+    return F.concat(F.flatten(pieces), fill((length - last - 1).cast("int")))
+
+
 def dense_model(weights: DataFrame, vocabulary=VOCABULARY) -> DataFrame:
     """The weights as one row: bias_micro, unseen_micro and an array with a weight for every word id.
 
     Blocks of ids are put together in parallel, and then joined. It has `vocabulary` entries,
     whatever the weights were trained on.
     """
-    ids = weights.sparkSession.range(vocabulary).select(F.col("id").cast("int").alias("feature"))
-    common = weights.agg(
-        F.struct(
-            F.coalesce(F.max("bias_micro"), F.lit(0)).alias("bias"),
-            F.coalesce(F.max("unseen_micro"), F.lit(0)).alias("unseen"),
-        ).alias("common")
+    size = 1 << BLOCK_BITS
+    unseen = F.coalesce("unseen", F.lit(0)).cast("long")
+    blocks = weights.groupBy(F.shiftright("feature", BLOCK_BITS).alias("block")).agg(
+        F.sort_array(F.collect_list(F.struct((F.col("feature") % size).alias("at"), "weight_micro"))).alias("entries"),
+        F.max("bias_micro").alias("bias"),
+        F.max("unseen_micro").alias("unseen"),
     )
-    dense = ids.join(weights.select("feature", "weight_micro"), "feature", "left")
-    blocks = dense.groupBy(F.shiftright("feature", BLOCK_BITS).alias("block")).agg(
-        F.sort_array(F.collect_list(F.struct("feature", "weight_micro"))).alias("entries")
+    repeat = lambda n: F.array_repeat(unseen, n)
+    values = filled(F.col("entries"), "at", lambda e: F.array(e["weight_micro"]), repeat, F.lit(size))
+    blocks = blocks.select("block", "bias", "unseen", values.alias("values"))
+    packed = blocks.agg(
+        F.sort_array(F.collect_list(F.struct("block", "values"))).alias("blocks"),
+        F.max("bias").alias("bias"),
+        F.max("unseen").alias("unseen"),
     )
-    blocks = blocks.select("block", F.transform("entries", lambda e: e["weight_micro"]).alias("values"))
-    packed = blocks.agg(F.sort_array(F.collect_list(F.struct("block", "values"))).alias("blocks"))
-    flat = F.flatten(F.transform("blocks", lambda b: b["values"]))
-    return packed.withColumn("common", common.scalar()).select(
-        F.col("common.bias").alias("bias_micro"),
-        F.col("common.unseen").alias("unseen_micro"),
-        F.transform(flat, lambda w: F.coalesce(w, F.col("common.unseen"))).alias("weights"),
+    number = -(-vocabulary // size)
+    flat = filled(F.col("blocks"), "block", lambda b: b["values"], lambda n: repeat(n * size), F.lit(number))
+    return packed.select(
+        F.coalesce("bias", F.lit(0)).cast("long").alias("bias_micro"),
+        unseen.alias("unseen_micro"),
+        F.slice(flat, 1, vocabulary).alias("weights"),
     )
 
 

@@ -508,6 +508,12 @@ ORACLES = {
         "posts",
         "decided",
     ),
+    "new_posts_by_index": _sql(
+        "select submission_id, title, link_flair_text, post_date from decided "
+        "where submission_id not in (select submission_id from decided where lang = 'en')",
+        "posts",
+        "decided",
+    ),
     "title_lookup": _sql(
         "select title, outcome_str from lookup "
         "where title in (select title from posts where lang = 'en')",

@@ -44,13 +44,29 @@ def log_rows(batch, scorer, threshold=0.5):
     return flagged.select(*DAILY_LOG.fieldNames())
 
 
+def unlogged(batch, log):
+    """Posts of a batch, each once, that are not logged under their date.
+
+    A log with an index is opened for the dates of ids that may be known, and not at all when
+    there are none.
+    """
+    maybe = log.may_be_known(batch)
+    if maybe is None:
+        return joins.new_by_id(batch, log.read_dates_of(batch))
+    maybe = stage(maybe, "maybe-known")
+    if maybe.isEmpty():
+        return joins.first_by_id(batch)
+    ids = maybe.select("submission_id").distinct()
+    return joins.new_by_id(batch, log.read_dates_of(maybe).join(ids, "submission_id", "left_semi"))
+
+
 def monitor(posts, log, scorer, length_mode="as_written", n_posts=None):
     """New rows of the log: decided posts, each once, that are not logged under their date.
 
     A post is logged once; a flair that changes later does not change its row.
     """
     batch = decided_batch(posts, length_mode, n_posts)
-    return log_rows(joins.new_by_id(batch, log.read_dates_of(batch)), scorer)
+    return log_rows(unlogged(batch, log), scorer)
 
 
 def run_monitor(posts, log, scorer, dry_run=False, n_posts=None, **options):

@@ -4,6 +4,8 @@ Claims and renames ask for a file system on which a file is created by one write
 rename is atomic, such as HDFS; object stores without these are not supported.
 """
 
+import os
+
 from py4j.protocol import Py4JJavaError
 
 
@@ -28,9 +30,17 @@ def child_names(spark, path) -> list[str]:
 def create(spark, path) -> bool:
     """Create an empty file; False when it exists, also when another job just made it."""
     fs, hadoop_path = _handle(spark, path)
+    if fs.getScheme() == "file":  # Hadoop's local file system looks first and creates then
+        local = hadoop_path.toUri().getPath()
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        try:
+            os.close(os.open(local, os.O_CREAT | os.O_EXCL))
+        except FileExistsError:
+            return False
+        return True
     try:
         return fs.createNewFile(hadoop_path)
-    except Py4JJavaError as error:  # between its look and its try
+    except Py4JJavaError as error:
         if error.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
             return False
         raise

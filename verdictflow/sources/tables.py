@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from verdictflow.schemas import DAILY_LOG, HISTORY, OUTBOX, PENDING, RESOLVED
 from verdictflow.sources.files import child_names, create, exists, make_folder, modified, move, remove
+from verdictflow.sources.id_index import IdIndex
 from verdictflow.sources.scans import empty, read_if_exists
 
 
@@ -156,10 +157,14 @@ def rows_of_days(table: DataFrame, batch: DataFrame, column: str) -> DataFrame:
 
 
 class DailyLog:
-    """Scored posts partitioned by post date."""
+    """Scored posts partitioned by post date.
 
-    def __init__(self, spark: SparkSession, path: str, schema=DAILY_LOG, column="post_date"):
+    With an index, kept beside it, the log is read only for ids that may be in it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema=DAILY_LOG, column="post_date", indexed=False):
         self.spark, self.path, self.schema, self.column = spark, path, schema, column
+        self.index = IdIndex(spark, f"{path}_ids", column) if indexed else None
 
     def read(self) -> DataFrame:
         return read_if_exists(self.spark, self.path, self.schema)
@@ -172,6 +177,14 @@ class DailyLog:
         """
         return rows_of_days(self.read(), batch, self.column).select(*self.schema.fieldNames())
 
+    def may_be_known(self, batch: DataFrame) -> DataFrame | None:
+        """Id and date of the batch's rows that may be logged; None if the log has no index."""
+        if self.index is None:
+            return None
+        if not self.index.is_there() and exists(self.spark, self.path):  # a log older than its index
+            self.index.add(self.read())
+        return self.index.may_be_known(batch, rows_of_days)
+
     def append(self, df: DataFrame, dry_run=False) -> DataFrame:
         """Add rows to their dates.
 
@@ -180,6 +193,9 @@ class DailyLog:
         """
         df = df.select(*self.schema.fieldNames())
         if not dry_run:
+            if self.index is not None:
+                self.may_be_known(df.limit(0))
+                self.index.add(df)
             (
                 df.hint("rebalance", self.column)
                 .write.mode("append")
@@ -278,8 +294,8 @@ def resolved_archive(spark, root):
     return Archive(spark, f"{root}/resolved")
 
 
-def daily_log(spark, root):
-    return DailyLog(spark, f"{root}/daily_log")
+def daily_log(spark, root, indexed=False):
+    return DailyLog(spark, f"{root}/daily_log", indexed=indexed)
 
 
 def outbox(spark, root):

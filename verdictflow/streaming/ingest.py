@@ -2,8 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from verdictflow.operators import joins
-from verdictflow.plans.monitor import decided_batch, log_rows
+from verdictflow.plans.monitor import decided_batch, log_rows, unlogged
 from verdictflow.streaming.common import start
 
 
@@ -19,7 +18,7 @@ def ingest(posts, log, checkpoint, to_batch=None, scorer=None, **trigger):
     def add(batch, _batch_id):
         # Its dates, its repeated ids and its rows are read: the batch is evaluated once.
         rows = decided_batch(to_batch(batch) if to_batch else batch).persist()
-        new = joins.new_by_id(rows, log.read_dates_of(rows))
+        new = unlogged(rows, log)
         log.append(log_rows(new, scorer) if scorer is not None else unscored(new, log.schema))
         rows.unpersist()
 
