@@ -1,5 +1,7 @@
 """NULLs, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import hashlib
+
 import pytest
 
 import corpus_pipeline
@@ -33,6 +35,10 @@ VECTORS = [
     (7, [float("nan"), 1.0], 1),
     (8, [], 1),
     (None, [0.0, 1.0], 1),
+    (9, [0.5] * 64, 2),
+    (9, [0.5] * 64, 2),
+    (10, [-0.25] * 64, None),
+    (None, [1.0] * 64, 3),
 ]
 PAGES = [
     (1, "https://a.Example.ORG/es/x?q"),
@@ -82,7 +88,7 @@ def test_empty_tables(spark, empty, name):
     assert ALL[name](spark, empty).collect() == []
 
 
-ROWS = {"op3_embedding_dedup": len(VECTORS), "op8_url_filter": len(PAGES)}
+ROWS = {"op3_embedding_dedup": len(VECTORS), "op8_url_filter": len(PAGES), "op12_centroids": 4}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -149,7 +155,32 @@ def _mixed(rows):
     assert all(r["taken"] <= 3 * r["size"] for r in rows)
 
 
+def _runs(rows):
+    of = _by(rows, "doc_id")
+    assert of[4]["n_runs"] == of[5]["n_runs"] == 0 and of[5]["start"] is None
+    assert of[4]["collapsed_sha256"] == of[5]["runs_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def _clusters(rows):
+    # Equal first centroids: the larger number has no vectors. A NULL id comes last.
+    assert all(r["distance"] == r["inertia"] == 0 for r in rows)
+    of = _by(rows, "vec_id")
+    assert len({of[9]["cluster"], of[10]["cluster"]}) == 2
+    assert [r["cluster"] for r in rows if r["vec_id"] is None] == [3]
+
+
+def _equal_texts(rows):
+    of = _by(rows, "doc_id")
+    same = [r for r in rows if r["text_sha256"] == of[2]["text_sha256"]]
+    assert len(same) == 4 and {r["keep_id"] for r in same} == {2} and sum(r["kept"] for r in same) == 1
+    none = [r for r in rows if r["text_sha256"] == hashlib.sha256(b"").hexdigest()]
+    assert len(none) == 3 and {r["keep_id"] for r in none} == {5}
+
+
 CHECKS = {
+    "op11_runs": _runs,
+    "op12_centroids": _clusters,
+    "op13_exact_dedup": _equal_texts,
     "op1_lm_score": _lm,
     "op2_jaccard_join": _copies,
     "op3_embedding_dedup": _vectors,

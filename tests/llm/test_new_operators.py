@@ -48,7 +48,7 @@ def _as_numbers(words):
 
 
 def test_runs_equal_brute_force_in_pieces_of_several_texts():
-    texts = list(_random_texts(1, 600))
+    texts = list(_random_texts(1, 900))
     at, n_runs = 0, 0
     rng = random.Random(2)
     while at < len(texts):

@@ -91,6 +91,90 @@ def sample_per_class(rows, label: str, per_class: int, order, counted=None):
     return picked.filter(F.col(name) <= per_class).drop(name)
 
 
+#: A group is hot when it holds more than 1 / HOT_SHARE of the rows, so there are fewer than that.
+HOT_SHARE = 1000
+
+
+def join_groups(rows, groups, key: str, group_key: str, size: str, n_rows: int, how="left"):
+    """`rows` joined with `groups`, one row per key, where a few keys may hold much of the rows.
+
+    `size` is a column of `groups` with the number of rows of the key, `n_rows` the number of all.
+    Rows of hot groups stay where they are: these groups are broadcast. `how` is left or inner.
+    """
+    same = F.col(key) == F.col(group_key)
+    is_hot = F.col(size) * HOT_SHARE > n_rows
+    hot = F.broadcast(groups.filter(is_hot))
+    others = rows.join(hot, same, "left_anti").join(groups.filter(~is_hot), same, how)
+    return rows.join(hot, same).unionByName(others)
+
+
+def _let(value: Column, use) -> Column:
+    """`use` of a value that is computed once; inside a lambda it would be computed per element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, combine, zero: Column) -> Column:
+    """For each element what the elements before it combine to.
+
+    In blocks of about the root of their number: blocks are combined first, and an element
+    looks at the blocks before it and at its own block.
+    """
+
+    def in_blocks(v, width):
+        block = lambda i: F.floor(i / width).cast("int")
+        number = F.ceil(F.size(v) / width).cast("int")
+        each = F.transform(
+            F.sequence(F.lit(0), number - 1), lambda b: F.aggregate(F.slice(v, b * width + 1, width), zero, combine)
+        )
+        heads = lambda e: F.transform(e, lambda _, k: F.aggregate(F.slice(e, F.lit(1), k), zero, combine))
+        return _let(
+            _let(each, heads),
+            lambda head: F.transform(
+                v, lambda _, i: F.aggregate(F.slice(v, i - i % width + 1, i % width), F.get(head, block(i)), combine)
+            ),
+        )
+
+    blocks = lambda v: _let(F.ceil(F.sqrt(F.size(v))).cast("int"), lambda width: in_blocks(v, width))
+    return _let(values, lambda v: F.when(F.size(v) > 0, blocks(v)).otherwise(v))
+
+
+#: Code points of a piece of text in which spans are cut.
+_PIECE = 4096
+
+
+def without(text: Column, spans: Column, begin: str, end: str, mask: str = "") -> Column:
+    """`text` with each span replaced by `mask`; spans are in order, overlapping ones make one.
+
+    The text is cut into pieces once, and what stays is taken out of the pieces around it, so
+    the work grows with the text and not with text times spans.
+    """
+
+    def cut(pieces, a, b):
+        first, last = F.floor(a / _PIECE).cast("int"), F.floor((b - 1) / _PIECE).cast("int")
+        around = F.array_join(F.slice(pieces, first + 1, last - first + 1), "")
+        return F.when(b > a, F.substr(around, a % _PIECE + 1, b - a)).otherwise("")
+
+    def kept(pieces, covered):
+        rows = F.arrays_zip(covered.alias("covered"), spans.alias("span"))
+        return F.transform(
+            rows,
+            lambda r: F.when(
+                r["span"][begin] >= r["covered"], F.concat(cut(pieces, r["covered"], r["span"][begin]), F.lit(mask))
+            ).otherwise(""),
+        )
+
+    ends = F.transform(spans, lambda p: p[end])
+    covered = running(ends, lambda a, b: F.greatest(a, b), F.lit(0))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+    changed = _let(
+        pieces,
+        lambda p: F.concat(
+            F.array_join(_let(covered, lambda c: kept(p, c)), ""), cut(p, F.array_max(ends), F.length(text))
+        ),
+    )
+    return F.when(F.size(spans) > 0, changed).otherwise(text)
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from verdictflow.llm import common
@@ -282,31 +283,99 @@ def find_overlaps(
     """
     pieces = item_pieces(items, item_text, item_id, window)
     shards = sorted(r[0] for r in pieces.select("shard").distinct().collect()) or [0]
-    for k, shard in enumerate(shards):
-        if k:  # only one automaton at a time in a task
-            docs = stage(docs, "overlaps")
-        rows = pieces.filter(F.col("shard") == shard).select("item", "words").collect()
-        shard_items = [(r["item"], [w.encode() for w in r["words"]]) for r in rows]
-        overlap = _overlaps(shard_items, window)(F.col(text))
-        if k:
-            fresh = common.free_name(docs, "shard")
-            docs = docs.withColumn(fresh, overlap)
-            docs = docs.withColumn(into, _merged(F.col(into), F.col(fresh))).drop(fresh)
-        else:
-            docs = docs.withColumn(into, overlap)
-    return docs
+    if len(shards) == 1:
+        return docs.withColumn(into, _overlaps(_items_of(pieces, shards[0]), window)(F.col(text)))
+    # Several automata: one pass finds the texts that may hold a window of any, and writes them
+    # apart; only those go through the automata, one at a time.
+    flag = common.free_name(docs, "may_hit")
+    looked = docs.withColumn(into, _look(pieces, window)(F.col(text)))
+    looked = stage(looked.withColumn(flag, F.col(into)["may_hit"]), "looked-at")
+    none = F.struct(
+        F.col(into)["n_words"].alias("n_words"),
+        F.lit(0).cast("long").alias("n_hit"),
+        F.lit(0).alias("longest"),
+        F.array().cast("array<string>").alias("items"),
+        F.array().cast("array<struct<first:int,last:int,begin:int,end:int>>").alias("spans"),
+    )
+    clean = looked.filter(~F.col(flag)).withColumn(into, none).drop(flag)
+    docs = looked.filter(flag).withColumn(into, none).drop(flag)
+    fresh = common.free_name(docs, "shard")
+    for shard in shards:
+        docs = docs.withColumn(fresh, _overlaps(_items_of(pieces, shard), window)(F.col(text)))
+        docs = stage(docs.withColumn(into, _merged(F.col(into), F.col(fresh))).drop(fresh), "overlaps")
+    return clean.unionByName(docs)
+
+
+def _items_of(pieces: DataFrame, shard: int) -> list[tuple]:
+    """The items of a shard: at most about SHARD_WORDS words."""
+    rows = pieces.filter(F.col("shard") == shard).select("item", "words").collect()
+    return [(r["item"], [w.encode() for w in r["words"]]) for r in rows]
+
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _window_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of `size` words."""
+    n = max(0, len(words) - size + 1)
+    runs = np.full(n, size, dtype=np.uint64)
+    for k in range(size):
+        runs = (runs ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        runs ^= runs >> np.uint64(29)
+    return runs
+
 
+#: Bits of the bitmap of windows: 16 for each, within these.
+LEAST_BITS, MOST_BITS, BITS_EACH = 1 << 16, 1 << 26, 16
 
-def cut_spans(text: Column, spans: Column) -> Column:
-    """`text` without the characters of its spans; spans are in order and apart."""
-    begin = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
 
-    def step(state, span):
-        kept = F.substr(text, state["at"] + 1, span["begin"] - state["at"])
-        return F.struct(F.concat(state["done"], kept).alias("done"), span["end"].alias("at"))
+def _look(pieces: DataFrame, window: int):
+    """The function that maps texts to (n_words, may_hit); false only where no window occurs.
+
+    Windows are marked in a bitmap of at most MOST_BITS; when it fills up more texts go through
+    the automata, with the same result.
+    """
+    size = F.least(F.size("words"), F.lit(window))
+    facts = pieces.groupBy(size.alias("size")).agg(F.sum(F.size("words")).alias("words")).collect()
+    sizes = sorted(r["size"] for r in facts)
+    bits = LEAST_BITS
+    while bits < min(MOST_BITS, BITS_EACH * sum(r["words"] for r in facts)):
+        bits *= 2
+
+    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        marks = np.zeros(bits, dtype=bool)
+        for batch in batches:
+            for words in batch["words"]:
+                hashes = _word_hashes([w.encode() for w in words])
+                marks[_window_hashes(hashes, min(window, len(hashes))) % np.uint64(bits)] = True
+        packed = np.packbits(marks).view(np.int64)
+        at = np.flatnonzero(packed)
+        yield pd.DataFrame({"at": at, "word": packed[at]})
+
+    words = pieces.select("words").mapInPandas(marked, "at long, word long")
+    words = words.groupBy("at").agg(F.bit_or("word").alias("word"))
+    bitmap = np.zeros(bits // 64, dtype=np.int64)
+    for row in words.collect():  # at most MOST_BITS / 64 rows
+        bitmap[row["at"]] = row["word"]
+    shared = pieces.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        table = shared.value.view(np.uint8)
+
+        def is_marked(hashes):
+            at = (hashes % np.uint64(bits)).astype(np.int64)
+            return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).any()
+
+        for texts in batches:
+            rows = []
+            for text in texts:
+                hashes = _word_hashes(common.byte_words(text))
+                hit = any(is_marked(_window_hashes(hashes, n)) for n in sizes)
+                rows.append((len(hashes), hit))
+            yield pd.DataFrame(rows, columns=["n_words", "may_hit"])
 
-    rest = lambda state: F.concat(state["done"], F.substr(text, state["at"] + 1))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, begin, step, rest)).otherwise(text)
+    return F.pandas_udf(run, "n_words long, may_hit boolean")
 
 
 def decontaminate(
@@ -321,10 +390,11 @@ def decontaminate(
     """`docs` without what they share with test items; columns stay, other rows are unchanged.
 
     Hit spans are cut out of a text. A document is dropped if more than `max_coverage` of its
-    words are hit.
+    words are hit. A NULL, an empty text and one without words stay as they are; repeated rows
+    are treated alike. Without items nothing is cut.
     """
     name = common.free_name(docs, "overlap")
     marked = find_overlaps(docs, items, name, text, item_text, item_id, window)
     hit = F.col(name)
     kept = marked.filter(hit["n_hit"] <= max_coverage * hit["n_words"])
-    return kept.withColumn(text, cut_spans(F.col(text), hit["spans"])).drop(name)
+    return kept.withColumn(text, common.without(F.col(text), hit["spans"], "begin", "end")).drop(name)

@@ -250,13 +250,14 @@ def text_gid(text):
 
 
 def join_similar(docs: DataFrame, text="text", doc_id="doc_id", threshold=THRESHOLD) -> DataFrame:
-    """`doc_id, gid, class_id, n_links` of every row of `docs`.
+    """`doc_id, gid, class_root, class_id, n_links` of every row of `docs`.
 
     Two rows are linked if the Jaccard similarity of their sets of word runs is at least
     `threshold`; a text of fewer than five words is one run. `n_links` counts the other rows
     that a row is linked to, copies included. `class_id` is the smallest `doc_id` that is
-    reachable by links, itself included. `gid` tells texts apart. A row whose text is NULL or
-    has no words has no links, and its class is its own id; its `gid` may be NULL. Repeated rows
+    reachable by links, itself included. `gid` tells texts apart and `class_root` classes, by 64-bit
+    hashes of whole texts. A row whose text is NULL or has no words has no links, and its class
+    is its own id; its `gid` and `class_root` may be NULL. Repeated rows
     are rows of their own; a NULL id counts as a row and is no class id unless there is no
     other.
     """
@@ -298,6 +299,7 @@ def join_similar(docs: DataFrame, text="text", doc_id="doc_id", threshold=THRESH
     )
     own = own.join(roots, "class_root", "left").select(
         F.col("gid").alias("own_gid"),
+        F.coalesce("class_root", "gid").alias("class_root"),
         F.coalesce("least", "first").alias("least"),
         (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
@@ -305,6 +307,7 @@ def join_similar(docs: DataFrame, text="text", doc_id="doc_id", threshold=THRESH
     return keyed.select(
         "doc_id",
         "gid",
+        "class_root",
         F.coalesce("least", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
@@ -313,13 +316,20 @@ def join_similar(docs: DataFrame, text="text", doc_id="doc_id", threshold=THRESH
 def keep_one_of_each(docs: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
     """One row of each class, the one with the smallest id; columns and other rows stay.
 
-    Rows equal in id and text are one: of these any one stays.
+    Of several texts with this id one stays, told by its hash. Rows equal in id and text are one: of
+    these any one stays. Rows whose text is NULL or has no words are in no class and stay.
     """
     joined = join_similar(docs, text, doc_id)
     key = lambda name: F.col(name).eqNullSafe
-    kept = joined.filter(key("doc_id")(F.col("class_id"))).groupBy("doc_id", "gid").agg(
+    first = joined.filter(key("doc_id")(F.col("class_id"))).groupBy("doc_id", "gid", "class_root").agg(
         F.count("*").alias("n")
     )
+    first = stage(first, "firsts")
+    # Few texts of a class have its smallest id.
+    others = first.filter(F.col("class_root").isNull()).drop("class_root")
+    least = F.min(F.struct("gid", "doc_id", "n")).alias("least")
+    kept = first.filter(F.col("class_root").isNotNull()).groupBy("class_root").agg(least).select("least.*")
+    kept = others.unionByName(kept)
     # A NULL id is never a class id next to others; rows with several of one key are rare.
     kept = stage(kept.toDF("kept_id", "kept_gid", "kept_n"), "kept")
     same = docs[doc_id].eqNullSafe(F.col("kept_id")) & text_gid(docs[text]).eqNullSafe(F.col("kept_gid"))

@@ -1,25 +1,27 @@
 """Mixing sources to target weights as a min-cost flow.
 
-Documents are summed up by membership pattern, the set of sources they belong to. Words
-flow from patterns to the quotas of their sources; each further pass over a pattern costs
-more per word than the one before, so that sources which share documents are filled with
-as little repetition as possible. The flow says how many words each pattern gives: some
-full passes over all its documents, and a rest that is filled with documents in a seeded
-order. Only sums per pattern reach the driver, never documents.
+Documents are summed up by membership pattern, the set of sources that have their text. Words
+flow from patterns to the quotas of their sources; each further pass over the texts of a
+pattern, from whichever source, costs more per word than the one before, so that sources
+which share texts are filled with as little repetition as possible. The flow says how many
+words each pattern gives to each of its sources: some full passes over its documents there,
+and a rest that is filled with documents in a seeded order. Only sums per pattern reach the
+driver, never documents.
 """
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from verdictflow.llm import common
 from verdictflow.llm.common import free_name
 from verdictflow.session import stage
 
 #: Fixed weights of sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
-#: Price per word of the first, second and third pass: convex, so early passes fill first.
-PASS_COSTS = (1, 3, 9)
+#: A pass costs so many times the one before: convex, so early passes fill first.
+PASS_PRICE = 3
+#: Passes over texts with very many copies that have a price of their own.
+LAST_PASS = 12
 SEED = 11
 #: More patterns than this are refused: their sums are solved on the driver.
 MAX_PATTERNS = 100_000
@@ -58,49 +60,60 @@ def targets_for(sizes: dict, total: int, passes: int = MAX_PASSES, weights=WEIGH
     return targets
 
 
-@dataclass
-class _Arc:
-    to: int
-    room: int
-    cost: int
-    back: int
-
-
 class _Flow:
-    """Min-cost flow by shortest augmenting paths."""
+    """The largest flow from node 0 to node 1, by blocking flows in layers."""
 
     def __init__(self, nodes):
         self.out = [[] for _ in range(nodes)]
-
-    def add(self, a, b, room, cost):
-        self.out[a].append(_Arc(b, room, cost, len(self.out[b])))
-        self.out[b].append(_Arc(a, 0, -cost, len(self.out[a]) - 1))
-        return a, len(self.out[a]) - 1
-
-    def _shortest(self, start):
-        cost, via, waiting = {start: 0}, {}, [start]
-        while waiting:
-            again = []
-            for a in waiting:
-                for k, arc in enumerate(self.out[a]):
-                    if arc.room > 0 and cost[a] + arc.cost < cost.get(arc.to, float("inf")):
-                        cost[arc.to] = cost[a] + arc.cost
-                        via[arc.to] = (a, k)
-                        again.append(arc.to)
-            waiting = list(dict.fromkeys(again))
-        return via
-
-    def run(self, start, end):
-        while end in (via := self._shortest(start)):
-            path, at = [], end
-            while at != start:
-                a, k = via[at]
-                path.append(self.out[a][k])
-                at = a
-            room = min(arc.room for arc in path)
-            for arc in path:
-                arc.room -= room
-                self.out[arc.to][arc.back].room += room
+        self.to, self.room = [], []
+
+    def add(self, a, b, room) -> int:
+        """An arc; the next number is its way back."""
+        for start, end, size in ((a, b, room), (b, a, 0)):
+            self.out[start].append(len(self.to))
+            self.to.append(end)
+            self.room.append(size)
+        return len(self.to) - 2
+
+    def _layers(self):
+        layer = [-1] * len(self.out)
+        layer[0], waiting = 0, [0]
+        for a in waiting:
+            for arc in self.out[a]:
+                b = self.to[arc]
+                if self.room[arc] > 0 and layer[b] < 0:
+                    layer[b] = layer[a] + 1
+                    waiting.append(b)
+        return layer
+
+    def fill(self):
+        """Send as much more as the rooms allow."""
+        while (layer := self._layers())[1] >= 0:
+            tried = [0] * len(self.out)  # arcs before are of no more use in these layers
+            path, at = [], 0
+            while True:
+                if at == 1:
+                    room = min(self.room[arc] for arc in path)
+                    for arc in path:
+                        self.room[arc] -= room
+                        self.room[arc ^ 1] += room
+                    full = next(k for k, arc in enumerate(path) if not self.room[arc])
+                    at = self.to[path[full] ^ 1]
+                    del path[full:]
+                out = self.out[at]
+                while tried[at] < len(out):
+                    arc = out[tried[at]]
+                    if self.room[arc] > 0 and layer[self.to[arc]] == layer[at] + 1:
+                        break
+                    tried[at] += 1
+                if tried[at] < len(out):
+                    path.append(out[tried[at]])
+                    at = self.to[path[-1]]
+                elif path:
+                    at = self.to[path.pop() ^ 1]
+                    tried[at] += 1
+                else:
+                    break
 
 
 def _components(patterns: list[list]) -> list[list[int]]:
@@ -122,23 +135,47 @@ def _components(patterns: list[list]) -> list[list[int]]:
     return list(groups.values())
 
 
-def route(patterns: list[list], sizes: list[int], targets: dict, costs=PASS_COSTS) -> list[int]:
-    """Words that each pattern gives so that the quotas are filled at the least cost."""
-    given = [0] * len(patterns)
+def pass_costs(words: int, distinct: int) -> list[tuple[int, int]]:
+    """(room, price per word) of each pass over `distinct` words, until `words` are there.
+
+    The last pass of LAST_PASS takes all that is left.
+    """
+    rooms = []
+    while words > 0 and distinct > 0 and len(rooms) < LAST_PASS:
+        rooms.append((min(distinct, words), PASS_PRICE ** len(rooms)))
+        words -= distinct
+    return rooms + ([(words, PASS_PRICE**LAST_PASS)] if words > 0 else [])
+
+
+def route(patterns: list[dict], distinct: list[int], targets: dict, passes=MAX_PASSES) -> list[dict]:
+    """Words that each pattern gives to each of its sources, so that the quotas fill at the least cost.
+
+    A pattern is the words that its texts have in each source, copies included; `distinct` counts
+    each text once. A text costs more the more often it is taken from whatever source, so sources
+    that share texts take those that no other has first. Only what leaves the start has a price, and
+    what has left it is never taken back; so the least cost is found by opening the passes
+    in the order of their price, and filling the network after each.
+    """
+    given = [dict.fromkeys(members, 0) for members in patterns]
     for group in _components([[("source", s) for s in members] for members in patterns]):
-        sources = list(dict.fromkeys(s for i in group for s in patterns[i]))
-        first_source = 2 + len(group)
-        flow = _Flow(first_source + len(sources))
-        tiers = {}
+        place = {s: k for k, s in enumerate(dict.fromkeys(s for i in group for s in patterns[i]), 2 + len(group))}
+        flow = _Flow(2 + len(group) + len(place))
+        arcs, rooms, begin = {}, {}, {}
         for node, i in enumerate(group, 2):
-            tiers[i] = [flow.add(0, node, sizes[i], cost) for cost in costs]
-            for s in patterns[i]:
-                flow.add(node, first_source + sources.index(s), len(costs) * sizes[i], 0)
-        for k, s in enumerate(sources):
-            flow.add(first_source + k, 1, round(targets[s]), 0)
-        flow.run(0, 1)
-        for i in group:
-            given[i] = sum(sizes[i] - flow.out[a][k].room for a, k in tiers[i])
+            rooms[i] = pass_costs(passes * sum(patterns[i].values()), distinct[i])
+            begin[i] = flow.add(0, node, 0)
+            for s, size in patterns[i].items():
+                arcs[i, s] = flow.add(node, place[s], passes * size)
+        for s, node in place.items():
+            flow.add(node, 1, round(targets[s]))
+        for k in range(LAST_PASS + 1):
+            opened = [i for i in group if k < len(rooms[i])]
+            for i in opened:
+                flow.room[begin[i]] += rooms[i][k][0]
+            if opened:
+                flow.fill()
+        for (i, s), arc in arcs.items():
+            given[i][s] = flow.room[arc ^ 1]
     return given
 
 
@@ -220,86 +257,125 @@ def _draw(doc_id: Column, text: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id, text, F.length(text)), 1)
 
 
-def _members(sources: Column) -> Column:
-    return F.array_sort(F.array_distinct(sources))
+def _text_key(text: Column) -> Column:
+    """128 bits that equal texts share; NULL is empty."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.struct(F.xxhash64(whole).alias("a"), F.xxhash64(F.lit(1), whole).alias("b"))
 
 
-def sized(docs: DataFrame, members: Column, text="text", doc_id="doc_id", seed=SEED) -> DataFrame:
-    """`doc_id, members, size, draw` of each row."""
+def sized(docs: DataFrame, source="source", text="text", doc_id="doc_id", seed=SEED) -> DataFrame:
+    """`doc_id, source, text_key, size, draw` of each row."""
     return docs.select(
         F.col(doc_id).alias("doc_id"),
-        _members(members).alias("members"),
+        F.col(source).alias("source"),
+        _text_key(F.col(text)).alias("text_key"),
         word_size(F.col(text)).alias("size"),
         _draw(F.col(doc_id), F.col(text), seed).alias("draw"),
     )
 
 
-def solve(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The mix of a `sized` table.
+def memberships(table: DataFrame) -> DataFrame:
+    """`key, members, copies, words` of each distinct text: the sources that have it, NULL as the last.
 
-    Returns `members, passes, ranges`, one row per pattern, and the quotas
+    Copies are added up in each task first. A text has at most as many members as there are
+    sources.
+    """
+    texts = table.groupBy("text_key").agg(
+        F.collect_set(F.struct("source")).alias("found"), F.count("*").alias("copies"), F.max("size").alias("words")
+    )
+    members = F.array_sort(F.transform("found", lambda m: m["source"]))
+    return texts.select(F.col("text_key").alias("key"), members.alias("members"), "copies", "words")
+
+
+def with_members(rows: DataFrame, shared: DataFrame, n_rows: int) -> DataFrame:
+    """`rows` with `members`; `shared` holds the texts of several sources."""
+    found = common.join_groups(rows, shared.select("key", "members", "copies"), "text_key", "key", "copies", n_rows)
+    own = F.coalesce("members", F.array("source"))
+    return found.withColumn("members", own).drop("key", "copies")
+
+
+def solve(table: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The mix of a `sized` table with `members`, and its distinct texts.
+
+    Returns `known, known_source, passes, ranges`, one row per pattern and source, and the quotas
     `source, source_size, target`. Both are bounded by MAX_PATTERNS.
     """
     spark = table.sparkSession
-    sums = (
-        table.groupBy("members").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    )
+    sums = table.groupBy("members", "source").agg(F.sum("size").alias("size"))
+    sums = sums.limit(MAX_PATTERNS + 1).collect()
     if len(sums) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    order = sorted(sums, key=lambda r: [(s is None, str(s)) for s in r["members"]])
-    patterns, sizes = [list(r["members"]) for r in order], [r["size"] for r in order]
+    # No more patterns than above.
+    once = texts.groupBy("members").agg(F.sum("words").alias("words")).collect()
+    distinct = {tuple(r["members"]): r["words"] for r in once}
+    by_pattern: dict = {}
+    last = lambda s: (s is None, str(s))
+    for r in sorted(sums, key=lambda r: ([last(s) for s in r["members"]], last(r["source"]))):
+        by_pattern.setdefault(tuple(r["members"]), {})[r["source"]] = r["size"]
     by_source: dict = {}
-    for group, size in zip(patterns, sizes):
-        for s in group:
+    for sizes in by_pattern.values():
+        for s, size in sizes.items():
             by_source[s] = by_source.get(s, 0) + size
-    targets = targets_for(by_source, sum(sizes))
-    given = route(patterns, sizes, targets)
+    targets = targets_for(by_source, sum(by_source.values()))
+    given = route(list(by_pattern.values()), [distinct[p] for p in by_pattern], targets)
 
-    kind = dict(table.dtypes)["members"]
+    kind, element = dict(table.dtypes)["members"], dict(table.dtypes)["source"]
+    pairs = [(p, s, words[s], sizes[s]) for (p, sizes), words in zip(by_pattern.items(), given) for s in sizes]
     known = spark.createDataFrame(
-        [(p, i) for i, p in enumerate(patterns)], f"known {kind}, pattern int"
+        [(list(p), s, i) for i, (p, s, _, _) in enumerate(pairs)], f"known {kind}, known_source {element}, pattern int"
+    )
+    numbered = table.join(F.broadcast(known), _same_pattern())
+    rows = choose_ranges(
+        numbered, {i: pair[2] for i, pair in enumerate(pairs)}, {i: pair[3] for i, pair in enumerate(pairs)}
     )
-    numbered = table.join(F.broadcast(known), F.col("members").eqNullSafe(F.col("known")))
-    rows = choose_ranges(numbered, dict(enumerate(given)), dict(enumerate(sizes)))
     ranges = spark.createDataFrame(
-        [(patterns[p], passes, taken) for p, passes, taken in rows],
-        f"known {kind}, passes long, ranges array<struct<low:long,high:long,most:long>>",
+        [(list(pairs[i][0]), pairs[i][1], passes, taken) for i, passes, taken in rows],
+        f"known {kind}, known_source {element}, passes long, ranges array<struct<low:long,high:long,most:long>>",
     )
-    element = kind[len("array<") : -1]
     quotas = spark.createDataFrame(
-        [(s, by_source[s], targets[s]) for s in by_source],
-        f"source {element}, source_size long, target double",
+        [(s, by_source[s], targets[s]) for s in by_source], f"source {element}, source_size long, target double"
     )
     return ranges, quotas
 
 
+def _same_pattern() -> Column:
+    return F.col("members").eqNullSafe(F.col("known")) & F.col("source").eqNullSafe(F.col("known_source"))
+
+
 def _with_repeats(rows: DataFrame, ranges: DataFrame, name: str) -> DataFrame:
     """Adds how often a row is taken. `ranges` has at most MAX_PATTERNS rows."""
     chosen = F.exists(
         "ranges",
         lambda r: F.col("draw").between(r["low"], r["high"]) & F.col("size").between(1, r["most"]),
     )
-    joined = rows.join(F.broadcast(ranges), F.col("members").eqNullSafe(F.col("known")), "left")
+    joined = rows.join(F.broadcast(ranges), _same_pattern(), "left")
     return joined.withColumn(
         name, F.coalesce(F.col("passes") + chosen.cast("long"), F.lit(0).cast("long"))
-    ).drop("known", "passes", "ranges")
+    ).drop("known", "known_source", "passes", "ranges")
+
+
+def _solved(docs, source, text, doc_id, seed):
+    """The sized table with members, the shared texts, their number of rows, ranges and quotas."""
+    table = stage(sized(docs, source, text, doc_id, seed), "mix-sizes")
+    texts = stage(memberships(table), "mix-texts")
+    shared = stage(texts.filter(F.size("members") > 1), "mix-shared")
+    n_rows = table.count()
+    table = with_members(table, shared, n_rows)
+    return table, shared, n_rows, *solve(table, texts)
 
 
-def mix(
-    docs: DataFrame, members: Column, text="text", doc_id="doc_id", seed=SEED
-) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, source="source", text="text", doc_id="doc_id", seed=SEED) -> tuple[DataFrame, DataFrame]:
     """How often each document is taken, and the quotas.
 
-    `members` is the array of sources of a row; NULL is a source too. Returns
-    `doc_id, members, size, repeats`, one row per row of `docs`, and
-    `source, source_size, target`. Rows equal in id and text are taken or left together. A
-    document without words is repeated with the full passes only; one without sources is
-    never taken. With no documents both are empty.
+    A text is a member of every source that has a row with it; NULL is a source too. Returns
+    `doc_id, source, members, size, repeats`, one row per row of `docs`, and
+    `source, source_size, target`. What a row gives counts for its own source. Rows equal in
+    id and text, and of one source, are taken or left together. A document without words is
+    repeated with the full passes only. With no documents both are empty.
     """
-    table = stage(sized(docs, members, text, doc_id, seed), "mix-sizes")
-    ranges, quotas = solve(table)
+    table, _, _, ranges, quotas = _solved(docs, source, text, doc_id, seed)
     chosen = _with_repeats(table, ranges, "repeats")
-    return chosen.select("doc_id", "members", "size", "repeats"), quotas
+    return chosen.select("doc_id", "source", "members", "size", "repeats"), quotas
 
 
 def mixed_documents(
@@ -308,15 +384,17 @@ def mixed_documents(
     """The documents that the mix takes, each once, with the number of its `repeats`.
 
     All columns of `docs` stay; if one is called `repeats`, the new column gets an
-    underscore in front. Texts are not shuffled: a row is taken by its own draw.
+    underscore in front. A row is taken by its own draw. Only the texts of several sources
+    are looked up, and of these the hash; if there are few, no text is shuffled. A NULL or
+    empty text is taken with full passes only; a NULL source is a source.
     """
-    table = stage(sized(docs, F.array(F.col(source)), text, doc_id, seed), "mix-sizes")
-    ranges, _ = solve(table)
+    _, shared, n_rows, ranges, _ = _solved(docs, source, text, doc_id, seed)
     whole = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("doc"),
-        _members(F.array(docs[source])).alias("members"),
+        docs[source].alias("source"),
+        _text_key(docs[text]).alias("text_key"),
         word_size(docs[text]).alias("size"),
         _draw(docs[doc_id], docs[text], seed).alias("draw"),
     )
-    taken = _with_repeats(whole, ranges, "repeats").filter(F.col("repeats") > 0)
+    taken = _with_repeats(with_members(whole, shared, n_rows), ranges, "repeats").filter(F.col("repeats") > 0)
     return taken.select("doc.*", F.col("repeats").alias(free_name(docs, "repeats")))

@@ -95,7 +95,7 @@ with d as (
 ), hits as (
   select doc_id, count(distinct n) n_hit from found, unnest(range(pos, pos + size)) t(n) group by doc_id
 ), ids as (
-  select doc_id, count(*) n_items, string_agg(item, ',' order by item) items
+  select doc_id, count(item) n_items, string_agg(item, ',' order by item) items
   from (select distinct doc_id, cast(item_id as varchar) item from found) group by doc_id
 )
 select d.doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,

@@ -117,17 +117,17 @@ def op9_secret_scan(spark, d):
 
 def op10_mix(spark, d):
     """How many words of each document the mix takes."""
-    chosen, quotas = mixing.mix(read(spark, d, "documents"), F.array("source"))
+    chosen, quotas = mixing.mix(read(spark, d, "documents"))
     # One row per source.
-    quotas = F.broadcast(quotas)
-    source = F.get("members", F.lit(0))
-    return chosen.join(quotas, source.eqNullSafe(F.col("source"))).select(
+    quotas = F.broadcast(quotas.withColumnRenamed("source", "of_source"))
+    return chosen.join(quotas, F.col("source").eqNullSafe(F.col("of_source"))).select(
         "doc_id",
         "size",
         "source_size",
         "target",
         (F.col("size") * F.col("repeats")).alias("taken"),
         "source",
+        "members",
         "repeats",
     )
 

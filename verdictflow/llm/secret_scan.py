@@ -16,6 +16,7 @@ Offsets count code points, the end is exclusive. Everything is DataFrame code.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from verdictflow.llm import common
 from verdictflow.session import stage
 
 #: Kinds in the order of equal starts. The first three stand alone, the others are linked.
@@ -53,37 +54,28 @@ def _parts(kind: str) -> Column:
     add up to offsets.
     """
     found, text = F.col(f"found_{kind}"), F.col("whole")
-    between = F.split(text, PATTERNS[kind], -1)
-    pairs = F.arrays_zip(
-        F.transform(F.slice(between, 1, F.size(found)), F.length).alias("gap"),
-        F.transform(found, F.length).alias("size"),
-    )
-    rank = KINDS.index(kind)
-    none = F.array().cast(f"array<{PART}>")
-    start = F.struct(none.alias("parts"), F.lit(0).alias("at"))
-
-    def step(done, pair):
-        begin = done["at"] + pair["gap"]
-        part = F.struct(
-            begin.alias("start"), F.lit(rank).alias("rank"), (begin + pair["size"]).alias("end")
+    gaps = F.transform(F.slice(F.split(text, PATTERNS[kind], -1), F.lit(1), F.size(found)), F.length)
+    sizes = F.transform(found, F.length)
+    both = F.zip_with(gaps, sizes, lambda gap, size: gap + size)
+    before = common.running(both, lambda a, b: a + b, F.lit(0))
+    columns = [before.alias("before"), gaps.alias("gap"), sizes.alias("size"), found.alias("match")]
+    if kind == "assign":
+        columns.append(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(2)).alias("value"))
+    rows = F.arrays_zip(*columns)
+    if kind == "assign":
+        rows = F.filter(rows, lambda r: F.length(r["value"]) >= LEAST_VALUE)
+    if kind == "secret":  # lower and upper case letters and digits
+        rows = F.filter(
+            rows, lambda r: r["match"].rlike("[a-z]") & r["match"].rlike("[A-Z]") & r["match"].rlike("[0-9]")
         )
+
+    def part(r):
+        start = r["before"] + r["gap"]
         return F.struct(
-            F.concat(done["parts"], F.array(part)).alias("parts"),
-            (begin + pair["size"]).alias("at"),
+            start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (start + r["size"]).alias("end")
         )
 
-    parts = F.aggregate(pairs, start, step, lambda done: done["parts"])
-    if kind == "assign":
-        values = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(2))
-        long = F.transform(values, lambda v: F.length(v) >= LEAST_VALUE)
-        parts = F.filter(parts, lambda p, i: F.get(long, i))
-    if kind == "secret":  # lower and upper case letters and digits
-        piece = lambda p: F.substr(text, p["start"] + 1, p["end"] - p["start"])
-        parts = F.filter(
-            parts,
-            lambda p: piece(p).rlike("[a-z]") & piece(p).rlike("[A-Z]") & piece(p).rlike("[0-9]"),
-        )
-    return F.when(F.size(found) > 0, parts).otherwise(none)
+    return F.when(F.size(found) > 0, F.transform(rows, part)).otherwise(F.array().cast(f"array<{PART}>"))
 
 
 def _near(kinds: list[str], reach: int) -> Column:
@@ -125,6 +117,52 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text, F.length(text))
 
 
+def _matched(rows: DataFrame, kept: list[str]) -> DataFrame:
+    """`kept` columns of `rows` (doc_id, whole and others) with `text_key, base, weak`."""
+    found = rows.select(
+        *kept, "doc_id", "whole", *[F.regexp_extract_all("whole", F.lit(p), F.lit(0)).alias(f"found_{k}") for k, p in PATTERNS.items()]
+    )
+    return found.select(
+        *kept,
+        "doc_id",
+        text_key(F.col("whole")).alias("text_key"),
+        F.concat(*[_parts(k) for k in BASE]).alias("base"),
+        F.concat(*[_parts(k) for k in KINDS if k not in BASE]).alias("weak"),
+    )
+
+
+def _may_link() -> Column:
+    """False for texts that lack a part that any of their weak parts needs, wherever it may be."""
+
+    def has(parts, *kinds):
+        ranks = [KINDS.index(k) for k in kinds]
+        return F.exists(parts, lambda p: p["rank"].isin(ranks))
+
+    access, endpoint = has("base", "access"), has("weak", "endpoint")
+    any_secret = has("base", "assign", "hex") | has("weak", "secret")
+    return (
+        (has("weak", "secret") & (access | endpoint))
+        | (has("weak", "login") & any_secret & endpoint)
+        | (endpoint & access & any_secret)
+    )
+
+
+def _with_spans(found: DataFrame, kept: list[str], reach: int) -> DataFrame:
+    """`kept` columns, `base` and `spans` of a stored table of matched texts.
+
+    Only offsets of texts whose parts may link are dealt, and these texts' rows.
+    """
+    may_link = found.filter(_may_link())
+    parts = may_link.select("doc_id", "text_key", F.explode(F.concat("base", "weak")).alias("part")).distinct()
+    linked = linked_parts(parts, reach).groupBy("doc_id", "text_key").agg(F.collect_list("part").alias("linked"))
+    linked = linked.withColumnsRenamed({"doc_id": "linked_id", "text_key": "linked_key"})
+    same = F.col("doc_id").eqNullSafe(F.col("linked_id")) & (F.col("text_key") == F.col("linked_key"))
+    spans = F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(f"array<{PART}>"))))
+    columns = [*kept, "text_key", F.array_sort("base").alias("base")]
+    alone = found.filter(~_may_link()).select(*columns, F.array_sort("base").alias("spans"))
+    return alone.unionByName(may_link.join(linked, same, "left").select(*columns, spans.alias("spans")))
+
+
 def scan(docs: DataFrame, text="text", doc_id="doc_id", reach: int = REACH) -> DataFrame:
     """The spans of each row: `doc_id, text_key, base, spans`.
 
@@ -133,41 +171,9 @@ def scan(docs: DataFrame, text="text", doc_id="doc_id", reach: int = REACH) -> D
     one row per input row; repeated rows have equal spans. A NULL text is empty; a NULL id
     is an id of its own. `text_key` tells texts under one id apart.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    matched = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        whole.alias("whole"),
-        *[F.regexp_extract_all(whole, F.lit(p), F.lit(0)).alias(f"found_{k}") for k, p in PATTERNS.items()],
-    )
-    found = matched.select(
-        "doc_id",
-        text_key(F.col("whole")).alias("text_key"),
-        F.concat(*[_parts(k) for k in BASE]).alias("base"),
-        F.concat(*[_parts(k) for k in KINDS if k not in BASE]).alias("weak"),
-    )
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("whole"))
     # The patterns run once over the texts; from here on there are only offsets.
-    found = stage(found, "secret-parts")
-    parts = (
-        found.filter(F.size("weak") > 0)
-        .select("doc_id", "text_key", F.explode(F.concat("base", "weak")).alias("part"))
-        .distinct()
-    )
-    linked = linked_parts(parts, reach).groupBy("doc_id", "text_key").agg(
-        F.collect_list("part").alias("linked")
-    )
-    linked = linked.withColumnsRenamed({"doc_id": "linked_id", "text_key": "linked_key"})
-    joined = found.join(
-        linked,
-        F.col("doc_id").eqNullSafe(F.col("linked_id")) & (F.col("text_key") == F.col("linked_key")),
-        "left",
-    )
-    none = F.array().cast(f"array<{PART}>")
-    return joined.select(
-        "doc_id",
-        "text_key",
-        F.array_sort("base").alias("base"),
-        F.array_sort(F.concat("base", F.coalesce("linked", none))).alias("spans"),
-    )
+    return _with_spans(stage(_matched(rows, []), "secret-parts"), ["doc_id"], reach)
 
 
 def listed(parts: Column) -> Column:
@@ -183,32 +189,20 @@ def count_of(parts: Column, kind: str) -> Column:
 
 def masked(text: Column, spans: Column, mask="[SECRET]") -> Column:
     """`text` with each reported span replaced by `mask`; overlapping spans make one."""
-    begin = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-
-    def step(state, p):
-        gap = F.when(
-            p["start"] >= state["at"],
-            F.concat(
-                F.substr(text, state["at"] + 1, p["start"] - state["at"]), F.lit(mask)
-            ),
-        ).otherwise("")
-        return F.struct(
-            F.concat(state["done"], gap).alias("done"),
-            F.greatest(state["at"], p["end"]).alias("at"),
-        )
+    return common.without(text, spans, "start", "end", mask)
+
+
+def redact(docs: DataFrame, text="text", doc_id="doc_id", mask="[SECRET]", reach: int = REACH) -> DataFrame:
+    """`docs` with every reported span of `text` masked; rows and columns stay.
 
-    finish = lambda state: F.concat(state["done"], F.substr(text, state["at"] + 1))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, begin, step, finish)).otherwise(text)
-
-
-def redact(docs: DataFrame, text="text", doc_id="doc_id", mask="[SECRET]") -> DataFrame:
-    """`docs` with every reported span of `text` masked; rows and columns stay."""
-    whole = F.coalesce(docs[text], F.lit(""))
-    found = scan(docs.select(text, doc_id), text, doc_id).filter(F.size("spans") > 0)
-    found = found.groupBy("doc_id", "text_key").agg(F.first("spans").alias("spans"))
-    found = found.toDF("found_id", "found_key", "found_spans")
-    same = docs[doc_id].eqNullSafe(found["found_id"]) & (text_key(whole) == found["found_key"])
-    joined = docs.join(found, same, "left")
-    spans = found["found_spans"]
-    new = F.when(spans.isNull(), docs[text]).otherwise(masked(docs[text], spans))
-    return joined.select(*[new.alias(c) if c == text else docs[c] for c in docs.columns])
+    A NULL text stays NULL, an empty one empty; repeated rows are masked alike, and a NULL id is an
+    id of its own. Matched texts are written once; only those are dealt whose parts may link.
+    """
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("doc"),
+        docs[doc_id].alias("doc_id"),
+        F.coalesce(docs[text], F.lit("")).alias("whole"),
+    )
+    found = _with_spans(stage(_matched(rows, ["doc"]), "matched-texts"), ["doc"], reach)
+    new = masked(F.col("doc")[text], F.col("spans"))
+    return found.select(*[new.alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns])

@@ -384,7 +384,11 @@ def score(
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text="text", doc_id="doc_id") -> DataFrame:
-    """The rows of `docs` that are not rejected; columns stay."""
+    """The rows of `docs` that are not rejected; columns stay.
+
+    A NULL or empty text is scored as one without toxic words. Repeated rows go or stay together.
+    Without labels of both kinds nothing is rejected.
+    """
     name = common.free_name(docs, "toxicity")
     field = train(training_sample(docs, labels, text, doc_id))
     return score(docs, field, name, text).filter(F.col(name)["predicted"] == 0).drop(name)

@@ -2,8 +2,9 @@
 
 The key of a host and path is the host's labels in reverse, a slash, and the path. A rule
 for a host covers the keys that start with its own key, an interval in the order of keys.
-Because a rule also covers subdomains, a url stands in the sweep once for each suffix of
-its host, so that one interval per rule is enough.
+Because a rule also covers subdomains, a url has a key for each suffix of its host, so that
+one interval per rule is enough. Each distinct key is swept once, however many urls have it;
+those that a rule covers are joined back to their urls.
 
 Rules and url keys are sorted together into ranges of keys. In each range a window in key
 order keeps the stack of rules that are open: the slot of a nesting depth holds the latest
@@ -14,7 +15,7 @@ the prefixes of the range's first key. Everything is DataFrame code.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from verdictflow.llm.common import LOWER, UPPER
+from verdictflow.llm.common import LOWER, UPPER, join_groups
 from verdictflow.session import stage
 
 RULES = "host string, path string, verdict string"
@@ -83,13 +84,13 @@ def rule_table(rules: DataFrame) -> DataFrame:
 
 
 def _sweep(points: DataFrame, rules: DataFrame, max_depth: int) -> DataFrame:
-    """The longest rule whose key is a prefix of each point's key: adds `hit`, or NULL."""
+    """The longest rule whose key is a prefix of each point (`key, n`): adds `hit`, or NULL."""
     nothing = F.lit(None).cast("struct<key:string,rule:string,size:int,verdict:string,depth:int>")
     spark = points.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rule = F.struct("key", "rule", "size", "verdict", "depth")
-    events = rules.select("key", rule.alias("rule"), F.lit(None).cast("struct<host:string,path:string>").alias("url"))
-    events = events.unionByName(points.select("key", nothing.alias("rule"), "url"))
+    events = rules.select("key", rule.alias("rule"), F.lit(None).cast("long").alias("n"))
+    events = events.unionByName(points.select("key", nothing.alias("rule"), "n"))
     # Written once, so that every reader sees the same ranges.
     dealt = events.repartitionByRange(ranges, "key").withColumn("range", F.spark_partition_id())
     dealt = stage(dealt, "url-events")
@@ -98,7 +99,7 @@ def _sweep(points: DataFrame, rules: DataFrame, max_depth: int) -> DataFrame:
     reaching = (
         first.select("range", F.explode(_prefixes(F.col("first_key"))).alias("key"))
         .join(rules, "key")
-        .select("key", rule.alias("rule"), F.lit(None).cast("struct<host:string,path:string>").alias("url"), "range")
+        .select("key", rule.alias("rule"), F.lit(None).cast("long").alias("n"), "range")
     )
     # In key order, and a rule before the urls that have the very key of the rule.
     order = Window.partitionBy("range").orderBy("key", F.col("rule").isNull())
@@ -111,8 +112,8 @@ def _sweep(points: DataFrame, rules: DataFrame, max_depth: int) -> DataFrame:
         F.when(F.startswith(F.col("key"), F.col(slot)["key"]), F.col(slot))
         for slot in reversed(slots)
     ]
-    return swept.filter(F.col("url").isNotNull()).select(
-        "url", (F.coalesce(*still_open) if still_open else nothing).alias("hit")
+    return swept.filter(F.col("n").isNotNull()).select(
+        "key", "n", (F.coalesce(*still_open) if still_open else nothing).alias("hit")
     )
 
 
@@ -136,8 +137,17 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url="url", default="allow") -
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.slice(labels, 1, n))
     points = urls.select(F.struct("host", "path").alias("url"), F.explode(suffixes).alias("labels"))
     points = points.select("url", _key(F.col("labels"), F.col("url.path")).alias("key"))
-    best = F.max_by("hit", F.struct(F.col("hit.size"), F.length(F.substring_index("hit.key", "/", 1))))
-    judged = _sweep(points, table, max_depth).groupBy("url").agg(best.alias("hit"))
+    points = stage(points, "url-keys")
+    keys = points.groupBy("key").agg(F.count("*").alias("n"))
+    swept = stage(_sweep(keys, table, max_depth), "url-hits").filter(F.col("hit").isNotNull())
+    hits = swept.withColumnRenamed("key", "hit_key")
+    found = join_groups(points, hits, "key", "hit_key", "n", points.count(), "inner")
+    found = found.select("url", "hit").unionByName(
+        urls.select(F.struct("host", "path").alias("url"), F.lit(None).cast(dict(hits.dtypes)["hit"]).alias("hit"))
+    )
+    longest = F.struct(F.col("hit.size"), F.length(F.substring_index("hit.key", "/", 1)))
+    best = F.max_by("hit", F.when(F.col("hit").isNotNull(), longest))
+    judged = found.groupBy("url").agg(best.alias("hit"))
     return judged.select(
         "url.host",
         "url.path",
