@@ -32,7 +32,7 @@ _rng = np.random.default_rng(SEED)
 _HASHES = BANDS * BAND_VALUES
 _MULTIPLY = _rng.integers(1, 1 << 63, (_HASHES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, (_HASHES, 1), dtype=np.uint64)
-_WORD_CACHE = 300_000
+_WORD_CACHE = 100_000
 _CHUNK = 1_024
 
 

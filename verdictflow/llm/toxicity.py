@@ -40,7 +40,8 @@ LEAST_SHARE = 0.01
 LEAST_DOCS = 4
 PURITY = 0.98
 REJECT = 0.3
-_CACHE = 400_000
+#: Words whose emission a Python worker keeps; beyond that it starts anew.
+_CACHE = 120_000
 #: Texts of the training sample that are scored together.
 _TOGETHER = 50
 
