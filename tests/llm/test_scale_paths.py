@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import difference, duck
-from verdictflow.llm import common, decontaminate, lang_id, mixing, secret_scan, toxicity, url_filter
+from verdictflow.llm import common, decontaminate, jaccard_join, lang_id, mixing, secret_scan, toxicity, url_filter
 from verdictflow.llm.oracle import ORACLES
 from verdictflow.llm.queries import QUERIES
 
@@ -243,3 +243,21 @@ def test_samples_take_whole_texts_or_seeded_parts_of_long_ones(spark, monkeypatc
     found = dict((lang, text) for text, lang in lang_id.training_sample(kinds))
     assert found.get("y") == "cd" and None not in found
     assert 0 < len(found["x"]) < 20 * lang_id.WINDOW and set(found["x"]) == set("ab ")
+
+
+# Near copies
+
+
+def test_near_copies_with_one_id_leave_one_row(spark):
+    words = [f"word{i}" for i in range(120)]
+    text = " ".join(words)
+    rows = [(1, text), (1, text + " more"), (2, text + " other"), (1, "apart from all others here"), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = jaccard_join.keep_one_of_each(docs).collect()
+    near = [r for r in kept if r.text and r.text.startswith("word0")]
+    assert len(near) == 1 and near[0].doc_id == 1
+    assert sorted((r.doc_id, r.text or "") for r in kept if r not in near) == [
+        (1, "apart from all others here"),
+        (3, ""),
+        (4, ""),
+    ]
