@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -65,6 +66,16 @@ def test_features_count_each_id_once(spark):
         assert [tuple(f) for f in row.features] == list(plain_features(text).items())
 
 
+def test_features_of_a_long_text_take_linear_time(spark):
+    text = " ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(60_000))
+    posts = spark.createDataFrame([("1", text, 1)], SCHEMA)
+    logistic.with_features(posts.limit(0)).collect()
+    began = time.monotonic()
+    (row,) = logistic.with_features(posts).collect()
+    assert time.monotonic() - began < 15
+    assert [tuple(f) for f in row.features] == list(plain_features(text).items())
+
+
 def test_training_equals_the_plain_computation(spark):
     settings = {"none": (0.0, 0.0), "ridge": (0.05, 0.0), "lasso": (0.02, 1.0), "both": (0.05, 0.5)}
     rows = logistic.with_features(spark.createDataFrame(POSTS, SCHEMA))

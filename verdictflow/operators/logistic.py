@@ -40,14 +40,15 @@ def with_features(posts: DataFrame, text_col="combined_text", max_words=None) ->
     ends = F.slice("_starts", 2, F.greatest(F.size("_starts") - 1, F.lit(0)))
     rows = rows.withColumn("_counts", F.zip_with(F.slice("_starts", 1, F.size("_starts") - 1), ends, _count))
     squares = F.aggregate("_counts", F.lit(0).cast("long"), lambda s, c: s + c["n"].cast("long") * c["n"])
-    rows = rows.withColumn("_length", F.sqrt(squares.cast("double")))
 
-    def feature(c):
-        value = F.round(c["n"] * VALUE / F.col("_length")).cast("int")
+    def feature(c, length):
+        value = F.round(c["n"] * VALUE / length).cast("int")
         return F.struct(F.get("_ids", c["start"]).alias("id"), value.alias("v"))
 
     bias = F.struct(F.lit(BIAS).alias("id"), F.lit(VALUE).alias("v"))
-    features = F.concat(F.transform("_counts", feature), F.array(bias))
+    # As a column, the length would be folded into the step over the ids and summed anew for each.
+    lengths = F.array_repeat(F.sqrt(squares.cast("double")), F.size("_counts"))
+    features = F.concat(F.zip_with("_counts", lengths, feature), F.array(bias))
     return rows.select(*kept, features.alias("features"))
 
 
