@@ -281,3 +281,23 @@ def test_a_crowded_index_is_never_wrong(spark, tmp_path, make_posts, monkeypatch
     log.append(log_rows(make_posts, [(i, "t", "b", "nta", 1) for i in range(200)]))
     batch = monitor.decided_batch(make_posts([(i, "t", "b", "nta", 1) for i in range(400)]))
     assert {r.submission_id for r in monitor.unlogged(batch, log).collect()} == {str(i) for i in range(200, 400)}
+
+
+def test_a_batch_of_many_dates_makes_few_files(spark, tmp_path, make_posts):
+    log = indexed_log(spark, tmp_path)
+    rows = [(i, "t", "b", "nta", 24 * i) for i in range(400)]
+    log.append(log_rows(make_posts, rows))
+    undated = monitor.decided_batch(make_posts([(900, "t", "b", "nta", 0)])).withColumn("post_date", F.lit(None).cast("date"))
+    log.append(unscored(undated, DAILY_LOG))
+    log.append(log_rows(make_posts, [(500, "t", "b", "nta", 24)]))
+    assert len(list(tmp_path.rglob("*.parquet"))) < 60
+    assert log.read().count() == 402 and log.read().schema.fieldNames() == DAILY_LOG.fieldNames()
+    batch = monitor.decided_batch(make_posts([(1, "t", "b", "nta", 24), (3, "t", "b", "nta", 48), (4, "t", "b", "nta", 20_000)]))
+    assert sorted(r.submission_id for r in log.read_dates_of(batch).collect()) == ["1", "2", "500"]
+    assert "PartitionFilters: []" not in plan_of(log.read_dates_of(batch))
+    assert sorted(r.submission_id for r in monitor.unlogged(batch, log).collect()) == ["3", "4"]
+    assert [r.submission_id for r in log.read_dates_of(undated).collect()] == ["900"]
+    assert monitor.unlogged(undated, log).count() == 0
+    everything = monitor.decided_batch(make_posts(rows))
+    assert monitor.unlogged(everything, tables.daily_log(spark, str(tmp_path))).count() == 0
+    assert sorted(r.post_date.day for r in scans.last_days(log.read(), "2024-01-06", 3).collect()) == [4, 5, 6]

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdictflow.schemas import DAILY_LOG, HISTORY, OUTBOX, PENDING, RESOLVED
+from verdictflow.session import stage
 from verdictflow.sources.files import child_names, create, exists, make_folder, modified, move, remove
-from verdictflow.sources.id_index import IdIndex
+from verdictflow.sources.id_index import MONTH, IdIndex, month_of
 from verdictflow.sources.scans import empty, read_if_exists
 
 
@@ -159,15 +160,31 @@ def rows_of_days(table: DataFrame, batch: DataFrame, column: str) -> DataFrame:
 class DailyLog:
     """Scored posts partitioned by post date.
 
+    A batch of more than MANY_DATES dates is laid down by month beside them, its rows in the order
+    of their dates: a folder per date would cost more than what is in it. Readers see both as one.
     With an index, kept beside it, the log is read only for ids that may be in it.
     """
 
+    MANY_DATES = 100
+
     def __init__(self, spark: SparkSession, path: str, schema=DAILY_LOG, column="post_date", indexed=False):
         self.spark, self.path, self.schema, self.column = spark, path, schema, column
-        self.index = IdIndex(spark, f"{path}_ids", column) if indexed else None
+        self.months_path = f"{path}_months"
+        self.index = IdIndex(spark, f"{path}_ids/months", column) if indexed else None
+
+    def _months(self) -> DataFrame | None:
+        if not exists(self.spark, self.months_path):
+            return None
+        schema = T.StructType([*self.schema.fields, T.StructField(MONTH, T.DateType())])
+        return self.spark.read.schema(schema).parquet(self.months_path)
+
+    def _is_there(self) -> bool:
+        return exists(self.spark, self.path) or exists(self.spark, self.months_path)
 
     def read(self) -> DataFrame:
-        return read_if_exists(self.spark, self.path, self.schema)
+        names, months = self.schema.fieldNames(), self._months()
+        dated = read_if_exists(self.spark, self.path, self.schema)
+        return dated if months is None else dated.select(*names).unionByName(months.select(*names))
 
     def read_dates_of(self, batch: DataFrame) -> DataFrame:
         """Log rows of the dates in the batch, whatever their number; NULL is a date too.
@@ -175,33 +192,46 @@ class DailyLog:
         Partitions are chosen when the query runs, from the batch's dates; nothing is
         evaluated before.
         """
-        return rows_of_days(self.read(), batch, self.column).select(*self.schema.fieldNames())
+        names, months = self.schema.fieldNames(), self._months()
+        found = rows_of_days(read_if_exists(self.spark, self.path, self.schema), batch, self.column).select(*names)
+        if months is None:
+            return found
+        days = batch.select(self.column).distinct()
+        months = rows_of_days(months, days.select(month_of(self.column)), MONTH)
+        return found.unionByName(rows_of_days(months, days, self.column).select(*names))
+
+    def _index_older(self):
+        """A log older than its index gets one."""
+        if not self.index.is_there() and self._is_there():
+            self.index.add(self.read())
 
     def may_be_known(self, batch: DataFrame) -> DataFrame | None:
         """Id and date of the batch's rows that may be logged; None if the log has no index."""
         if self.index is None:
             return None
-        if not self.index.is_there() and exists(self.spark, self.path):  # a log older than its index
-            self.index.add(self.read())
+        self._index_older()
         return self.index.may_be_known(batch, rows_of_days)
 
     def append(self, df: DataFrame, dry_run=False) -> DataFrame:
-        """Add rows to their dates.
+        """Add rows to their dates, or to their months when the dates are many.
 
-        Rebalancing gives each date few files, and splits a date that holds much of
-        the batch over several tasks.
+        Rebalancing gives each of them few files, and splits one that holds much of
+        the batch over several tasks. The rows are staged, so they are computed once.
         """
         df = df.select(*self.schema.fieldNames())
         if not dry_run:
+            rows = stage(df, "log-batch")
             if self.index is not None:
-                self.may_be_known(df.limit(0))
-                self.index.add(df)
-            (
-                df.hint("rebalance", self.column)
-                .write.mode("append")
-                .partitionBy(self.column)
-                .parquet(self.path)
-            )
+                self._index_older()
+                self.index.add(rows)
+            dates = rows.select(self.column).distinct().limit(self.MANY_DATES + 1).count()
+            if dates > self.MANY_DATES:
+                rows = rows.withColumn(MONTH, month_of(self.column)).hint("rebalance", MONTH)
+                rows = rows.sortWithinPartitions(MONTH, self.column)
+                rows.write.mode("append").partitionBy(MONTH).parquet(self.months_path)
+            else:
+                rows = rows.hint("rebalance", self.column)
+                rows.write.mode("append").partitionBy(self.column).parquet(self.path)
         return df
 
 
