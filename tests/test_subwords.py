@@ -1,6 +1,7 @@
 """Byte-pair merges and the coverage curve against plain computations."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -53,6 +54,44 @@ def test_merges_equal_the_plain_computation(spark, n, monkeypatch):
         assert t == (None if text is None else [x for w in text.split() for x in split[w]])
 
 
+@pytest.mark.parametrize("share", [1, 4, 1000])
+def test_counts_by_join_and_in_texts(spark, share, monkeypatch):
+    """Every share of frequent words gives the counts of the plain computation, and so do the merges in texts."""
+    monkeypatch.setattr(subwords, "FREQUENT_SHARE", share)
+    texts = [*TEXTS, ("6", "The the, THE lower; \u00e9t\u00e9 \U00020000\U00020000 it's"), ("6", "low 12 low"), (None, "low")]
+    posts = spark.createDataFrame(texts, "submission_id string, combined_text string")
+    plain = [(name, None if t is None else re.sub(r"[^a-z\u00e9\U00020000]+", " ", t.lower())) for name, t in texts]
+    expected, split = plain_merges(plain, 7)
+    merges, table = subwords.learn(subwords.word_table(posts), 7)
+    assert merges == expected
+    sums = Counter()
+    for name, text in plain:
+        if name is not None:
+            sums[name] += sum(len(split[w]) for w in (text or "").split())
+    counted = sorted((n or "", None if t is None else sums[n]) for n, t in texts)
+    for given in (None, merges):
+        rows = subwords.subword_counts(posts, table, merges=given).collect()
+        assert sorted((r.submission_id or "", r.n_tokens) for r in rows) == counted
+
+
+@pytest.mark.parametrize("text", ["aaaaa baaab aa", "abab ababab bab", "aabaa aab", "abcabc cabc"])
+def test_pairs_recounted_equal_those_counted_anew(spark, text):
+    table = subwords.word_table(spark.createDataFrame([("1", text)], "submission_id string, combined_text string"))
+    counts = subwords.pair_counts(table)
+    for left, right in [("a", "a"), ("a", "b"), ("b", "a")]:
+        again = table.withColumn("symbols", subwords.merged(F.col("symbols"), left, right))
+        assert {*subwords.recounted(counts, table, left, right).collect()} == {*subwords.pair_counts(again).collect()}
+
+
+def test_a_round_counts_only_words_that_hold_its_pair(spark, monkeypatch):
+    """The pairs of all words are counted once, whatever the number of rounds."""
+    calls, whole = [], subwords.pair_counts
+    monkeypatch.setattr(subwords, "pair_counts", lambda table: calls.append(1) or whole(table))
+    posts = spark.createDataFrame(TEXTS, "submission_id string, combined_text string")
+    merges, _ = subwords.learn(subwords.word_table(posts), 5)
+    assert len(merges) == 5 and len(calls) == 1
+
+
 def test_coverage_curve(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice([-2.0, 0.5, 1.5, rng.uniform(-3, 3)]), rng.choice([0.0, 1.0, 2.0, None])) for i in range(500)]
