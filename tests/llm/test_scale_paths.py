@@ -5,6 +5,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,6 +246,41 @@ def test_samples_take_whole_texts_or_seeded_parts_of_long_ones(spark, monkeypatc
     assert 0 < len(found["x"]) < 20 * lang_id.WINDOW and set(found["x"]) == set("ab ")
 
 
+# Toxicity training in blocks
+
+
+def _samples(seed=5):
+    """Texts of two labels; every toxic one has a word that the others have not."""
+    rng = random.Random(seed)
+    common_words = [f"w{i:03d}" for i in range(300)]
+    for n in range(120):
+        words = [rng.choice(common_words) for _ in range(60)]
+        if n % 2:
+            words[rng.randrange(60)] = "zzfoul"
+        yield " ".join(w + "." * (rng.random() < 0.1) for w in words), n % 2
+
+
+@pytest.mark.parametrize("most", [1, 40, 500])
+def test_training_in_blocks_equals_training_at_once(monkeypatch, most):
+    whole = toxicity.train([*_samples()])
+    monkeypatch.setattr(toxicity, "STEP_WORDS", most)
+    field = toxicity.train([*_samples()])
+    assert np.allclose(field.weights, whole.weights, rtol=1e-5, atol=1e-7) and field.solo == whole.solo
+    assert np.allclose([field.bias, *field.trans.ravel(), *field.link], [whole.bias, *whole.trans.ravel(), *whole.link])
+
+
+def test_training_never_works_on_all_words_at_once(monkeypatch):
+    """What a training step holds has a bound whatever the sample: sentences here are of 60 words at most."""
+    monkeypatch.setattr(toxicity, "STEP_WORDS", 200, raising=False)
+    sizes, plain, score = [], toxicity.marginals, toxicity.document_odds
+    monkeypatch.setattr(toxicity, "marginals", lambda e, *rest: sizes.append(len(e)) or plain(e, *rest))
+    trained = []
+    monkeypatch.setattr(toxicity, "document_odds", lambda *a: trained.append(len(sizes)) or score(*a))
+    assert toxicity.train([*_samples()]) is not None
+    of_steps = sizes[: trained[0]]
+    assert max(of_steps) <= 200 and sum(of_steps) > 60 * 1000
+
+
 # Near copies
 
 

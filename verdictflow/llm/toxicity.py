@@ -40,6 +40,8 @@ LEAST_SHARE = 0.01
 LEAST_DOCS = 4
 PURITY = 0.98
 REJECT = 0.3
+#: Words of whole sentences that a step of the training works on at once, which bounds its arrays.
+STEP_WORDS = 1 << 17
 #: Words whose emission a Python worker keeps; beyond that it starts anew.
 _CACHE = 120_000
 #: Texts of the training sample that are scored together.
@@ -181,6 +183,49 @@ def _one_of_each(samples):
     return list(kept.values())
 
 
+def _blocks(begin, end):
+    """Slices of neighbouring sentences with at most STEP_WORDS words, or of one sentence."""
+    at = 0
+    while at < len(begin):
+        to = max(at + 1, int(np.searchsorted(end, begin[at] + STEP_WORDS, side="right")))
+        yield slice(at, to)
+        at = to
+
+
+def _later(begin, n) -> np.ndarray:
+    """Places of the words that have one before them in their sentence."""
+    inner = np.ones(n, dtype=bool)
+    inner[begin] = False
+    return np.flatnonzero(inner)
+
+
+def _steps_seen(tags, begin, end, block) -> np.ndarray:
+    """How often a tag follows another in the sentences of a block."""
+    first, last = begin[block][0], end[block][-1]
+    y = tags[first:last].astype(np.int8)
+    later = _later(begin[block] - first, len(y))
+    return np.bincount(2 * y[later - 1] + y[later], minlength=4).reshape(2, 2).astype(float)
+
+
+def _gradient(emission, tags, begin, end, trans) -> tuple[np.ndarray, np.ndarray]:
+    """What each word is too toxic by, and how often a tag is expected to follow another."""
+    odds, forward, backward = marginals(emission, begin, end, trans)
+    gap = sigmoid(odds) - tags
+    # Expected steps: both tags of neighbours, in proportion to their joint weight.
+    forward += emission
+    backward += emission
+    later = _later(begin, len(emission))
+    left, right = forward[later - 1], backward[later]
+    joint = np.empty((4, len(later)))
+    for a in (0, 1):
+        for b in (0, 1):
+            joint[2 * a + b] = trans[a, b] + a * left + b * right
+    joint -= joint.max(axis=0)
+    np.exp(joint, out=joint)
+    joint /= joint.sum(axis=0)
+    return gap, joint.sum(axis=1).reshape(2, 2)
+
+
 def train(samples: list[tuple[str, int]], steps=60, rate=0.3, l2=1e-6, seed=SEED) -> Field | None:
     """A field from (text, label) pairs; None without both labels or without words."""
     samples = _one_of_each(sorted(samples))
@@ -209,59 +254,55 @@ def train(samples: list[tuple[str, int]], steps=60, rate=0.3, l2=1e-6, seed=SEED
     end = np.concatenate([stops + at for (_, _, stops), at in zip(split, offset)])
     flat = np.concatenate([ids for ids, _, _ in split])
     tags = np.concatenate([marked[ids] & (label == 1) for (ids, _, _), label in zip(split, labels)])
-    before = np.append(0, np.cumsum(tags))
+    before = np.append(0, np.cumsum(tags, dtype=np.int32))
     hot = before[end] > before[begin]
+    del before
     keep = hot | (rng.random(len(hot)) < CLEAN_PER_TOXIC * max(1, hot.sum()) / max(1, len(hot)))
     if keep.any():
         begin, end = begin[keep], end[keep]
-    index = np.concatenate([np.arange(a, b) for a, b in zip(begin, end)])
-    seen_words, word_of = np.unique(flat[index], return_inverse=True)
+    size = end - begin
+    # Every sentence's place in `flat`, word by word.
+    index = np.ones(size.sum(), dtype=np.int32)
+    at = np.cumsum(size) - size
+    index[at] = begin - np.append(0, end[:-1] - 1)
+    np.cumsum(index, dtype=np.int32, out=index)
+    tags = tags[index]
+    index = flat[index]
+    del flat
+    seen_words = np.flatnonzero(np.bincount(index, minlength=len(spelled)))
+    word_of = np.searchsorted(seen_words, index).astype(np.int32)
+    del index
     # Solo words have one cell, the rest of their row points to a cell without weight.
-    rows = [[bucket(f) for f in features(spelled[n], solo)] for n in seen_words]
-    cells = np.array([r + [BUCKETS] * (len(PREFIXES) + 2 - len(r)) for r in rows])
+    cells = np.full((len(seen_words), len(PREFIXES) + 2), BUCKETS, dtype=np.int32)
+    for row, n in zip(cells, seen_words):
+        own = [bucket(f) for f in features(spelled[n], solo)]
+        row[: len(own)] = own
     # Only the buckets in use are trained; the others stay 0. The last has no weight.
     used, cells = np.unique(np.append(cells.ravel(), BUCKETS), return_inverse=True)
-    cells = cells[:-1].reshape(len(rows), -1)
-    tags = tags[index].astype(float)
-    del flat, rows, before
-    size = end - begin
+    cells = cells[:-1].astype(np.int32).reshape(len(seen_words), -1)
     end = np.cumsum(size)
     begin = end - size
 
     # A word without known features is clean.
     weights, bias, trans = np.zeros(len(used)), np.full(1, -4.0), np.zeros((2, 2))
     adam = Adam([weights, bias, trans], rate)
-    inner = np.ones(len(index), dtype=bool)
-    inner[begin] = False
-    later = np.flatnonzero(inner)
-    y = tags.astype(int)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[later - 1], y[later]), 1)
+    blocks = list(_blocks(begin, end))
+    n = len(word_of)
+    seen = sum(_steps_seen(tags, begin, end, block) for block in blocks)
     for _ in range(steps):
         word_score = weights[cells].sum(axis=1) + bias[0]
-        emission = word_score[word_of]
-        odds, forward, backward = marginals(emission, begin, end, trans)
-        gap = sigmoid(odds) - tags
-        by_word = np.bincount(word_of, gap, len(seen_words))
+        by_word, gaps, expected = np.zeros(len(seen_words)), 0.0, np.zeros((2, 2))
+        for block in blocks:
+            first, last = begin[block][0], end[block][-1]
+            words = word_of[first:last]
+            gap, joint = _gradient(word_score[words], tags[first:last], begin[block] - first, end[block] - first, trans)
+            by_word += np.bincount(words, gap, len(seen_words))
+            gaps += gap.sum()
+            expected += joint
         grad = np.bincount(cells.ravel(), np.repeat(by_word, cells.shape[1]), len(used))
         grad[-1] = 0
-        # Expected steps: both tags of neighbours, in proportion to their joint weight.
-        forward += emission
-        backward += emission
-        left, right = forward[later - 1], backward[later]
-        del odds, forward, backward
-        joint = np.empty((4, len(later)))
-        for a in (0, 1):
-            for b in (0, 1):
-                joint[2 * a + b] = trans[a, b] + a * left + b * right
-        joint -= joint.max(axis=0)
-        np.exp(joint, out=joint)
-        joint /= joint.sum(axis=0)
-        expected = joint.sum(axis=1).reshape(2, 2)
-        n = len(index)
-        adam.step(
-            [grad / n + l2 * weights, np.array([gap.sum() / n]), (expected - seen) / n + l2 * trans]
-        )
+        adam.step([grad / n + l2 * weights, np.array([gaps / n]), (expected - seen) / n + l2 * trans])
+    del cells, word_of, tags
     table = np.zeros(BUCKETS, dtype=np.float32)
     table[used[:-1]] = weights[:-1]
     field = Field(table, float(bias[0]), trans, np.zeros(3), solo)
