@@ -281,6 +281,20 @@ def test_training_never_works_on_all_words_at_once(monkeypatch):
     assert max(of_steps) <= 200 and sum(of_steps) > 60 * 1000
 
 
+def test_texts_scored_in_pieces_of_a_batch(spark, monkeypatch):
+    """A batch of texts is scored a piece at a time, with NULL and empty texts and a text longer than a piece."""
+    field = toxicity.train([*_samples()])
+    texts = [text for text, _ in _samples(9)] + [None, "", "zzfoul", "w001 zzfoul. " * 400]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id int, text string").coalesce(1)
+    found = {}
+    for most in (10**9, 700):
+        monkeypatch.setattr(toxicity, "_PIECE_CHARS", most)
+        found[most] = sorted(toxicity.score(docs, field, "x").select("doc_id", "x.*").collect())
+    assert found[700] == found[10**9] and len(found[700]) == len(texts)
+    assert found[700][120].score == found[700][121].score and found[700][120].spans == []
+    assert [tuple(x) for x in found[700][122].spans] == [(0, 6)]
+
+
 # Near copies
 
 

@@ -58,15 +58,19 @@ def byte_words(text: str | None) -> list[bytes]:
 
 def pieces(texts, limit: int = 4_000_000):
     """Split a batch into (from, to) ranges of at most `limit` characters, or one text."""
+    yield from ranges([len(text) if text else 0 for text in texts], limit)
+
+
+def ranges(sizes: list[int], limit: int):
+    """(from, to) ranges of neighbours whose sizes add up to at most `limit`, or of one."""
     begin, size = 0, 0
-    for i, text in enumerate(texts):
-        n = len(text) if text else 0
+    for i, n in enumerate(sizes):
         if i > begin and size + n > limit:
             yield begin, i
             begin, size = i, 0
         size += n
-    if len(texts) > begin:
-        yield begin, len(texts)
+    if len(sizes) > begin:
+        yield begin, len(sizes)
 
 
 def sample_per_class(rows, label: str, per_class: int, order, counted=None):

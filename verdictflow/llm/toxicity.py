@@ -18,7 +18,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from verdictflow.llm import common
@@ -47,7 +48,16 @@ _CACHE = 120_000
 #: Texts of the training sample that are scored together.
 _TOGETHER = 50
 
+#: Characters of the texts that a Python worker scores together, or one text.
+_PIECE_CHARS = 1_000_000
+
 RESULT = "score double, predicted int, spans array<struct<begin:int,end:int>>"
+_SPAN = pa.struct([("begin", pa.int32()), ("end", pa.int32())])
+_FIELDS = [
+    pa.field("score", pa.float64()),
+    pa.field("predicted", pa.int32()),
+    pa.field("spans", pa.list_(pa.field("element", _SPAN))),
+]
 
 _END = b"."
 _TABLE = bytearray(common._WORD_BYTES)
@@ -396,20 +406,23 @@ def _scorer(field: Field | None, reject: float):
             toxic = odds > 0
             yield score, int(score >= reject), _spans(text, toxic) if toxic.any() else []
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[bytes, float] = {}
         for texts in batches:
             rows = []
-            for begin, end in common.pieces(texts, 2_000_000):
+            # Of a batch only the texts of a piece are Python strings at a time.
+            for begin, end in common.ranges(pc.fill_null(pc.utf8_length(texts), 0).to_pylist(), _PIECE_CHARS):
                 if field is None:
                     rows += [(0.0, 0, [])] * (end - begin)
                 else:
-                    rows += batch(texts.iloc[begin:end].tolist(), known)
+                    rows += batch(texts.slice(begin, end - begin).to_pylist(), known)
                 if len(known) > _CACHE:
                     known.clear()
-            yield pd.DataFrame(rows, columns=["score", "predicted", "spans"])
+            columns = zip(*rows) if rows else ((), (), ())
+            arrays = [pa.array(c, f.type) for c, f in zip(columns, _FIELDS)]
+            yield pa.StructArray.from_arrays(arrays, fields=_FIELDS)
 
-    return F.pandas_udf(run, RESULT)
+    return F.arrow_udf(run, RESULT)
 
 
 def score(
