@@ -40,6 +40,12 @@ def test_many_shards_equal_one(spark, monkeypatch, bits):
     assert found() == one
 
 
+def test_texts_go_through_the_automaton_once(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    cut = decontaminate.decontaminate(docs, spark.read.parquet(f"{SMALL}/benchmark.parquet"))
+    assert cut._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 # Cutting spans
 
 

@@ -217,7 +217,8 @@ def _overlaps(items, window):
             rows = [row(automaton, text) for text in texts]
             yield pd.DataFrame(rows, columns=["n_words", "n_hit", "longest", "items", "spans"])
 
-    return F.pandas_udf(run, OVERLAP)
+    # Else a filter on the result is moved below it, and texts go through two workers a task.
+    return F.pandas_udf(run, OVERLAP).asNondeterministic()
 
 
 def item_pieces(items: DataFrame, text="text", item_id="item_id", window=WINDOW) -> DataFrame:
