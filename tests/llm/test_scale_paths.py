@@ -6,6 +6,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,38 @@ def test_texts_go_through_the_automaton_once(spark):
     assert cut._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
 
 
+# Python workers
+
+
+def test_only_a_piece_of_a_batch_becomes_strings(spark, monkeypatch):
+    """Pieces of whatever size give the same signatures and overlaps; a null, an empty and a long text with them."""
+    texts = [None, "", "der und " * 9, "--", *[" ".join(f"w{(i * k) % 31}" for k in range(30)) for i in range(40)]]
+    batch = pa.record_batch(
+        {"doc_id": [str(i) for i in range(len(texts))], "gid": range(len(texts)), "bytes": range(len(texts)), "text": texts}
+    )
+    signed = lambda: list(jaccard_join._signatures(iter([batch.slice(1), batch.slice(0, 0)])))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    items = spark.createDataFrame([("a", "der und"), (None, "w3 w6")], "item_id string, text string")
+    found = lambda: sorted(map(str, decontaminate.find_overlaps(docs, items, "o").collect()))
+    whole, overlaps = signed(), found()
+    assert len(whole) == 1 and "a" in str(overlaps)
+    monkeypatch.setattr(jaccard_join, "_PIECE_CHARS", 100)
+    monkeypatch.setattr(decontaminate, "_PIECE_CHARS", 100)
+    assert len(signed()) > 10 and found() == overlaps
+    assert pa.Table.from_batches(signed()).to_pylist() == whole[0].to_pylist()
+
+
+def test_the_mix_hands_its_small_tables_over_without_python(spark):
+    kinds = "known array<string>, known_source string, n long, ranges array<struct<low:long,high:long,most:long>>"
+    full = {"low": 0, "high": (1 << 63) - 1, "most": 5}
+    tables = [[], [([None], None, 1, [])], [(["a", None], "a", 2, [full]), ([None], None, 1, [])]]
+    for rows in tables:
+        small = mixing._small(spark, rows, kinds)
+        assert [tuple(r.asDict(True).values()) for r in small.collect()] == rows
+        assert small.schema.simpleString() == spark.createDataFrame([], kinds).schema.simpleString()
+        assert "PythonRDD" not in small._jdf.queryExecution().toRdd().toDebugString()
+
+
 # Cutting spans
 
 

@@ -14,6 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -31,6 +33,16 @@ OVERLAP = (
     "n_words long, n_hit long, longest int, items array<string>, "
     "spans array<struct<first:int,last:int,begin:int,end:int>>"
 )
+_SPAN = pa.struct([(name, pa.int32()) for name in ("first", "last", "begin", "end")])
+_FIELDS = [
+    pa.field("n_words", pa.int64()),
+    pa.field("n_hit", pa.int64()),
+    pa.field("longest", pa.int32()),
+    pa.field("items", pa.list_(pa.field("element", pa.string()))),
+    pa.field("spans", pa.list_(pa.field("element", _SPAN))),
+]
+#: Characters of the texts that are Python strings at a time, or one text.
+_PIECE_CHARS = 1_000_000
 
 
 class Automaton:
@@ -211,14 +223,19 @@ def _overlaps(items, window):
             _spans(text, runs) if runs else [],
         )
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = _automaton(items, window)
         for texts in batches:
-            rows = [row(automaton, text) for text in texts]
-            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "longest", "items", "spans"])
+            rows = []
+            # Of a batch only the texts of a piece are Python strings at a time.
+            for begin, end in common.ranges(pc.fill_null(pc.utf8_length(texts), 0).to_pylist(), _PIECE_CHARS):
+                rows += [row(automaton, text) for text in texts.slice(begin, end - begin).to_pylist()]
+            columns = zip(*rows) if rows else ((),) * len(_FIELDS)
+            arrays = [pa.array(c, f.type) for c, f in zip(columns, _FIELDS)]
+            yield pa.StructArray.from_arrays(arrays, fields=_FIELDS)
 
     # Else a filter on the result is moved below it, and texts go through two workers a task.
-    return F.pandas_udf(run, OVERLAP).asNondeterministic()
+    return F.arrow_udf(run, OVERLAP).asNondeterministic()
 
 
 def item_pieces(items: DataFrame, text="text", item_id="item_id", window=WINDOW) -> DataFrame:

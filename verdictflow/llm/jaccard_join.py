@@ -12,7 +12,8 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -34,6 +35,9 @@ _MULTIPLY = _rng.integers(1, 1 << 63, (_HASHES, 1), dtype=np.uint64) * np.uint64
 _ADD = _rng.integers(0, 1 << 63, (_HASHES, 1), dtype=np.uint64)
 _WORD_CACHE = 100_000
 _CHUNK = 1_024
+#: Characters of the texts that are Python strings at a time, or one text.
+_PIECE_CHARS = 1_000_000
+_NO_KEYS = np.zeros(0, dtype=np.int64)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -72,38 +76,36 @@ def min_hashes(runs: np.ndarray) -> np.ndarray:
     return _mix(least)
 
 
-def _signed(runs: np.ndarray) -> tuple[list[int], bytes]:
+def _signed(runs: np.ndarray) -> tuple[np.ndarray, bytes]:
     """The bucket keys and the sketch of a set of runs."""
     values = min_hashes(runs).reshape(BANDS, BAND_VALUES)
     keys = np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(BAND_VALUES):
         keys = _mix(keys * np.uint64(31) + values[:, k])
-    return keys.view(np.int64).tolist(), values.ravel()[:COMPARED].astype(np.uint8).tobytes()
+    return keys.view(np.int64), values.ravel()[:COMPARED].astype(np.uint8).tobytes()
 
 
-def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[bytes, int] = {}
     done: dict[int, tuple] = {}
     for batch in batches:
-        rows = []
-        for gid, text in zip(batch["gid"], batch["text"]):
-            if gid not in done:
-                runs = run_set(text, known)
-                done[gid] = (*_signed(runs), len(runs)) if len(runs) else ([], b"", 0)
-            rows.append(done[gid])
-            if len(done) > 2_000:
-                done.clear()
-        bands, sketch, runs = zip(*rows) if rows else ((), (), ())
-        yield pd.DataFrame(
-            {
-                "doc_id": batch["doc_id"],
-                "gid": batch["gid"],
-                "bytes": batch["bytes"],
-                "bands": list(bands),
-                "sketch": list(sketch),
-                "n_runs": list(runs),
-            }
-        )
+        # Of a batch only the texts of a piece are Python strings at a time.
+        for begin, end in common.ranges(pc.utf8_length(batch["text"]).to_pylist(), _PIECE_CHARS):
+            part = batch.slice(begin, end - begin)
+            rows = []
+            for gid, text in zip(part["gid"].to_pylist(), part["text"].to_pylist()):
+                if gid not in done:
+                    runs = run_set(text, known)
+                    done[gid] = (*_signed(runs), len(runs)) if len(runs) else (_NO_KEYS, b"", 0)
+                rows.append(done[gid])
+                if len(done) > 2_000:
+                    done.clear()
+            keys, sketches, runs = zip(*rows)
+            offsets = np.cumsum([0, *map(len, keys)], dtype=np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
+            own = [part["doc_id"], part["gid"], part["bytes"], bands]
+            columns = [*own, pa.array(sketches, pa.binary()), pa.array(runs, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "gid", "bytes", "bands", "sketch", "n_runs"])
 
 
 @cache
@@ -268,7 +270,7 @@ def join_similar(docs: DataFrame, text="text", doc_id="doc_id", threshold=THRESH
     signed = stage(
         rows.filter(F.col("gid").isNotNull())
         .withColumn("bytes", F.octet_length("text").cast("long"))
-        .mapInPandas(
+        .mapInArrow(
             _signatures,
             f"doc_id {kind}, gid long, bytes long, bands array<long>, sketch binary, n_runs int",
         ),

@@ -9,7 +9,9 @@ and a rest that is filled with documents in a seeded order. Only sums per patter
 driver, never documents.
 """
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 from verdictflow.llm import common
 from verdictflow.llm.common import free_name
@@ -38,6 +40,13 @@ def word_size(text: Column) -> Column:
     return F.size(F.filter(pieces, lambda p: p != "")).cast("long")
 
 
+def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of the driver's rows, with structs as dicts. Sent as Arrow it takes no Python workers."""
+    kinds = StructType.fromDDL(schema)
+    columns = [pa.array(c) for c in zip(*rows)] if rows else [pa.nulls(0)] * len(kinds)
+    return spark.createDataFrame(pa.Table.from_arrays(columns, kinds.names), kinds)
+
+
 def targets_for(sizes: dict, total: int, passes: int = MAX_PASSES, weights=WEIGHTS) -> dict:
     """Target words of each source: `total` shared by weight, none above `passes` times its size.
 
@@ -193,7 +202,7 @@ def _cut(docs: DataFrame, rests: dict[int, int]) -> dict[int, tuple[int, int]]:
     while shift > 0 and state:
         width = min(_DIGIT, shift)
         rows = [(p, prefix, below, rest) for p, (prefix, below, rest) in state.items()]
-        known = spark.createDataFrame(rows, "pattern int, prefix long, below long, rest long")
+        known = _small(spark, rows, "pattern int, prefix long, below long, rest long")
         # At most MAX_PATTERNS rows.
         inside = docs.join(F.broadcast(known), "pattern").filter(
             F.shiftright("draw", shift) == F.col("prefix")
@@ -238,7 +247,7 @@ def choose_ranges(docs: DataFrame, given: dict[int, int], sizes: dict[int, int])
         if not rests:
             break
         rows = [(p, begin[p], rest) for p, rest in rests.items()]
-        bounds = docs.sparkSession.createDataFrame(rows, "pattern int, from_draw long, most long")
+        bounds = _small(docs.sparkSession, rows, "pattern int, from_draw long, most long")
         fitting = docs.join(F.broadcast(bounds), "pattern").filter(
             (F.col("draw") >= F.col("from_draw")) & F.col("size").between(1, F.col("most"))
         )
@@ -321,19 +330,21 @@ def solve(table: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     kind, element = dict(table.dtypes)["members"], dict(table.dtypes)["source"]
     pairs = [(p, s, words[s], sizes[s]) for (p, sizes), words in zip(by_pattern.items(), given) for s in sizes]
-    known = spark.createDataFrame(
-        [(list(p), s, i) for i, (p, s, _, _) in enumerate(pairs)], f"known {kind}, known_source {element}, pattern int"
+    known = _small(
+        spark, [(list(p), s, i) for i, (p, s, _, _) in enumerate(pairs)], f"known {kind}, known_source {element}, pattern int"
     )
     numbered = table.join(F.broadcast(known), _same_pattern())
     rows = choose_ranges(
         numbered, {i: pair[2] for i, pair in enumerate(pairs)}, {i: pair[3] for i, pair in enumerate(pairs)}
     )
-    ranges = spark.createDataFrame(
-        [(list(pairs[i][0]), pairs[i][1], passes, taken) for i, passes, taken in rows],
+    ends = ("low", "high", "most")
+    ranges = _small(
+        spark,
+        [(list(pairs[i][0]), pairs[i][1], passes, [dict(zip(ends, r)) for r in taken]) for i, passes, taken in rows],
         f"known {kind}, known_source {element}, passes long, ranges array<struct<low:long,high:long,most:long>>",
     )
-    quotas = spark.createDataFrame(
-        [(s, by_source[s], targets[s]) for s in by_source], f"source {element}, source_size long, target double"
+    quotas = _small(
+        spark, [(s, by_source[s], targets[s]) for s in by_source], f"source {element}, source_size long, target double"
     )
     return ranges, quotas
 
