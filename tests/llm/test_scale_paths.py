@@ -263,6 +263,54 @@ def test_shared_texts_are_taken_after_others(spark):
     assert sorted(map(str, again.collect())) == sorted(map(str, chosen))
 
 
+def _ranges(docs, given, sizes):
+    """`mixing.choose_ranges` by going over the draws of each pattern."""
+    chosen = []
+    for p in given:
+        passes, rest, begin, taken = given[p] // sizes[p], given[p] % sizes[p], 0, []
+        for _ in range(mixing.FILLS):
+            if rest <= 0 or begin >= 1 << 63:
+                break
+            words, end = 0, 1 << 63
+            fitting = [(draw, size) for of, size, draw in docs if of == p and draw >= begin and 1 <= size <= rest]
+            for draw in sorted({draw for draw, _ in fitting}):
+                more = sum(size for at, size in fitting if at == draw)
+                if words + more > rest:
+                    end = draw
+                    break
+                words += more
+            taken.append((begin, end - 1, rest))
+            begin, rest = end, rest - words
+        chosen.append((p, passes, taken))
+    return chosen
+
+
+@pytest.mark.parametrize("digit", [3, 16])
+def test_ranges_of_the_mix_equal_brute_force(spark, monkeypatch, digit):
+    monkeypatch.setattr(mixing, "_DIGIT", digit)
+    rng = random.Random(digit)
+    draws = [rng.getrandbits(63) for _ in range(30)] + [0, 1, 2, (1 << 63) - 1]
+    docs = [(p, rng.randint(0, 9), rng.choice(draws)) for p in range(3) for _ in range(30 * p + 5)]
+    sizes = {p: sum(size for of, size, _ in docs if of == p) for p in range(3)}
+    rows = {p: sum(of == p for of, _, _ in docs) for p in range(3)}
+    table = spark.createDataFrame(docs, "pattern int, size long, draw long")
+    for share in (0.3, 0.97, 2.5):
+        given = {p: int(share * n) for p, n in sizes.items()}
+        assert mixing.choose_ranges(table, given, sizes, rows) == _ranges(docs, given, sizes)
+
+
+def test_the_mix_broadcasts_once_a_fill_and_reads_its_draws_from_a_table(spark, monkeypatch):
+    made, read = [], []
+    small, choose = mixing._small, mixing.choose_ranges
+    monkeypatch.setattr(mixing, "_small", lambda *a: made.append(a[2]) or small(*a))
+    monkeypatch.setattr(mixing, "choose_ranges", lambda docs, *a: read.append(docs) or choose(docs, *a))
+    rows = [(i, "w " * (1 + i % 7), s) for i in range(200) for s in "ab" if i % 3 or s == "a"]
+    mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    # The driver's memory held the tables of five for each fill, and those of the joins before them in each.
+    assert len(made) <= 3 + mixing.FILLS
+    assert "Join" not in read[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
 # Samples
 
 

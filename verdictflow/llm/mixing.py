@@ -188,36 +188,43 @@ def route(patterns: list[dict], distinct: list[int], targets: dict, passes=MAX_P
     return given
 
 
-def _cut(docs: DataFrame, rests: dict[int, int]) -> dict[int, tuple[int, int]]:
+def _cut(docs: DataFrame, wanted: dict[int, tuple[int, int]], rows: dict[int, int]) -> dict[int, tuple[int, int]]:
     """For each pattern, the draw below which its documents fill at most the rest.
 
+    `wanted` has a pattern's first draw and its rest; documents with a smaller draw, without words
+    or longer than the rest are passed over. `rows` bounds the documents of a pattern.
     Returns `(draw, words)` by pattern: documents with a smaller draw have `words` words,
     and with the next draw they would have more than the rest. The draw is found digit by
-    digit from sums per pattern and digit.
+    digit from sums per pattern and digit. Once no pattern has more documents than a digit has
+    values, all bits that are left make one digit.
     """
     spark = docs.sparkSession
-    state = {p: (0, 0, rest) for p, rest in rests.items()}
+    state = {p: (0, 0, rows[p]) for p in wanted}
     whole = {}
     shift = _DRAW_BITS
     while shift > 0 and state:
-        width = min(_DIGIT, shift)
-        rows = [(p, prefix, below, rest) for p, (prefix, below, rest) in state.items()]
-        known = _small(spark, rows, "pattern int, prefix long, below long, rest long")
+        few = max(n for _, _, n in state.values()) <= 1 << _DIGIT
+        width = shift if few else min(_DIGIT, shift)
+        known = _small(
+            spark,
+            [(p, *wanted[p], prefix, below) for p, (prefix, below, _) in state.items()],
+            "pattern int, from_draw long, rest long, prefix long, below long",
+        )
         # At most MAX_PATTERNS rows.
         inside = docs.join(F.broadcast(known), "pattern").filter(
-            F.shiftright("draw", shift) == F.col("prefix")
-            if shift < _DRAW_BITS
-            else F.lit(True)
+            (F.col("draw") >= F.col("from_draw")) & F.col("size").between(1, F.col("rest"))
         )
+        if shift < _DRAW_BITS:
+            inside = inside.filter(F.shiftright("draw", shift) == F.col("prefix"))
         digit = F.shiftright("draw", shift - width)
         sums = inside.groupBy("pattern", "below", "rest", digit.alias("digit")).agg(
-            F.sum("size").alias("words")
+            F.sum("size").alias("words"), F.count("*").alias("n")
         )
         before = Window.partitionBy("pattern").orderBy("digit")
         sums = sums.withColumn("upto", F.col("below") + F.sum("words").over(before))
         over = F.col("upto") > F.col("rest")
         found = sums.groupBy("pattern").agg(
-            F.min(F.when(over, F.struct("digit", F.col("upto") - F.col("words")))).alias("next"),
+            F.min(F.when(over, F.struct("digit", F.col("upto") - F.col("words"), "n"))).alias("next"),
             F.max("upto").alias("all"),
         )
         after = {}
@@ -225,14 +232,17 @@ def _cut(docs: DataFrame, rests: dict[int, int]) -> dict[int, tuple[int, int]]:
             if step is None:  # everything fits
                 whole[pattern] = (1 << _DRAW_BITS, words)
             else:
-                after[pattern] = (step[0], step[1], state[pattern][2])
+                after[pattern] = tuple(step)
         state, shift = after, shift - width
     return {**whole, **{p: (prefix, below) for p, (prefix, below, _) in state.items()}}
 
 
-def choose_ranges(docs: DataFrame, given: dict[int, int], sizes: dict[int, int]) -> list[tuple]:
+def choose_ranges(
+    docs: DataFrame, given: dict[int, int], sizes: dict[int, int], rows: dict[int, int]
+) -> list[tuple]:
     """How the words a pattern gives are taken: `(pattern, full passes, ranges of draws)`.
 
+    `docs` has `pattern, size, draw`, and `rows` the number of rows of a pattern in it.
     A pattern that gives more words than it has is passed as a whole as often as that goes.
     The rest is filled in the order of draws up to the first document that is too long,
     then again with later documents that fit, a few rounds long. A range is
@@ -246,12 +256,7 @@ def choose_ranges(docs: DataFrame, given: dict[int, int], sizes: dict[int, int])
         rests = {p: rest for p, rest in rests.items() if rest > 0}
         if not rests:
             break
-        rows = [(p, begin[p], rest) for p, rest in rests.items()]
-        bounds = _small(docs.sparkSession, rows, "pattern int, from_draw long, most long")
-        fitting = docs.join(F.broadcast(bounds), "pattern").filter(
-            (F.col("draw") >= F.col("from_draw")) & F.col("size").between(1, F.col("most"))
-        )
-        cuts = _cut(fitting.select("pattern", "draw", "size"), rests)
+        cuts = _cut(docs, {p: (begin[p], rest) for p, rest in rests.items()}, rows)
         for p, rest in list(rests.items()):
             draw, words = cuts.get(p, (1 << _DRAW_BITS, 0))
             taken[p].append((begin[p], draw - 1, rest))
@@ -310,7 +315,7 @@ def solve(table: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     `source, source_size, target`. Both are bounded by MAX_PATTERNS.
     """
     spark = table.sparkSession
-    sums = table.groupBy("members", "source").agg(F.sum("size").alias("size"))
+    sums = table.groupBy("members", "source").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
     sums = sums.limit(MAX_PATTERNS + 1).collect()
     if len(sums) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -318,6 +323,7 @@ def solve(table: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     once = texts.groupBy("members").agg(F.sum("words").alias("words")).collect()
     distinct = {tuple(r["members"]): r["words"] for r in once}
     by_pattern: dict = {}
+    n_rows = {(tuple(r["members"]), r["source"]): r["rows"] for r in sums}
     last = lambda s: (s is None, str(s))
     for r in sorted(sums, key=lambda r: ([last(s) for s in r["members"]], last(r["source"]))):
         by_pattern.setdefault(tuple(r["members"]), {})[r["source"]] = r["size"]
@@ -333,9 +339,13 @@ def solve(table: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = _small(
         spark, [(list(p), s, i) for i, (p, s, _, _) in enumerate(pairs)], f"known {kind}, known_source {element}, pattern int"
     )
-    numbered = table.join(F.broadcast(known), _same_pattern())
+    # Read several times: staged, its joins and their broadcasts are made once.
+    numbered = stage(table.join(F.broadcast(known), _same_pattern()).select("pattern", "size", "draw"), "mix-draws")
     rows = choose_ranges(
-        numbered, {i: pair[2] for i, pair in enumerate(pairs)}, {i: pair[3] for i, pair in enumerate(pairs)}
+        numbered,
+        {i: pair[2] for i, pair in enumerate(pairs)},
+        {i: pair[3] for i, pair in enumerate(pairs)},
+        {i: n_rows[pair[:2]] for i, pair in enumerate(pairs)},
     )
     ends = ("low", "high", "most")
     ranges = _small(
