@@ -4,6 +4,8 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -336,6 +338,40 @@ def test_samples_take_whole_texts_or_seeded_parts_of_long_ones(spark, monkeypatc
 # Toxicity training in blocks
 
 
+def _marked(docs, toxic):
+    """`toxicity.label_words` with the features of all kinds counted at once."""
+    spoken = lambda words: {f for w in words for f in toxicity.features(w) if f[0] != "z"}
+    n_yes, n_no = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
+    yes = Counter(f for words, label in zip(docs, toxic) if label for f in spoken(words))
+    yes = {f: n for f, n in yes.items() if n >= max(toxicity.LEAST_DOCS, toxicity.LEAST_SHARE * n_yes)}
+    no = Counter(f for words, label in zip(docs, toxic) if not label for f in spoken(words) & yes.keys())
+    marking = {f for f, n in yes.items() if n / n_yes / (n / n_yes + no[f] / n_no) >= toxicity.PURITY}
+    solo = {f[1:].encode() for f in marking if f[0] == "w" and yes[f] >= 0.8 * yes[f"4{f[1:5]}"]}
+    for w in solo:
+        marking -= {f for f in toxicity.features(w) if f[0] not in "wz"}
+    return marking, solo
+
+
+def test_marking_features_are_counted_a_kind_at_a_time():
+    rng = random.Random(8)
+    common_words = [f"w{i:03d}".encode() for i in range(80)] + ["\u00e4\u00e4\u00e4\u00e4b".encode(), b"\xff\xfe4abc"]
+    docs, toxic = [], [n % 2 for n in range(300)]
+    for label in toxic:
+        words = rng.choices(common_words, k=20) + [b"%x" % rng.getrandbits(60) for _ in range(200)]
+        docs.append(words + label * rng.choice([[], [b"zzfoul"], [b"vvbad1"], [b"vvbad2", b"zzfoul"]]))
+
+    def peak(count):
+        tracemalloc.start()
+        found = count(docs, toxic)
+        size = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return found, size
+
+    (found, most), (expected, at_once) = peak(toxicity.label_words), peak(_marked)
+    assert found == expected and "wzzfoul" in found[0] and b"zzfoul" in found[1] and "4vvba" in found[0]
+    assert most < 0.5 * at_once
+
+
 def _samples(seed=5):
     """Texts of two labels; every toxic one has a word that the others have not."""
     rng = random.Random(seed)

@@ -156,19 +156,22 @@ def label_words(docs: list[list[bytes]], toxic: list[int]) -> tuple[set[str], fr
 
     A word that makes up nearly all documents with its beginning marks by itself.
     """
-    def spoken(words):
-        return {f for word in set(words) for f in features(word) if f[0] != "z"}
-
+    # A kind of feature at a time: most of what is counted is rare, and goes before the next.
     n_yes, n_no = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
-    # Only what enough toxic documents have is counted in the others.
-    yes, no = Counter(), Counter()
-    for words, label in zip(docs, toxic):
-        if label:
-            yes.update(spoken(words))
-    yes = {f: n for f, n in yes.items() if n >= max(LEAST_DOCS, LEAST_SHARE * n_yes)}
-    for words, label in zip(docs, toxic):
-        if not label:
-            no.update(spoken(words) & yes.keys())
+    yes, no = {}, Counter()
+    for size in (None, *PREFIXES):
+        seen, others = Counter(), Counter()
+        for words, label in zip(docs, toxic):
+            if label:
+                seen.update({word.decode("utf-8", "replace")[:size] for word in words})
+        # Only what enough toxic documents have is counted in the others.
+        seen = {f: n for f, n in seen.items() if n >= max(LEAST_DOCS, LEAST_SHARE * n_yes)}
+        for words, label in zip(docs, toxic):
+            if not label:
+                others.update({word.decode("utf-8", "replace")[:size] for word in words} & seen.keys())
+        kind = size or "w"
+        yes.update({f"{kind}{f}": n for f, n in seen.items()})
+        no.update({f"{kind}{f}": n for f, n in others.items()})
     marking = {
         f
         for f, n in yes.items()
@@ -288,8 +291,10 @@ def train(samples: list[tuple[str, int]], steps=60, rate=0.3, l2=1e-6, seed=SEED
         own = [bucket(f) for f in features(spelled[n], solo)]
         row[: len(own)] = own
     # Only the buckets in use are trained; the others stay 0. The last has no weight.
-    used, cells = np.unique(np.append(cells.ravel(), BUCKETS), return_inverse=True)
-    cells = cells[:-1].astype(np.int32).reshape(len(seen_words), -1)
+    in_use = np.zeros(BUCKETS + 1, dtype=bool)
+    in_use[cells] = in_use[BUCKETS] = True
+    used = np.flatnonzero(in_use)
+    cells = (np.cumsum(in_use, dtype=np.int32) - 1)[cells]
     end = np.cumsum(size)
     begin = end - size
 
